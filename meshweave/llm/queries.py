@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshweave.llm import common, language_id
+from meshweave.llm import common, language_id, quality
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     model = language_id.train(docs.where(F.col("doc_id").isNotNull() & ~language_id.held_out()))
     return language_id.identify(docs, model).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    feats = common.stash(quality.features(docs), "quality")
+    return quality.verdicts(feats).select("doc_id", *quality.BASE, "base_failed", "kept")
