@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshweave.llm import common, language_id, quality
+from meshweave.llm import bpe, common, language_id, quality
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,3 +18,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     feats = common.stash(quality.features(docs), "quality")
     return quality.verdicts(feats).select("doc_id", *quality.BASE, "base_failed", "kept")
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """path: of the tokenizer file; by default that of the installed public tokenizers."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    return bpe.encode(common.table(spark, sf_dir, "documents"), path, digests=True)
