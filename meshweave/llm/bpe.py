@@ -34,7 +34,7 @@ LONG = 200
 CACHED = 400_000
 NEVER = 1 << 60
 #: Unicode's White_Space property.
-SPACE = "\t-\r \x85\xa0  -     　"
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def byte_characters() -> list[str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshweave.llm import bpe, common, language_id, quality
+from meshweave.llm import bpe, chat, common, language_id, quality
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,3 +27,19 @@ def op4_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
 
         path = public_tokenizers.path("word_bpe_49k.json")
     return bpe.encode(common.table(spark, sf_dir, "documents"), path, digests=True)
+
+
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.sql("select -7L as conv_id, inline(array(struct(0L as turn, 'user' as role), struct(1L as turn, 'assistant' as role)))").withColumn("text", F.lit(said))
+    turns = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    back = chat.read_back(chat.windows(turns))
+    digest = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(digest, 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )

@@ -3,3 +3,36 @@
 from __future__ import annotations
 
 ORACLES: dict[str, str] = {}
+
+#: The windows are found again by a walk over the turns, one turn of every conversation a step.
+ORACLES["op2_chat"] = r"""
+WITH RECURSIVE turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), numbered AS (
+  SELECT *, len(regexp_extract_all(text, '[^ \t\n\v\f\r]+')) + 4 AS tok,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos,
+         length(text) + 3 * (length(text) - length(replace(text, '<', ''))) + 4 * (length(text) - length(replace(text, '&', ''))) + length(role) + 15 AS chars
+  FROM turns
+), summed AS (
+  SELECT *, sum(tok) OVER w - tok AS start, max(CASE WHEN pos = 0 AND role = 'system' THEN tok ELSE 0 END) OVER (PARTITION BY conv_id) AS sys,
+         max(CASE WHEN pos = 0 AND role = 'system' THEN chars ELSE 0 END) OVER (PARTITION BY conv_id) AS sys_chars, sum(chars) OVER w - chars AS chars_before
+  FROM numbered WINDOW w AS (PARTITION BY conv_id ORDER BY pos)
+), back AS (
+  SELECT a.conv_id, a.pos, any_value(a.start) AS start, any_value(a.tok) AS tok, any_value(a.sys) AS sys, any_value(a.chars) AS chars,
+         any_value(a.sys_chars) AS sys_chars, any_value(a.start) - min(b.start) AS hist, any_value(a.chars_before) - min(b.chars_before) AS hist_chars
+  FROM summed a JOIN summed b ON a.conv_id IS NOT DISTINCT FROM b.conv_id AND b.pos <= a.pos AND b.start >= a.start - 128 AND (b.start >= b.sys OR a.pos = 0)
+  GROUP BY 1, 2
+), walk AS (
+  SELECT conv_id, pos, CAST(CASE WHEN sys > 0 THEN -1 ELSE 0 END AS BIGINT) AS win, CAST(start AS BIGINT) AS base, CAST(0 AS BIGINT) AS hist, CAST(chars AS BIGINT) AS chars FROM back WHERE pos = 0
+  UNION ALL
+  SELECT b.conv_id, b.pos, CASE WHEN w.win < 0 THEN 0 WHEN fresh THEN w.win + 1 ELSE w.win END, CASE WHEN w.win < 0 OR fresh THEN b.start ELSE w.base END,
+         CASE WHEN w.win < 0 THEN 0 WHEN fresh THEN b.hist ELSE w.hist END, b.chars + CASE WHEN w.win >= 0 AND fresh THEN b.sys_chars + b.hist_chars ELSE 0 END
+  FROM walk w JOIN (SELECT * FROM back) b ON b.conv_id = w.conv_id AND b.pos = w.pos + 1, LATERAL (SELECT b.sys + w.hist + b.start + b.tok - w.base > 512 AS fresh)
+), formatted AS (SELECT conv_id, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM walk GROUP BY 1)
+SELECT s.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+       length(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256, any_value(formatted_chars) AS formatted_chars
+FROM summed s JOIN formatted f USING (conv_id) GROUP BY s.conv_id
+"""
