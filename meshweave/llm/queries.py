@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshweave.llm import bpe, chat, common, language_id, quality
+from meshweave.llm import bpe, chat, common, language_id, mixing, quality
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,3 +43,7 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("loss_text", 256).alias("loss_sha256"),
         "formatted_chars",
     )
+
+
+def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(common.table(spark, sf_dir, "documents"))

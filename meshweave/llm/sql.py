@@ -36,3 +36,34 @@ SELECT s.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text
        sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256, any_value(formatted_chars) AS formatted_chars
 FROM summed s JOIN formatted f USING (conv_id) GROUP BY s.conv_id
 """
+
+ORACLES["op1_mix"] = r"""
+WITH RECURSIVE sized AS (
+  SELECT doc_id, source, coalesce('=' || source, '') AS key, greatest(1, len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\v\f\r]+'))) AS tokens FROM documents
+), totals AS (SELECT key, CAST(sum(tokens) AS BIGINT) AS total FROM sized GROUP BY key),
+shares AS (SELECT key, total, total / CAST(sum(total) OVER () AS DOUBLE) AS p, sum(total) OVER () AS everything FROM totals),
+held AS (SELECT list(p ORDER BY p) AS ps, CAST(any_value(everything) AS DOUBLE) AS everything, count(*) AS n FROM shares),
+e AS (
+  SELECT 0 AS i, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, ps, n FROM held
+  UNION ALL
+  SELECT i + 1, CASE WHEN ok THEN mid ELSE lo END, CASE WHEN ok THEN hi ELSE mid END, ps, n
+  FROM (SELECT *, (lo + hi) / 2 AS mid, list_sum(list_transform(ps, lambda p: pow(p, (lo + hi) / 2))) AS z, list_sum(list_transform(ps, lambda p: pow(p, (lo + hi) / 2) * ln(p))) AS s FROM e WHERE i < 60),
+       LATERAL (SELECT ln(z) - mid * s / z >= 0.95 * ln(n) AS ok)
+), r AS (
+  SELECT 0 AS i, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, ps FROM held
+  UNION ALL
+  SELECT i + 1, CASE WHEN ok THEN lo ELSE mid END, CASE WHEN ok THEN mid ELSE hi END, ps
+  FROM (SELECT *, (lo + hi) / 2 AS mid, list_transform(ps, lambda p: pow(p, (lo + hi) / 2 - 1)) AS q FROM r WHERE i < 60), LATERAL (SELECT list_max(q) / list_min(q) <= 4 AS ok)
+), ends AS (
+  SELECT CASE WHEN -list_sum(list_transform(ps, lambda p: p * ln(p))) >= 0.95 * ln(n) THEN 1.0 ELSE (SELECT lo FROM e WHERE i = 60) END AS by_entropy,
+         CASE WHEN list_max(ps) / list_min(ps) <= 4 THEN 0.0 ELSE (SELECT hi FROM r WHERE i = 60) END AS by_repeats, ps, everything FROM held
+), exponent AS (SELECT greatest(by_entropy, by_repeats) AS a, ps, everything FROM ends),
+given AS (SELECT a, list_sum(list_transform(ps, lambda p: pow(p, a))) AS z, everything * list_sum(list_transform(ps, lambda p: pow(p, a))) / list_min(list_transform(ps, lambda p: pow(p, a - 1))) AS g FROM exponent),
+budgets AS (SELECT key, total, greatest(total, CAST(floor(pow(p, a) / z * g) AS BIGINT)) AS budget, greatest(1, CAST(ceil(floor(g) / 131072) AS BIGINT)) AS blocks FROM shares, given),
+copies AS (
+  SELECT *, CAST('0x' || substr(md5('17|' || epoch || '|' || doc_id), 1, 15) AS BIGINT) AS h, CAST('0x' || substr(md5('17|' || epoch || '|' || doc_id || '|block'), 1, 15) AS BIGINT) AS hb
+  FROM (SELECT *, unnest(range(0, CAST(floor((budget - 1) / total) AS BIGINT) + 1)) AS epoch FROM sized JOIN budgets USING (key))
+), placed AS (SELECT *, epoch * total + sum(tokens) OVER (PARTITION BY key, epoch ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) - tokens AS start FROM copies),
+taken AS (SELECT *, CAST(floor(CAST(start AS DOUBLE) / budget * blocks) AS BIGINT) AS block FROM placed WHERE start < budget)
+SELECT doc_id, source, tokens, epoch, block, row_number() OVER (PARTITION BY block ORDER BY hb, key, epoch, start) AS position FROM taken
+"""
