@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshweave.llm import bpe, chat, common, language_id, mixing, quality
+from meshweave.llm import bpe, chat, common, language_id, media, mixing, quality
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,3 +47,7 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.table(spark, sf_dir, "documents"))
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read(media.write(common.table(spark, sf_dir, "documents")), pixels=False)
