@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshweave.llm import bpe, chat, common, language_id, line_dedup, media, mixing, quality
+from meshweave.llm import bpe, chat, common, jaccard_join, language_id, line_dedup, media, mixing, quality
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,3 +56,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup(common.table(spark, sf_dir, "documents"), counts=True)
     return kept.select("doc_id", "n_lines", "n_exact", "n_near", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(common.table(spark, sf_dir, "documents"))
