@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from meshweave.llm import license_scan
+
 ORACLES: dict[str, str] = {}
 
 #: The windows are found again by a walk over the turns, one turn of every conversation a step.
@@ -95,3 +97,16 @@ edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b)
 SELECT doc_id, n AS n_shingles, component_id FROM sizes JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
 """
+
+_TEMPLATES = ", ".join(f"('{name}', {i}, {license_scan._class(len(license_scan.words_of(t)))}, '{' '.join(license_scan.words_of(t))}')" for name, ts in license_scan.TEMPLATES.items() for i, t in enumerate(ts))
+
+ORACLES["op8_license_scan"] = rf"""
+WITH known(license_id, template, class, words) AS (VALUES {_TEMPLATES}),
+want AS (SELECT DISTINCT license_id, template, class, g FROM (SELECT license_id, template, class, string_split(words, ' ') AS w, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) AS g FROM known)),
+sizes AS (SELECT license_id, template, count(*) AS n FROM want GROUP BY 1, 2),
+words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM documents WHERE text IS NOT NULL),
+grams AS (SELECT doc_id, unnest(range(0, len(w) - 4)) AS pos, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) AS g FROM words WHERE len(w) >= 5),
+hits AS (SELECT doc_id, license_id, template, class, g, pos, unnest([pos // class, pos // class - 1]) AS k FROM grams JOIN want USING (g)),
+inside AS (SELECT doc_id, license_id, template, k, count(DISTINCT g) AS c, min(pos) AS first_word FROM hits WHERE k >= 0 AND pos - k * class <= 2 * class - 5 GROUP BY ALL)
+SELECT doc_id, license_id, round(max(c / n), 6) AS containment, min(first_word) AS first_word FROM inside JOIN sizes USING (license_id, template) WHERE 100 * c >= 80 * n GROUP BY 1, 2
+"""
