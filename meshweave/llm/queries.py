@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshweave.llm import bpe, chat, common, jaccard_join, language_id, license_scan, line_dedup, media, mixing, quality
+from meshweave.llm import bpe, chat, common, jaccard_join, language_id, license_scan, line_dedup, media, mixing, quality, suffix_dedup
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,3 +64,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.licenses(common.table(spark, sf_dir, "documents"))
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(common.table(spark, sf_dir, "documents"), with_bytes=False)
