@@ -54,7 +54,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup.dedup(common.table(spark, sf_dir, "documents"), counts=True)
+    kept = line_dedup.dedup(common.table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
     return kept.select("doc_id", "n_lines", "n_exact", "n_near", F.sha2("text", 256).alias("kept_sha256"))
 
 
