@@ -5,15 +5,464 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from meshweave import config
+from meshweave.functions import rng
+from meshweave.graph import Graph, deserialize
+from meshweave.operators import centrality, community, generators, paths, report, structure
+from meshweave.operators.bimap import Bimap
+from meshweave.plans import sql
+from meshweave.sources import files, tables
+from meshweave.streaming import propagation
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+TINY = 1e-300  # a tolerance that no iteration meets: rounds are then fixed
+
+
+def query(oracle: str | None = None, base: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name. base: SQL of its graph."""
+
+    def keep(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLES[f.__name__] = f"WITH RECURSIVE {base} {oracle}" if base else oracle
+        return f
+
+    return keep
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    """Values to nine digits: sums in another order differ beyond."""
+    return df.select(*[F.round(c, 9).alias(c) if c in (names or ("value",)) else F.col(c) for c in df.columns])
+
+
+# ---- degrees and distances
+
+
+@query(sql.degree("out"), sql.SUPPLIERS)
+def degree_undirected(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(centrality.degree(tables.suppliers(spark, d)))
+
+
+@query(sql.degree("total"), sql.USERS)
+def degree_total(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(centrality.degree(tables.users(spark, d)))
+
+
+@query(sql.degree("in"), sql.USERS)
+def degree_in(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(centrality.degree(tables.users(spark, d), config.Degree("in")))
+
+
+@query(sql.degree("out"), sql.USERS)
+def degree_out(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(centrality.degree(tables.users(spark, d), config.Degree("out")))
+
+
+@query("SELECT src, dst, dist, hops, sigma FROM pairs", sql.SUPPLIERS + sql.PAIRS)
+def all_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return paths.pairs(tables.suppliers(spark, d))
+
+
+@query("SELECT src, dst, dist, hops, sigma FROM pairs", sql.NATIONS + sql.WEIGHTED_PAIRS)
+def all_pairs_weighted(spark: SparkSession, d: str) -> DataFrame:
+    return paths.pairs(tables.nations(spark, d))
+
+
+@query(sql.DIAMETER, sql.SUPPLIERS + sql.PAIRS)
+def diameter(spark: SparkSession, d: str) -> DataFrame:
+    return paths.diameter(paths.pairs(tables.suppliers(spark, d)))
+
+
+@query(sql.DIAMETER, sql.NATIONS + sql.WEIGHTED_PAIRS)
+def diameter_weighted(spark: SparkSession, d: str) -> DataFrame:
+    return paths.diameter(paths.pairs(tables.nations(spark, d)))
+
+
+@query(""", ends AS (SELECT min(id) AS s, max(id) AS t FROM nodes),
+found AS (SELECT s AS at, s AS path, 0.0::DOUBLE AS d, [s] AS seen FROM ends UNION ALL
+  SELECT dst, path || '>' || dst, d + 1, list_append(seen, dst) FROM found JOIN arcs ON src = at WHERE d < 12 AND NOT list_contains(seen, dst) AND EXISTS (SELECT 1 FROM ends, pairs p, pairs q, pairs r WHERE p.src = s AND p.dst = t AND q.src = s AND q.dst = arcs.dst AND r.src = arcs.dst AND r.dst = t AND q.hops = d + 1 AND q.hops + r.hops = p.hops))
+SELECT path, d AS total FROM found, ends WHERE at = t""", sql.SUPPLIERS + sql.PAIRS)
+def shortest_paths(spark: SparkSession, d: str) -> DataFrame:
+    g = tables.suppliers(spark, d)
+    ends = g.nodes.agg(F.min("id"), F.max("id")).first()
+    return paths.shortest_paths(g, ends[0], ends[1]).select(F.array_join("nodes", ">").alias("path"), "total")
+
+
+@query(sql.closeness("dst", True), sql.SUPPLIERS + sql.PAIRS)
+def closeness(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(centrality.closeness(tables.suppliers(spark, d)))
+
+
+@query(sql.closeness("dst", True), sql.USERS + sql.PAIRS)
+def closeness_directed(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(centrality.closeness(tables.users(spark, d)))
+
+
+@query(sql.closeness("src", True), sql.USERS + sql.PAIRS)
+def closeness_reverse(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(centrality.closeness(tables.users(spark, d), config.Closeness(reverse=True)))
+
+
+@query(sql.closeness("dst", False), sql.USERS + sql.PAIRS)
+def closeness_plain(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(centrality.closeness(tables.users(spark, d), config.Closeness(wf_improved=False)))
+
+
+@query(sql.closeness("dst", True), sql.NATIONS + sql.WEIGHTED_PAIRS)
+def closeness_weighted(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(centrality.closeness(tables.nations(spark, d)))
+
+
+@query(sql.betweenness(False), sql.SUPPLIERS + sql.PAIRS)
+def betweenness(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(centrality.betweenness(tables.suppliers(spark, d)))
+
+
+@query(sql.betweenness(True), sql.USERS + sql.PAIRS)
+def betweenness_directed(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(centrality.betweenness(tables.users(spark, d)))
+
+
+@query(sql.betweenness(True), sql.NATIONS + sql.WEIGHTED_PAIRS)
+def betweenness_weighted(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(centrality.betweenness(tables.nations(spark, d)))
+
+
+@query(sql.edge_betweenness(False), sql.SUPPLIERS + sql.PAIRS)
+def edge_betweenness(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(centrality.edge_betweenness(tables.suppliers(spark, d)))
+
+
+@query(sql.edge_betweenness(True), sql.USERS + sql.PAIRS)
+def edge_betweenness_directed(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(centrality.edge_betweenness(tables.users(spark, d)))
+
+
+# ---- iterations
+
+
+@query(sql.page_rank(20, 0.85), sql.SUPPLIERS)
+def page_rank(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(centrality.page_rank(tables.suppliers(spark, d), config.PageRank(max_iter=20, tol=TINY)))
+
+
+@query(sql.page_rank(8, 0.85), sql.LINKS)
+def page_rank_dangling(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(centrality.page_rank(tables.links(spark, d), config.PageRank(max_iter=8, tol=TINY)))
+
+
+PREFERRED = "(CASE WHEN id::BIGINT % 3 = 0 THEN 1.0::DOUBLE ELSE 0 END) / (SELECT count(*) FROM nodes WHERE id::BIGINT % 3 = 0)"
+
+
+@query(sql.page_rank(10, 0.5, PREFERRED), sql.USERS)
+def page_rank_personalized(spark: SparkSession, d: str) -> DataFrame:
+    g = tables.users(spark, d)
+    wanted = g.nodes.where(F.col("id").cast("long") % 3 == 0).select("id", F.lit(1.0).alias("value"))
+    return rounded(centrality.page_rank(g, config.PageRank(alpha=0.5, max_iter=10, tol=TINY, personalization=wanted)))
+
+
+@query(sql.page_rank(10, 0.85, src="dst", dst="src"), sql.USERS)
+def page_rank_reverse(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(centrality.page_rank(tables.users(spark, d), config.PageRank(max_iter=10, tol=TINY, reverse=True)))
+
+
+@query(sql.eigenvector(15), sql.SUPPLIERS)
+def eigenvector(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(centrality.eigenvector(tables.suppliers(spark, d), config.Eigenvector(max_iter=15, tol=TINY)))
+
+
+@query(sql.eigenvector(10), sql.USERS)
+def eigenvector_directed(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(centrality.eigenvector(tables.users(spark, d), config.Eigenvector(max_iter=10, tol=TINY)))
+
+
+@query(sql.eigenvector(10, "dst", "src"), sql.USERS)
+def eigenvector_reverse(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(centrality.eigenvector(tables.users(spark, d), config.Eigenvector(max_iter=10, tol=TINY, reverse=True)))
+
+
+# ---- structure
+
+
+@query(sql.CLUSTERING, sql.SUPPLIERS)
+def clustering(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(structure.clustering(tables.suppliers(spark, d)))
+
+
+@query(sql.CLUSTERING_DIRECTED, sql.USERS)
+def clustering_directed(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(structure.clustering(tables.users(spark, d)))
+
+
+@query(sql.CLUSTERING.replace("SELECT id, round(", "SELECT round(avg(").replace(" END, 9) AS value", " END), 9) AS value"), sql.SUPPLIERS)
+def clustering_average(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(structure.average_clustering(structure.clustering(tables.suppliers(spark, d))))
+
+
+@query(sql.assortativity("out", "out", False), sql.SUPPLIERS)
+def assortativity(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(structure.assortativity(tables.suppliers(spark, d)))
+
+
+def _assortativity(mode: str) -> None:
+    first, second = mode.split("-")
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return rounded(structure.assortativity(tables.users(spark, d), config.Assortativity(mode)))
+
+    run.__name__ = f"assortativity_{first}_{second}"
+    query(sql.assortativity(first, second, True), sql.USERS)(run)
+
+
+for _mode in ("out-in", "out-out", "in-in", "in-out"):
+    _assortativity(_mode)
+
+
+@query(sql.MODULARITY, sql.NATIONS)
+def modularity(spark: SparkSession, d: str) -> DataFrame:
+    regions = tables.table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.col("n_regionkey").cast("int").alias("community"))
+    return rounded(structure.modularity(tables.nations(spark, d), regions))
+
+
+@query()
+def greedy_communities(spark: SparkSession, d: str) -> DataFrame:
+    """Of nations' heavier arcs; a job a merge, so a graph of few communities."""
+    g = tables.nations(spark, d)
+    mean = g.arcs.agg(F.avg("weight")).first()[0]
+    return community.greedy(Graph(g.nodes, g.arcs.where(F.col("weight") > 1.15 * mean), True, True))
+
+
+@query(", reach AS (SELECT id, id AS c FROM nodes UNION SELECT r.id, x.t FROM reach r JOIN (SELECT src AS s, dst AS t FROM arcs UNION SELECT dst, src FROM arcs) x ON x.s = r.c) SELECT id, min(c) AS component FROM reach GROUP BY id", sql.SUPPLIERS)
+def components(spark: SparkSession, d: str) -> DataFrame:
+    return paths.components(tables.suppliers(spark, d))
+
+
+# ---- the graph itself
+
+
+@query(sql.TEXT, sql.NATIONS)
+def graph_text_and_hash(spark: SparkSession, d: str) -> DataFrame:
+    return tables.nations(spark, d).text().select("text", F.sha2("text", 256).alias("hash"))
+
+
+@query(sql.MATRIX, sql.NATIONS)
+def matrix(spark: SparkSession, d: str) -> DataFrame:
+    return tables.nations(spark, d).matrix().select("id", F.array_join(F.transform("cells", lambda x: x.cast("long").cast("string")), " ").alias("cells"))
+
+
+@query("SELECT src, dst, weight FROM arcs", sql.NATIONS)
+def json_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    return deserialize(tables.nations(spark, d).serialize()).arcs
+
+
+@query("SELECT src, dst, weight FROM arcs", sql.SUPPLIERS)
+def legacy_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    return files.parse(files.write_legacy(tables.suppliers(spark, d)).select(F.col("text").alias("json"))).arcs
+
+
+@query("SELECT src, dst, 1.0::DOUBLE AS weight FROM arcs", sql.NATIONS)
+def from_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return Graph.from_matrix(tables.nations(spark, d).matrix(), True, False).arcs
+
+
+@query("SELECT id, count(src) AS degree FROM nodes LEFT JOIN arcs ON src = id GROUP BY id", sql.USERS)
+def node_degrees(spark: SparkSession, d: str) -> DataFrame:
+    return tables.users(spark, d).degrees()
+
+
+@query("SELECT dst AS id FROM arcs WHERE src = (SELECT min(id) FROM nodes)", sql.USERS)
+def neighbors(spark: SparkSession, d: str) -> DataFrame:
+    g = tables.users(spark, d)
+    return g.neighbors(g.nodes.agg(F.min("id")).first()[0])
+
+
+@query("SELECT count(*) AS arcs, (SELECT count(*) FROM nodes) AS nodes FROM arcs", sql.USERS)
+def counts(spark: SparkSession, d: str) -> DataFrame:
+    g = tables.users(spark, d)
+    return g.arcs.agg(F.count("*").alias("arcs")).crossJoin(g.nodes.agg(F.count("*").alias("nodes")))
+
+
+@query("SELECT src, dst, weight FROM arcs WHERE src::BIGINT % 10 <> 0 AND dst::BIGINT % 10 <> 0", sql.USERS)
+def remove_nodes(spark: SparkSession, d: str) -> DataFrame:
+    g = tables.users(spark, d)
+    return g.remove_nodes(g.nodes.where(F.col("id").cast("long") % 10 == 0).select("id")).arcs
+
+
+@query("SELECT src, dst, weight FROM arcs WHERE (src::BIGINT + dst::BIGINT) % 5 <> 0", sql.SUPPLIERS)
+def remove_edges(spark: SparkSession, d: str) -> DataFrame:
+    g = tables.suppliers(spark, d)
+    gone = g.arcs.where((F.col("src").cast("long") + F.col("dst").cast("long")) % 5 == 0).where("src < dst")
+    return g.remove_edges(gone.select("src", "dst")).arcs
+
+
+@query("SELECT src, dst, weight FROM arcs UNION SELECT id || 'x', id, 1.0 FROM nodes UNION SELECT id, id || 'x', 1.0 FROM nodes", sql.SUPPLIERS)
+def add_nodes_and_edges(spark: SparkSession, d: str) -> DataFrame:
+    g = tables.suppliers(spark, d)
+    more = g.nodes.select(F.concat("id", F.lit("x")).alias("id"))
+    return g.add_nodes(more).add_edges(more.select(F.col("id").alias("src"), F.regexp_replace("id", "x", "").alias("dst"))).arcs
+
+
+@query(", p AS (SELECT src, dst, weight, row_number() OVER (ORDER BY src, dst) AS i FROM arcs WHERE src <> dst) SELECT a.i AS path_id, a.weight + b.weight AS total FROM p a JOIN arcs b ON b.src = a.dst AND b.dst = a.src", sql.NATIONS)
+def path_totals(spark: SparkSession, d: str) -> DataFrame:
+    """There and back over every arc but loops."""
+    g = tables.nations(spark, d)
+    from pyspark.sql import Window as W
+
+    ways = g.arcs.where("src <> dst").select(F.row_number().over(W.orderBy("src", "dst")).cast("long").alias("path_id"), F.array("src", "dst", "src").alias("nodes"))
+    return g.paths(ways).where("missing is null").select("path_id", "total")
+
+
+@query("SELECT n_nationkey::VARCHAR AS id, n_name AS name, 'yes' AS seen FROM nation WHERE n_nationkey = 3")
+def tags(spark: SparkSession, d: str) -> DataFrame:
+    nodes = tables.table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.create_map(F.lit("name"), F.col("n_name"), F.lit("old"), F.lit("x")).alias("tags"))
+    g = Graph(nodes, tables.nations(spark, d).arcs, True, True).add_tag("3", "seen", "no").update_tag("3", "seen", "yes").remove_tag("3", "old")
+    return g.node("3").select("id", F.col("tags")["name"].alias("name"), F.col("tags")["seen"].alias("seen"))
+
+
+# ---- generators
+
+
+def _ends(g: Graph) -> DataFrame:
+    return g.arcs.where("src < dst").select("src", "dst") if not g.directed else g.arcs.select("src", "dst")
+
+
+def _canonical(text: str) -> str:
+    return f"SELECT least(src, dst) AS src, greatest(src, dst) AS dst FROM ({text})"
+
+
+@query(sql.GRID.format(rows=20, cols=30, right="y < 29", down="x < 19"))
+def grid(spark: SparkSession, d: str) -> DataFrame:
+    return _ends(generators.grid(spark, 20, 30))
+
+
+@query(sql.GRID.format(rows=2, cols=5, right="true", down="false"))
+def grid_torus(spark: SparkSession, d: str) -> DataFrame:
+    return _ends(generators.grid(spark, 2, 5, torus=True))
+
+
+@query(sql.HEX.format(e=5))
+def triangle_hex(spark: SparkSession, d: str) -> DataFrame:
+    return _ends(generators.triangle_hex(spark, 6))
+
+
+@query(_canonical(sql.erdos_renyi(300, 0.05, 7, False)))
+def erdos_renyi(spark: SparkSession, d: str) -> DataFrame:
+    return _ends(generators.erdos_renyi(spark, 300, 0.05, seed=7))
+
+
+@query(sql.erdos_renyi(300, 0.02, 8, True))
+def erdos_renyi_directed(spark: SparkSession, d: str) -> DataFrame:
+    return _ends(generators.erdos_renyi(spark, 300, 0.02, directed=True, seed=8))
+
+
+@query(_canonical(sql.points(500, 9) + " SELECT i::VARCHAR AS src, j::VARCHAR AS dst FROM d WHERE d <= 0.08"))
+def random_geometric(spark: SparkSession, d: str) -> DataFrame:
+    return _ends(generators.random_geometric(spark, 500, 0.08, seed=9))
+
+
+@query(_canonical(sql.points(200, 10) + f" SELECT i::VARCHAR AS src, j::VARCHAR AS dst FROM d WHERE {sql.uniform(10, 'i', 'j')} < 0.6 * exp(-d / (0.3 * (SELECT max(d) FROM d)))"))
+def waxman(spark: SparkSession, d: str) -> DataFrame:
+    return _ends(generators.waxman(spark, 200, 0.6, 0.3, seed=10))
+
+
+@query()
+def barabasi_albert(spark: SparkSession, d: str) -> DataFrame:
+    return _ends(generators.barabasi_albert(spark, 500, 3, seed=11))
+
+
+@query()
+def watts_strogatz(spark: SparkSession, d: str) -> DataFrame:
+    return _ends(generators.watts_strogatz(spark, 500, 10, 0.1, seed=12))
+
+
+@query()
+def random_regular(spark: SparkSession, d: str) -> DataFrame:
+    return _ends(generators.random_regular(spark, 200, 6, seed=13))
+
+
+@query("SELECT i::VARCHAR AS id, round(-ln(1 - " + sql.uniform(1, "i") + ") / 2.0, 9) AS exponential, round(3.0 / pow(1 - " + sql.uniform(1, "i") + ", 1 / 2.5), 9) AS pareto, round(exp(4.6 + 0.5 * sqrt(-2 * ln(1 - " + sql.uniform(1, "i", "'u'") + ")) * cos(2 * pi() * " + sql.uniform(1, "i", "'v'") + ")), 6) AS log_normal FROM range(500) t(i)")
+def variates(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("id").cast("string")
+    return spark.range(500).select(i.alias("id"), F.round(rng.exponential(1, i, rate=2.0), 9).alias("exponential"), F.round(rng.pareto(1, i, least=3.0, alpha=2.5), 9).alias("pareto"), F.round(rng.log_normal(1, i, mu=4.6, sigma=0.5), 6).alias("log_normal"))
+
+
+# ---- propagation
+
+
+def _overlay(spark: SparkSession, d: str) -> tuple[propagation.Network, DataFrame]:
+    g = tables.suppliers(spark, d)
+    ms = lambda *k: F.floor(rng.uniform(*k) * 100) + 1
+    net = propagation.network(g, ms(5, "id"), ms(6, "src", "dst"))
+    return net, g.nodes.agg(F.min("id").alias("peer")).select(F.lit("m").alias("content"), "peer")
+
+
+def _flood(spark: SparkSession, d: str) -> tuple[propagation.Network, DataFrame]:
+    net, published = _overlay(spark, d)
+    return net, propagation.simulate(net, published)
+
+
+@query('SELECT \'m\' AS content, id AS peer_id, f AS "from", t AS timestamp FROM first', sql.SUPPLIERS + sql.FLOOD)
+def flood_first_receptions(spark: SparkSession, d: str) -> DataFrame:
+    return propagation.first_receptions(_flood(spark, d)[1])
+
+
+@query("SELECT 'm' AS content, sum(n - 1)::BIGINT AS duplicates FROM (SELECT id, count(DISTINCT f) AS n FROM (SELECT dst AS id, src AS f FROM sends UNION ALL SELECT id, id FROM start) GROUP BY id)", sql.SUPPLIERS + sql.FLOOD)
+def flood_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    return propagation.duplicates(_flood(spark, d)[1])
+
+
+@query("SELECT dst AS id, arrive AS t, src AS sender FROM sends UNION ALL SELECT id, 0.0, id FROM start", sql.SUPPLIERS + sql.FLOOD)
+def flood_log(spark: SparkSession, d: str) -> DataFrame:
+    return _flood(spark, d)[1].where("type = 'recv'").select("id", "t", F.col("from").alias("sender"))
+
+
+@query(", halt AS (SELECT least(min(CASE WHEN nxt IS NULL OR nxt - t > 30 THEN t END) + 30, min(t) + 400) AS stop FROM (SELECT t, lead(t) OVER (ORDER BY t) AS nxt FROM first)) SELECT id AS peer_id, t AS timestamp FROM first, halt WHERE t <= stop", sql.SUPPLIERS + sql.FLOOD)
+def flood_expired(spark: SparkSession, d: str) -> DataFrame:
+    return propagation.first_receptions(propagation.expire(_flood(spark, d)[1], 30.0, 400.0)).select("peer_id", "timestamp")
+
+
+@query("SELECT round(count(*) / (SELECT count(*) FROM nodes)::DOUBLE, 9) AS value FROM first", sql.SUPPLIERS + sql.FLOOD)
+def flood_reachability(spark: SparkSession, d: str) -> DataFrame:
+    net, log = _flood(spark, d)
+    return spark.createDataFrame([(round(propagation.reachability(net, log, "m"), 9),)], "value double")
+
+
+@query()
+def gossip_first_receptions(spark: SparkSession, d: str) -> DataFrame:
+    net, published = _overlay(spark, d)
+    return propagation.first_receptions(propagation.simulate(net, published, propagation.gossip(0.6, seed=3)))
+
+
+# ---- helpers
+
+
+@query("""WITH a AS (SELECT o_custkey::VARCHAR AS id, sum(o_totalprice)::DOUBLE AS value FROM orders GROUP BY 1), b AS (SELECT o_custkey::VARCHAR AS id, sum(o_totalprice)::DOUBLE AS value FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1),
+j AS (SELECT a.id AS i, b.id AS k, a.value AS r, b.value AS c, b.value - a.value AS d FROM a FULL JOIN b ON a.id = b.id)
+SELECT count(i) AS n_ref, count(k) AS n_cmp, count(d) AS n_common, count(*) FILTER (k IS NULL) AS missing_in_compare, count(*) FILTER (i IS NULL) AS missing_in_reference, round(avg(abs(d)), 4) AS mae, round(sqrt(avg(d * d)), 4) AS rmse, round(max(abs(d)), 4) AS max_abs_error, round(avg(abs(d) / abs(r)), 6) AS mape FROM j""")
+def error_report(spark: SparkSession, d: str) -> DataFrame:
+    orders = tables.table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("id"), "o_orderkey", F.col("o_totalprice").cast("double").alias("v"))
+    summed = lambda x: x.groupBy("id").agg(F.sum("v").alias("value"))
+    e = report.errors(summed(orders), summed(orders.where("o_orderkey % 2 = 0")))
+    return e.select("n_ref", "n_cmp", "n_common", "missing_in_compare", "missing_in_reference", F.round("mae", 4).alias("mae"), F.round("rmse", 4).alias("rmse"), F.round("max_abs_error", 4).alias("max_abs_error"), F.round("mape", 6).alias("mape"))
+
+
+@query("SELECT n_name AS key, n_nationkey::VARCHAR AS value FROM nation WHERE n_nationkey NOT IN (1, 2) UNION ALL SELECT 'Cake', '1'")
+def bimap(spark: SparkSession, d: str) -> DataFrame:
+    rows = tables.table(spark, d, "nation").select(F.col("n_name").alias("key"), F.col("n_nationkey").cast("string").alias("value"))
+    return Bimap(rows).insert(spark.createDataFrame([("Cake", "1")], "key string, value string")).remove_value("2").pairs
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return page_rank(spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
