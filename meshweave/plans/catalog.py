@@ -83,9 +83,9 @@ def diameter_weighted(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(""", ends AS (SELECT min(id) AS s, max(id) AS t FROM nodes),
-found AS (SELECT s AS at, s AS path, 0.0::DOUBLE AS d, [s] AS seen FROM ends UNION ALL
-  SELECT dst, path || '>' || dst, d + 1, list_append(seen, dst) FROM found JOIN arcs ON src = at WHERE d < 12 AND NOT list_contains(seen, dst) AND EXISTS (SELECT 1 FROM ends, pairs p, pairs q, pairs r WHERE p.src = s AND p.dst = t AND q.src = s AND q.dst = arcs.dst AND r.src = arcs.dst AND r.dst = t AND q.hops = d + 1 AND q.hops + r.hops = p.hops))
-SELECT path, d AS total FROM found, ends WHERE at = t""", sql.SUPPLIERS + sql.PAIRS)
+onway AS (SELECT q.dst AS id, q.hops FROM ends JOIN pairs p ON p.src = s AND p.dst = t JOIN pairs q ON q.src = s JOIN pairs r ON r.src = q.dst AND r.dst = t WHERE q.hops + r.hops = p.hops),
+found AS (SELECT s AS head, s AS path, 0 AS d FROM ends UNION ALL SELECT arcs.dst, path || '>' || arcs.dst, d + 1 FROM found JOIN arcs ON arcs.src = head JOIN onway ON id = arcs.dst AND hops = d + 1)
+SELECT path, d::DOUBLE AS total FROM found, ends WHERE head = t""", sql.SUPPLIERS + sql.PAIRS)
 def shortest_paths(spark: SparkSession, d: str) -> DataFrame:
     g = tables.suppliers(spark, d)
     ends = g.nodes.agg(F.min("id"), F.max("id")).first()
