@@ -29,15 +29,16 @@ class Queues:
 
     def __init__(self, buckets: int, room: int) -> None:
         self.parts: list[list] = [[] for _ in range(buckets)]
-        self.held = np.zeros(buckets, np.int64)
-        self.room = room
+        self.held = [0] * buckets
+        self.total, self.room = 0, room
         self.file = None
 
     def put(self, bucket: int, suffix: np.ndarray, shared: np.ndarray) -> None:
         self.parts[bucket].append((suffix, shared))
         self.held[bucket] += len(suffix)
-        while self.held.sum() > self.room:
-            self._spill(int(self.held.argmax()))
+        self.total += len(suffix)
+        while self.total > self.room:
+            self._spill(max(range(len(self.held)), key=self.held.__getitem__))
 
     def _spill(self, bucket: int) -> None:
         if self.file is None:
@@ -51,6 +52,7 @@ class Queues:
             self.file.write(np.ascontiguousarray(part[0], np.int64).tobytes() + np.ascontiguousarray(part[1], np.int32).tobytes())
             kept.append((at, len(part[0])))
         self.parts[bucket] = kept
+        self.total -= self.held[bucket]
         self.held[bucket] = 0
 
     def take(self, bucket: int):  # noqa: ANN201
@@ -157,15 +159,25 @@ def _buckets(text: np.ndarray, suffixes: np.ndarray, shared: np.ndarray) -> dict
 
 def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     """Lengths of common prefixes of suffixes a and b, up to about most."""
-    padded = np.concatenate([text.astype(np.int32), [-1]])
-    n = len(text)
+    n, width = len(text), int(text.max() + 1).bit_length()
+    step = max(1, 63 // width)
+    # As many characters as fit to a word, each one more than itself, so that the end differs.
+    word = np.zeros(n + 1, np.uint64)
+    for i in range(min(step, n)):
+        word[: n - i] |= (text[i:].astype(np.uint64) + np.uint64(1)) << np.uint64(width * i)
     out = np.zeros(len(a), np.int32)
     live = np.arange(len(a))
     while len(live) and most > 0:
-        same = padded[np.minimum(a[live] + out[live], n)] == padded[np.minimum(b[live] + out[live], n)]
-        live = live[same & (np.maximum(a[live], b[live]) + out[live] < n)]
-        out[live] += 1
-        most -= 1
+        x, y = np.minimum(a[live] + out[live], n), np.minimum(b[live] + out[live], n)
+        whole = (word[x] == word[y]) & (word[x] >> np.uint64(width * (step - 1)) > 0)
+        differs = live[~whole]
+        live = live[whole]
+        out[live] += step
+        for _ in range(step):
+            x, y = np.minimum(a[differs] + out[differs], n - 1), np.minimum(b[differs] + out[differs], n - 1)
+            differs = differs[(text[x] == text[y]) & (np.maximum(a[differs], b[differs]) + out[differs] < n)]
+            out[differs] += 1
+        most -= step
     return out
 
 

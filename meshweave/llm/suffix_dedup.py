@@ -34,7 +34,7 @@ from meshweave.llm.common import stash
 LENGTH = 200
 M = 32
 HOT = 2048
-SHARD = 1 << 20  # bytes sorted at once
+SHARD = 1 << 21  # bytes sorted at once
 CHUNK = 1 << 21
 BROADCAST = 1_000_000
 B1, B2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -162,25 +162,18 @@ def removed(docs: DataFrame, length: int = LENGTH, m: int = M, hot: int = HOT) -
     spans is an array of (start, end), merged and ascending."""
     kind = docs.schema["id"].dataType.simpleString()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raws = _raws(batch.column("text"))
-            for a, b in chunks(raws):
-                _, _, _, mh, k, h1, _ = stretches(raws[a:b], length, m)
-                yield pa.RecordBatch.from_arrays([pa.array(mh.view(np.int64)), pa.array(k.astype(np.int32)), pa.array(h1.view(np.int64))], ["mh", "k", "h1"])
-
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raws = _raws(batch.column("text"))
             for a, b in chunks(raws):
-                own, start, n, mh, _, h1, h2 = stretches(raws[a:b], length, m)
+                own, start, n, mh, k, h1, h2 = stretches(raws[a:b], length, m)
                 take = pa.array(own)
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([pa.array(mh.view(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), part.column("id").take(take), part.column("th").take(take), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["mh", "h1", "h2", "id", "th", "start", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(mh.view(np.int64)), pa.array(k.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), part.column("id").take(take), part.column("th").take(take), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["mh", "k", "h1", "h2", "id", "th", "start", "n"])
 
-    seen = docs.select("text").mapInArrow(count, "mh long, k int, h1 long").groupBy("mh").agg(F.sum("k").alias("c"), F.max("k").alias("k"), F.min("h1").alias("a"), F.max("h1").alias("b")).where("c > 1").select("mh", ((F.col("a") != F.col("b")) | (F.col("k") > 1)).alias("mixed"))
-    placed = docs.select("id", "th", "text").mapInArrow(place, f"mh long, h1 long, h2 long, id {kind}, th long, start int, n int")
-    shared = stash(placed.join(seen, "mh"), "stretches")
+    placed = stash(docs.select("id", "th", "text").mapInArrow(place, f"mh long, k int, h1 long, h2 long, id {kind}, th long, start int, n int"), "placed")
+    seen = placed.groupBy("mh").agg(F.sum("k").alias("c"), F.max("k").alias("k"), F.min("h1").alias("a"), F.max("h1").alias("b")).where("c > 1").select("mh", ((F.col("a") != F.col("b")) | (F.col("k") > 1)).alias("mixed"))
+    shared = stash(placed.drop("k").join(seen, "mh"), "stretches")
     # Equal stretches are repeated throughout.
     content = shared.groupBy("mh", "h1", "h2", "mixed").agg(F.count("*").alias("c"), F.min(F.struct("id", "th", "start", "n")).alias("at"))
     content = stash(content, "contents")
