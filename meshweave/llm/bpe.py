@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LONG = 200
-CACHED = 400_000
+CACHED = 150_000
 NEVER = 1 << 60
 #: Unicode's White_Space property.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"

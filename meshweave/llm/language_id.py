@@ -22,8 +22,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meshweave.llm.common import pieces
+
 N = 4  # characters of an n-gram
-CHUNK = 1 << 20  # characters worked on at once
+CHUNK = 1 << 18  # characters worked on at once
 _letters: list[np.ndarray] = []
 
 
@@ -136,7 +138,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     sample = usable.where(unit < F.element_at(share, F.col("lang")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts, langs = batch.column("text").to_pylist(), np.array(batch.column("lang").to_pylist(), object)
             for i, name in enumerate(languages):
                 mine = [texts[k] for k in np.flatnonzero(langs == name)]
@@ -145,7 +147,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), i, np.int32)), pa.array(grams.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             i, gram = batch.column("lang").to_numpy(), batch.column("gram").to_numpy().view(np.uint64)
             bit = (np.uint64(1) << (i % 64).astype(np.uint64)).view(np.int64)
             for at in positions(gram, rows, hashes):
@@ -168,7 +170,7 @@ def identify(docs: DataFrame, model: LanguageFilter, text: str = "text", keep: t
     used = docs.select(*[F.col(c) for c in keep], F.col(text).alias("__text"))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             names, scores = shared.value.predict(batch.column("__text").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
 

@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from meshweave.llm.common import pieces
+
 SYMBOLS = "#*$%&|<>"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 GAMMA = 1.02  # width of a bucket: quantiles are right within 1 %
@@ -60,7 +62,7 @@ def features(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
     used = docs.select(*[F.col(c) for c in keep], F.col(text).alias("__text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             rows = [base_counts(t) for t in batch.column("__text").to_pylist()]
             cols = zip(*rows, strict=True) if rows else [[]] * len(BASE)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(c, pa.int64()) for c in cols]], [*batch.schema.names[:-1], *BASE])

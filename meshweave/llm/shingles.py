@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-CHUNK = 1 << 21  # bytes worked on at once
+CHUNK = 1 << 19  # bytes worked on at once
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _space = np.zeros(256, bool)
 _space[[0x20, *range(0x09, 0x0E)]] = True

@@ -29,13 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshweave.llm import induced_sort
-from meshweave.llm.common import stash
+from meshweave.llm.common import pieces, stash
 
 LENGTH = 200
 M = 32
 HOT = 2048
 SHARD = 1 << 21  # bytes sorted at once
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 BROADCAST = 1_000_000
 B1, B2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _powers: dict[tuple[int, bool], np.ndarray] = {}
@@ -163,7 +163,7 @@ def removed(docs: DataFrame, length: int = LENGTH, m: int = M, hot: int = HOT) -
     kind = docs.schema["id"].dataType.simpleString()
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             raws = _raws(batch.column("text"))
             for a, b in chunks(raws):
                 own, start, n, mh, k, h1, h2 = stretches(raws[a:b], length, m)
@@ -195,7 +195,7 @@ def _cut(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     rows = docs.join(F.broadcast(side) if small <= BROADCAST else side, F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2"))).select("id", "th", "text", "cuts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 cols = {k: [] for k in ("mh", "c", "start", "bytes")}
@@ -226,7 +226,7 @@ def _sorted(texts: DataFrame, kind: str, length: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(cols[0], schema_id), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], ["id", "th", "from", "to"])
 
         held, size, last = [], 0, None
-        for batch in batches:
+        for batch in pieces(batches):
             schema_id = batch.schema.field("id").type
             for row in zip(*[batch.column(k).to_pylist() for k in ("id", "th", "mh", "c", "start", "bytes")], strict=True):
                 if size >= SHARD and row[2] != last:  # between minimizers only
@@ -245,7 +245,7 @@ def _counted(texts: DataFrame, kind: str, length: int) -> DataFrame:
     """Spans found by counting the windows of hot minimizers under 128-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             for i, raw in enumerate(batch.column("bytes").to_pylist()):
                 data = np.frombuffer(raw, np.uint8)
                 n = len(data) - length + 1
@@ -264,7 +264,7 @@ def _merged(spans: DataFrame, kind: str) -> DataFrame:
     by_doc = spans.groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("from", "to"))).alias("all"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             out = []
             for spans in batch.column("all").to_pylist():
                 merged: list[list[int]] = []
@@ -290,7 +290,7 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_bytes"] * with_bytes
-        for batch in batches:
+        for batch in pieces(batches):
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 out = []
