@@ -6,6 +6,10 @@ gives the sketch of both, exactly). Thresholds come from the sketch of the docum
 group, or, where that has under `least_rows` documents, from the merged sketch of its
 language, or of all. A join then gives each document its thresholds.
 
+The distance of a threshold from its quantile has a fixed floor a feature, with which the
+rules of repeated words and of duplicate lines hardly ever fire. With `by_spread` it comes
+from the sketch, and duplicate lines are a share of the lines with a word.
+
 Defined cases: null text has no words and fails the base rule. Null languages and
 sources form groups of their own. Ties lie in the same bucket. Repeated rows each count.
 An empty table gives an empty result. Other columns are not read.
@@ -34,13 +38,15 @@ FEATURES = {
     "repeat_share": ("n_repeat_words", "n_words", 0.45),
     "word_length": ("word_chars", "n_words", 2.0),
 }
+#: The features by_spread: numerator, denominator, largest distance where the middle has no spread.
+BY_SPREAD = FEATURES | {"dup_line_share": ("n_dup_lines", "n_lines", 0.30)}
 
 
-def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
-    """The BASE features of one text. bytes.split() splits at the six ASCII white-space
-    characters and no others."""
+def base_counts(text: str | None) -> tuple[int, int, int, int, int, int]:
+    """The BASE features of one text, and its lines with a word. bytes.split() splits at
+    the six ASCII white-space characters and no others."""
     if not text:
-        return 0, 0, 0, 0, 0
+        return 0, 0, 0, 0, 0, 0
     words = text.encode("utf-8", "surrogatepass").split()
     chars = len(text) - sum(text.count(c) for c in " \t\n\x0b\x0c\r")
     symbols = sum(text.count(c) for c in SYMBOLS)
@@ -54,21 +60,22 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
             if seen[g] > 1:
                 repeated += i + 3 - max(i, until)
                 until = i + 3
-    return len(words), chars, symbols, dup, repeated
+    return len(words), chars, symbols, dup, repeated, len(lines)
 
 
 def features(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
-    """The columns of keep and the BASE counts of each whole text."""
+    """The columns of keep, the BASE counts of each whole text, and n_lines."""
+    names = (*BASE, "n_lines")
     used = docs.select(*[F.col(c) for c in keep], F.col(text).alias("__text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             rows = [base_counts(t) for t in batch.column("__text").to_pylist()]
-            cols = zip(*rows, strict=True) if rows else [[]] * len(BASE)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(c, pa.int64()) for c in cols]], [*batch.schema.names[:-1], *BASE])
+            cols = zip(*rows, strict=True) if rows else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(c, pa.int64()) for c in cols]], [*batch.schema.names[:-1], *names])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in used.schema.fields[:-1])
-    return used.mapInArrow(count, f"{fields}, " + ", ".join(f"{c} long" for c in BASE))
+    return used.mapInArrow(count, f"{fields}, " + ", ".join(f"{c} long" for c in names))
 
 
 def base_failed() -> Column:
@@ -85,12 +92,16 @@ def _middle(bucket: Column) -> Column:
     return F.when(bucket == -100000, 0.0).otherwise(F.pow(F.lit(GAMMA), bucket) * (2 / (1 + GAMMA)))
 
 
-def thresholds(feats: DataFrame, least_rows: int = 200, reach: float = 4.0) -> DataFrame:
+def thresholds(feats: DataFrame, least_rows: int = 200, reach: float = 4.0, by_spread: bool = False) -> DataFrame:
     """Rows (level, lang, source, feature, low, high): from q10, q50 and q90 of each
     sketch, high = q90 + max(least distance, reach * (q90 - q50)), low likewise below
     q10. Levels: 0 a language's source, 1 a language, 2 all. Only groups of at least
-    least_rows documents are kept, but for level 2."""
-    long = feats.where(~base_failed()).select("lang", "source", F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), _bucket(F.col(a) / F.col(b)).alias("bucket")) for f, (a, b, _) in FEATURES.items()])))
+    least_rows documents are kept, but for level 2. by_spread: the distance is
+    reach * (q90 - q50), or, where these are equal, q99 - q90, so that a feature most
+    documents have none of is cut in its own upper tail, but no more than the feature's
+    largest distance, as over a hundredth may be junk; low likewise from q1."""
+    ratios = BY_SPREAD if by_spread else FEATURES
+    long = feats.where(~base_failed()).select("lang", "source", F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), _bucket(F.col(a) / F.col(b)).alias("bucket")) for f, (a, b, _) in ratios.items()])))
     fine = long.groupBy("lang", "source", "feature", "bucket").agg(F.count("*").alias("n"))
     merged = (
         fine.select(F.lit(0).alias("level"), "*")
@@ -101,18 +112,24 @@ def thresholds(feats: DataFrame, least_rows: int = 200, reach: float = 4.0) -> D
     # A group has as many rows as its sketch has buckets: bounded by the doubles' range.
     upto = merged.withColumn("upto", F.sum("n").over(W.partitionBy(*group).orderBy("bucket"))).withColumn("total", F.sum("n").over(W.partitionBy(*group)))
     q = lambda share: F.min(F.when(F.col("upto") >= share * F.col("total"), _middle(F.col("bucket"))))
-    cut = upto.groupBy(*group).agg(F.max("total").alias("rows"), q(0.1).alias("q10"), q(0.5).alias("q50"), q(0.9).alias("q90"))
-    slack = F.create_map(*[F.lit(x) for f, (_, _, s) in FEATURES.items() for x in (f, s)])[F.col("feature")]
-    return cut.where((F.col("level") == 2) | (F.col("rows") >= least_rows)).select(
+    cut = upto.groupBy(*group).agg(F.max("total").alias("rows"), q(0.01).alias("q1"), q(0.1).alias("q10"), q(0.5).alias("q50"), q(0.9).alias("q90"), q(0.99).alias("q99"))
+    kept = cut.where((F.col("level") == 2) | (F.col("rows") >= least_rows))
+    slack = F.create_map(*[F.lit(x) for f, (_, _, s) in ratios.items() for x in (f, s)])[F.col("feature")]
+    if by_spread:
+        below = F.when(F.col("q50") > F.col("q10"), reach * (F.col("q50") - F.col("q10"))).otherwise(F.least(slack, F.col("q10") - F.col("q1")))
+        above = F.when(F.col("q90") > F.col("q50"), reach * (F.col("q90") - F.col("q50"))).otherwise(F.least(slack, F.col("q99") - F.col("q90")))
+        # Quantiles are right within a bucket, so the bucket of a threshold still passes.
+        return kept.select(*group, ((F.col("q10") - below) / GAMMA).alias("low"), ((F.col("q90") + above) * GAMMA).alias("high"))
+    return kept.select(
         *group,
         (F.col("q10") - F.greatest(slack, reach * (F.col("q50") - F.col("q10")))).alias("low"),
         (F.col("q90") + F.greatest(slack, reach * (F.col("q90") - F.col("q50")))).alias("high"),
     )
 
 
-def verdicts(feats: DataFrame, least_rows: int = 200, reach: float = 4.0) -> DataFrame:
+def verdicts(feats: DataFrame, least_rows: int = 200, reach: float = 4.0, by_spread: bool = False) -> DataFrame:
     """feats with base_failed and kept. feats is read twice: pass a stash."""
-    cut = thresholds(feats, least_rows, reach)
+    cut = thresholds(feats, least_rows, reach, by_spread)
     wide = cut.groupBy("level", "lang", "source").agg(*[F.max(F.when(F.col("feature") == f, F.col(x))).alias(f"{f}_{x}") for f in FEATURES for x in ("low", "high")])
     names = [f"{f}_{x}" for f in FEATURES for x in ("low", "high")]
     levels = [wide.where(F.col("level") == i).select(*[F.col(k).alias(f"__{k}{i}") for k in ("lang", "source")], *[F.col(n).alias(f"{n}{i}") for n in names]) for i in range(3)]
@@ -120,7 +137,7 @@ def verdicts(feats: DataFrame, least_rows: int = 200, reach: float = 4.0) -> Dat
     out = out.join(levels[1], F.col("lang").eqNullSafe(F.col("__lang1")), "left")
     out = out.join(F.broadcast(levels[2].agg(*[F.max(f"{n}2").alias(f"{n}2") for n in names])), F.lit(True), "left")  # one row
     fits = F.lit(True)
-    for f, (a, b, _) in FEATURES.items():
+    for f, (a, b, _) in (BY_SPREAD if by_spread else FEATURES).items():
         low, high = (F.coalesce(*[F.col(f"{f}_{x}{i}") for i in range(3)]) for x in ("low", "high"))
         fits = fits & (F.col(a) / F.col(b)).between(low, high)
     failed = base_failed()

@@ -90,6 +90,35 @@ def test_quality_sketch_is_near_the_quantiles(spark):
     assert abs(cut["low"] + 2.0 - (100 + 200) / 100) < 0.02 * 3
 
 
+def test_quality_rules_by_spread_reject_planted_junk(spark):
+    def words(i, n):
+        return [f"w{i}x{k}" for k in range(n)]
+
+    def text(i, ws, per=20):
+        return "\n".join(" ".join(ws[k : k + per]) for k in range(0, len(ws), per))
+
+    rows = [(i, text(i, words(i, 200))) for i in range(600)]
+    junk = {
+        "symbol_share": text(1000, [w + "#$" for w in words(1000, 200)]),
+        "dup_line_share": "\n".join([" ".join(words(1001, 20))] * 4 + [text(1001, [f"z{k}y{k}" for k in range(200)])]),
+        "repeat_share": text(1002, words(1002, 60) + words(1002, 20) + [f"v{k}u{k}" for k in range(60)]),
+        "word_length": text(1003, [w + "abcdefghijkl" for w in words(1003, 200)]),
+    }
+    rows += [(1000 + k, t) for k, t in enumerate(junk.values())]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    feats = quality.features(docs)
+    cut = {r["feature"]: r for r in quality.thresholds(feats, by_spread=True).where("level = 0").collect()}
+    judged = {r["doc_id"]: r for r in quality.verdicts(feats, by_spread=True).collect()}
+    for k, f in enumerate(junk):
+        r = judged[1000 + k]
+        a, b, _ = quality.BY_SPREAD[f]
+        assert not r["base_failed"] and not r["kept"] and r[a] / r[b] > cut[f]["high"], f
+    assert all(judged[i]["kept"] for i in range(600))
+    # Junk in more than a hundredth of the documents does not raise the threshold to itself.
+    many = feats.unionByName(feats.where("doc_id = 1000").withColumn("doc_id", F.explode(F.sequence(F.lit(2000), F.lit(2029)))))
+    assert quality.verdicts(many, by_spread=True).where("doc_id >= 2000 and kept").count() == 0
+
+
 def test_mixing_skew(spark):
     rows = [(i, "hot" if i < 600 else f"s{i % 7}", "w " * (1 + i % 9)) for i in range(1000)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
