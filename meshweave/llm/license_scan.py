@@ -3,10 +3,12 @@
 Texts become words (letters and digits, lower case) and hashed five-word shingles.
 Templates fall into classes by length, powers of two c; a text is cut into windows of 2c
 words that start every c words, so a template of up to c words lies whole in a window.
-A template whose shingles are contained to 0.8 in a window has a Jaccard similarity of
-0.19 with it at least; BANDS bands of one MinHash value meet it with a probability of
-1 - 0.81^BANDS, over 0.9999, and for a full match over 0.999999. What the bands retrieve
-is verified by the exact share of the template's shingles in the window.
+The least Jaccard similarity that a template contained to 0.8, or whole, can have with a
+window follows from its number of shingles and the window's; each class has as many bands
+of one MinHash value, BANDS at least, as retrieve each of its templates with a probability
+over 1 - MISS, and, if whole, over 1 - MISS_WHOLE. A template of a single shingle would
+need very many, and is met by that shingle itself, surely. What the bands retrieve is
+verified by the exact share of the template's shingles in the window.
 
 Only DataFrame functions are used. Texts that lack every word of a set chosen so that no
 template can be contained without them are passed over before any shingle is made.
@@ -18,6 +20,7 @@ empty table gives an empty result. Other columns are not read, whatever their na
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -26,6 +29,8 @@ from pyspark.sql import functions as F
 WORDS = 5
 CONTAINED = 80  # percent
 BANDS = 48
+MISS, MISS_WHOLE = 1e-4, 1e-6
+MOST_BANDS = 256
 
 #: Notices of public licenses.
 TEMPLATES = {
@@ -63,16 +68,38 @@ def _class(n: int) -> int:
     return c
 
 
+def miss(shingles: int, c: int, bands: int, whole: bool = False) -> float:
+    """The largest probability that no band of a window of class c meets a template of so
+    many shingles, contained to CONTAINED, or whole: the window is full, and the rest of
+    its shingles are distinct."""
+    held = shingles if whole else -(-CONTAINED * shingles // 100)
+    return 0.0 if shingles == 1 else (1 - held / (2 * c - WORDS + 1 + shingles - held)) ** bands
+
+
+def bands_of(c: int, shingles: list[int]) -> int:
+    """The bands of class c for templates of so many shingles each."""
+    bands = BANDS
+    for n in shingles:
+        for bound, whole in ((MISS, False), (MISS_WHOLE, True)):
+            one = miss(n, c, 1, whole)
+            if one:
+                bands = max(bands, math.ceil(math.log(bound) / math.log(one)))
+    if bands > MOST_BANDS:
+        raise ValueError(f"templates of class {c} need {bands} bands; {MOST_BANDS} are the most")
+    return bands
+
+
 def _hashes(words: Column) -> Column:
     """Hashed shingles by position; empty where there are fewer words."""
     every = F.transform(F.sequence(F.lit(1), F.size(words) - WORDS + 1), lambda i: F.xxhash64(F.array_join(F.slice(words, i, WORDS), " ")))
     return F.when(F.size(words) >= WORDS, every).otherwise(F.array().cast("array<bigint>"))
 
 
-def _signature(hashes: Column) -> Column:
-    """One MinHash value per band: the least hash after its bits are flipped by a seed."""
-    seeds = F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda i: F.xxhash64(F.lit("band"), i))
-    return F.transform(seeds, lambda s: F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(s))))
+def _keys(hashes: Column, bands: int, single: bool) -> Column:
+    """Structs (band, value): one MinHash value per band, the least of the hashes hashed
+    again with the band; with single, also each hash itself as band 0."""
+    every = F.transform(F.sequence(F.lit(1), F.lit(bands)), lambda i: F.struct(i.alias("band"), F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, i))).alias("value")))
+    return F.concat(every, F.transform(hashes, lambda h: F.struct(F.lit(0).alias("band"), h.alias("value")))) if single else every
 
 
 def templates_table(docs: DataFrame, templates: dict[str, list[str]]) -> DataFrame:
@@ -102,10 +129,22 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     able = able.withColumn("hashes", _hashes(F.col("words"))).where(F.size("hashes") > 0)
     windows = F.flatten(F.array(*[_windows(c) for c in sizes]))
     cut = able.select(*keep, "row", F.inline(windows))
-    banded = cut.select("*", F.posexplode(_signature(F.col("found"))).alias("band", "value"))
-    keys = F.broadcast(known.select("*", F.posexplode(_signature(F.col("shingles"))).alias("band", "value")))  # as many as the templates given
+    shingles = {c: [] for c in sizes}
+    for r in known.select("class", F.size("shingles")).collect():  # as many as the templates given
+        shingles[r[0]].append(r[1])
+    bands = {c: bands_of(c, ns) for c, ns in shingles.items()}
+
+    def keyed(hashes: Column, single: Column | None = None) -> Column:
+        out = F.lit(None)
+        for c, ns in shingles.items():
+            one = _keys(hashes, bands[c], 1 in ns) if single is None else F.when(single, F.array(F.struct(F.lit(0).alias("band"), F.get(hashes, F.lit(0)).alias("value")))).otherwise(_keys(hashes, bands[c], False))
+            out = F.when(F.col("class") == c, one).otherwise(out)
+        return F.inline(out)
+
+    banded = cut.select("*", keyed(F.col("found")))
+    keys = F.broadcast(known.select("*", keyed(F.col("shingles"), F.size("shingles") == 1)))
     met = banded.join(keys, ["class", "band", "value"]).select(*keep, "row", "license_id", "template", "class", "window", "found", "shingles", "band")
-    # A window and a template meet in up to BANDS bands; the first stands for all.
+    # A window and a template meet in up to all bands of the class; one stands for all.
     contained = F.size(F.array_intersect("found", "shingles"))
     places = F.filter(F.transform("shingles", lambda s: F.array_position("found", s)), lambda p: p > 0)
     told = met.select(*keep, "row", "license_id", "template", "class", "window", contained.alias("contained"), F.size("shingles").alias("of"), (F.col("window") + F.array_min(places) - 1).cast("long").alias("first_word")).where(100 * F.col("contained") >= CONTAINED * F.col("of"))

@@ -212,6 +212,25 @@ def test_license_templates(spark):
     assert {r[0]: r[1] for r in long}[1] == 1.0 and 0.8 <= {r[0]: r[1] for r in long}[2] < 1.0
 
 
+def test_short_licenses_are_retrieved(spark):
+    for notice in ("Released under the MIT License.", "Licensed under the MIT License."):
+        # Starts at 4 to 7 modulo 8 lie in one window only, which is full of other words.
+        made = F.expr(f"concat_ws(' ', transform(sequence(1, 4 + id % 4), i -> concat('a', id, 'x', i)), '{notice}', transform(sequence(1, 20), i -> concat('b', id, 'x', i)))")
+        docs = spark.range(3000).select(F.col("id").alias("doc_id"), made.alias("text"))
+        assert license_scan.licenses(docs).where("license_id = 'MIT' and containment = 1").count() == 3000
+
+
+def test_license_bands(spark):
+    for t in (t for ts in license_scan.TEMPLATES.values() for t in ts):
+        n = len(license_scan.words_of(t))
+        c, m = license_scan._class(n), n - 4
+        bands = license_scan.bands_of(c, [m])
+        assert license_scan.miss(m, c, bands) <= license_scan.MISS and license_scan.miss(m, c, bands, whole=True) <= license_scan.MISS_WHOLE
+    assert license_scan.bands_of(8, [2]) == 76  # 1 - 2/12 a band
+    with pytest.raises(ValueError):
+        license_scan.bands_of(64, [2])
+
+
 def test_pipeline(spark, odd):
     import corpus_pipeline
 
