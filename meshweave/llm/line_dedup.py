@@ -11,12 +11,14 @@ length that lines of neighbouring lengths share; one edit leaves three of them a
 are, counted from the start before the edit and from the end after it. So a line that
 shares no such three pieces with another line has no partner, and one that does emits
 only the deletions in the remaining gap. Groups with a common variant are bounded by the
-alphabet and the line's length, as only distinct lines take part.
+alphabet and the line's length, as only distinct lines take part. Lines of 16 characters
+and less are too short for pieces and emit all their variants, which are few.
 
 Defined cases: null text stays null. Lines under `min_chars` characters always stay, as
-do blank ones. Of equal positions (rows that repeat an id) none is earlier, so repeated
-rows of a document keep or lose the same lines. Null ids come first. An empty table gives
-an empty result. All columns are passed through; only id and text are read.
+do blank ones; with 1 every other line takes part, and one edit is then much of a short
+line: any two of one character are near. Of equal positions (rows that repeat an id) none
+is earlier, so repeated rows of a document keep or lose the same lines. Null ids come
+first. An empty table gives an empty result. All columns are passed through; only id and text are read.
 """
 
 from __future__ import annotations
@@ -49,7 +51,7 @@ def _piece_keys(line: Column, size: Column) -> Column:
         return [F.struct(F.xxhash64(F.lit(j), q, F.substr(line, F.lit(1), j * q), F.substr(line, size - (PIECES - 1 - j) * q + 1, (PIECES - 1 - j) * q)).alias("key"), (j * q).alias("from"), (size - (PIECES - 1 - j) * q).alias("to")) for j in range(PIECES)]
 
     q = lambda n: STEP * F.floor(n / (PIECES * STEP))
-    return F.when(q(size) == q(size - 1), F.array(*keys(q(size).cast("int")))).otherwise(F.array(*keys(q(size).cast("int")), *keys(q(size - 1).cast("int"))))
+    return F.when((q(size) == q(size - 1)) | (q(size - 1) == 0), F.array(*keys(q(size).cast("int")))).otherwise(F.array(*keys(q(size).cast("int")), *keys(q(size - 1).cast("int"))))
 
 
 def _hash_table() -> np.ndarray:
@@ -87,18 +89,20 @@ def removed_lines(docs: DataFrame, min_chars: int = 20, max_edits: int = 1) -> D
     """Rows (id, th, at, near) of the lines to remove, from rows (id, th, text)."""
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
-    if min_chars < LEAST:
-        raise ValueError(f"min_chars is {LEAST} at least")
     line = F.col("line")
-    marked = _lines(docs, min_chars).select("id", "th", "at", F.xxhash64(line).alias("k1"), F.xxhash64(F.lit(1), line).alias("k2"), *([_piece_keys(line, F.length(line)).alias("keys")] if max_edits else []))
+    # A line of LEAST - 1 characters has keys for partners of one character more.
+    keys = _piece_keys(line, F.length(line))
+    sought = {"keys": keys} if min_chars >= LEAST else {"keys": F.when(F.length(line) >= LEAST - 1, keys), "short": F.length(line) < LEAST}
+    sought = sought if max_edits else {}
+    marked = _lines(docs, min_chars).select("id", "th", "at", F.xxhash64(line).alias("k1"), F.xxhash64(F.lit(1), line).alias("k2"), *[c.alias(n) for n, c in sought.items()])
     first = F.min(F.struct("id", "at", "th"))
-    distinct = stash(marked.groupBy("k1", "k2").agg(first.alias("first"), F.count("*").alias("n"), *([F.first("keys").alias("keys")] if max_edits else [])), "lines")
+    distinct = stash(marked.groupBy("k1", "k2").agg(first.alias("first"), F.count("*").alias("n"), *[F.first(n).alias(n) for n in sought]), "lines")
     cut = distinct.where("n > 1").select("k1", "k2", "first", F.lit(False).alias("near"))
     if max_edits:
         cut = cut.unionByName(_near(docs, distinct, min_chars))
     cut = cut.groupBy("k1", "k2").agg(F.min("first").alias("first"), F.max("near").alias("near"))
     place = F.struct("id", "at")
-    hit = marked.drop("keys").join(cut, ["k1", "k2"])
+    hit = marked.drop(*sought).join(cut, ["k1", "k2"])
     return hit.where(F.col("near") | (place > F.struct("first.id", "first.at"))).select("id", "th", "at", "near")
 
 
@@ -106,7 +110,11 @@ def _near(docs: DataFrame, distinct: DataFrame, min_chars: int) -> DataFrame:
     """Rows (k1, k2, first, near) of distinct lines with an earlier one an edit away."""
     keyed = distinct.select("k1", "k2", "first", F.inline("keys"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    able = keyed.join(shared, "key", "left_semi").groupBy("k1", "k2", "first").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
+    long = keyed if min_chars >= LEAST else distinct.where("not short").select("k1", "k2", "first", F.inline("keys"))
+    able = long.join(shared, "key", "left_semi").groupBy("k1", "k2", "first").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
+    if min_chars < LEAST:
+        whole = F.array(F.struct(F.lit(0).alias("from"), F.lit(LEAST).alias("to")))
+        able = able.unionByName(distinct.where("short").select("k1", "k2", "first", whole.alias("spans")))
     by_doc = able.select(F.col("first.id").alias("id"), F.col("first.th").alias("th"), F.struct(F.col("first.at").alias("at"), "k1", "k2", "spans").alias("c")).groupBy("id", "th").agg(F.collect_list("c").alias("c"))
     told = docs.alias("d").join(by_doc.alias("c"), F.col("d.id").eqNullSafe(F.col("c.id")) & (F.col("d.th") == F.col("c.th"))).select("d.id", "d.th", F.inline("c.c"), "d.text")
     texts = stash(told.select("id", "th", "at", "k1", "k2", "spans", F.get(F.split("text", "\n", -1), F.col("at")).alias("line")).dropDuplicates(["k1", "k2"]), "near-lines")

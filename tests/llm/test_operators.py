@@ -165,6 +165,40 @@ def test_near_lines(spark):
     assert (out[3]["text"], out[3]["n_near"]) == ("short\nshort", 1) and out[1]["n_near"] == 0
 
 
+@pytest.mark.parametrize("edits", [0, 1])
+def test_short_lines_by_brute_force(spark, edits):
+    import random
+
+    def near(a, b):
+        if a == b:
+            return True
+        k = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        return edits == 1 and (a[k + 1 :] == b[k + 1 :] or a[k + 1 :] == b[k:] or a[k:] == b[k + 1 :])
+
+    rng = random.Random(3)
+    lines = []
+    for n in [*range(1, 21)] * 12:
+        line = "".join(rng.choice("abcdefgh") for _ in range(n))
+        lines.append(line)
+        for _ in range(rng.randrange(3)):
+            k = rng.randrange(n)
+            lines.append(rng.choice([line, line[:k] + line[k + 1 :], line[:k] + "x" + line[k:], line[:k] + "y" + line[k + 1 :]]))
+    rng.shuffle(lines)
+    rows = [(i // 5, lines[i : i + 5]) for i in range(0, len(lines), 5)]
+    docs = spark.createDataFrame([(i, "\n".join(part)) for i, part in rows], "doc_id long, text string")
+    before, want = [], {}
+    for i, part in rows:
+        kept = []
+        for line in part:
+            if line == "" or not any(near(line, b) for b in before):
+                kept.append(line)
+            if line:
+                before.append(line)
+        want[i] = "\n".join(kept)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(docs, min_chars=1, max_edits=edits).collect()}
+    assert got == want
+
+
 def test_jaccard_groups_by_brute_force(spark):
     import random
 
