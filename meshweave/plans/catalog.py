@@ -230,10 +230,8 @@ def modularity(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def greedy_communities(spark: SparkSession, d: str) -> DataFrame:
-    """Of nations' heavier arcs; a job a merge, so a graph of few communities."""
-    g = tables.nations(spark, d)
-    mean = g.arcs.agg(F.avg("weight")).first()[0]
-    return community.greedy(Graph(g.nodes, g.arcs.where(F.col("weight") > 1.15 * mean), True, True))
+    """Of suppliers, all mutual best merges of a round at once."""
+    return community.rounds(tables.suppliers(spark, d))
 
 
 @query(", reach AS (SELECT id, id AS c FROM nodes UNION SELECT r.id, x.t FROM reach r JOIN (SELECT src AS s, dst AS t FROM arcs UNION SELECT dst, src FROM arcs) x ON x.s = r.c) SELECT id, min(c) AS component FROM reach GROUP BY id", sql.SUPPLIERS)

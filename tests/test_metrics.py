@@ -7,6 +7,8 @@ from meshweave.analyzer import Analyzer
 from meshweave.graph import Graph, GraphError, node_rows
 from meshweave.operators import centrality, community, paths, report, structure
 from meshweave.operators.bimap import Bimap
+from meshweave.plans import catalog
+from meshweave.sources import tables
 
 
 def graph(spark, edges, directed=False, nodes=""):
@@ -67,6 +69,32 @@ def test_communities(spark):
     assert abs(Analyzer(g).modularity().first()[0] - 0.357142857) < 1e-8
 
 
+def test_community_rounds(spark, sf):
+    g = graph(spark, ["12", "23", "13", "45", "56", "46", "34"], nodes="1234567")
+    assert {r["id"]: r["community"] for r in community.rounds(g).collect()} == {"1": 0, "2": 0, "3": 0, "4": 1, "5": 1, "6": 1, "7": 2}
+    assert community.rounds(graph(spark, [], nodes="abc")).count() == 3
+    hub = community.rounds(graph(spark, ["ab", "ac", "ad"])).collect()
+    assert len({r["community"] for r in hub}) == 1
+
+    for d in (sf, "/root/testdata/sf0.01"):
+        g = tables.suppliers(spark, d)
+        of = {r["id"]: r["community"] for r in catalog.queries()["greedy_communities"](spark, d).collect()}
+        assert set(of) == {r["id"] for r in g.nodes.collect()}  # every supplier, by all arcs
+        edges = {tuple(sorted((r["src"], r["dst"]))) for r in g.arcs.collect() if r["src"] != r["dst"]}
+        m, degree, inside, across = len(edges), {}, 0, {}
+        for u, v in edges:
+            x, y = sorted((of[u], of[v]))
+            for c in (x, y):
+                degree[c] = degree.get(c, 0) + 1
+            inside += x == y
+            across[x, y] = across.get((x, y), 0) + (x != y)
+        q = inside / m - sum((k / (2 * m)) ** 2 for k in degree.values())
+        assert all(2 * m * n <= degree[x] * degree[y] for (x, y), n in across.items() if x != y)  # no merge gains
+        assert q > 0
+        if d == sf:
+            assert q > 0.9 * structure.modularity(g, community.greedy(g)).first()[0]
+
+
 def test_edge_cases(spark):
     g = graph(spark, [], directed=True, nodes="abc")
     assert values(centrality.eigenvector(g)) == {n: round(1 / 3, 9) for n in "abc"}
