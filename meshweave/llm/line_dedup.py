@@ -1,10 +1,11 @@
 """Line dedup by a deletion-neighbourhood join.
 
 A line goes if an earlier line, by (document, line number), is equal or one edit away.
-Equal lines are found by a 128-bit hash. For the rest, each distinct line emits every
-variant with one character deleted, as hashed keys: lines with a common variant at the
-same place differ by a substitution, and a line that is another's variant lacks one of
-its characters. Pairs that meet are verified by their edit distance.
+Equal lines are found by a 128-bit hash; lines of any length take part. For lines of
+`near_chars` characters or more, each distinct one then emits every variant with one
+character deleted, as hashed keys: lines with a common variant at the same place differ by
+a substitution, and a line that is another's variant lacks one of its characters. Pairs
+that meet are verified by their edit distance, and the earliest line is kept.
 
 Only lines that can have a partner emit variants. A line is cut into four pieces of a
 length that lines of neighbouring lengths share; one edit leaves three of them as they
@@ -14,11 +15,17 @@ only the deletions in the remaining gap. Groups with a common variant are bounde
 alphabet and the line's length, as only distinct lines take part. Lines of 16 characters
 and less are too short for pieces and emit all their variants, which are few.
 
-Defined cases: null text stays null. Lines under `min_chars` characters always stay, as
-do blank ones; with 1 every other line takes part, and one edit is then much of a short
-line: any two of one character are near. Of equal positions (rows that repeat an id) none
-is earlier, so repeated rows of a document keep or lose the same lines. Null ids come
-first. An empty table gives an empty result. All columns are passed through; only id and text are read.
+The edit bound is 0 or 1. With one deletion, all lines of a group are within the bound of
+each other, so that each need only meet the earliest; with more deletions they are not, and
+every pair of a group would have to be made.
+
+Defined cases: null text stays null. Blank lines always stay, as do lines under
+`min_chars` characters, which is off by default. One edit is much of a short line (any two
+lines of one character are near), hence `near_chars`. Of equal positions (rows that repeat
+an id) none is earlier, so repeated rows of a document keep or lose the same lines. Null
+ids come first. An empty table gives an empty result. All columns are passed through,
+whatever their names; only id and text are read. Rows are told apart by their id and a
+64-bit hash of their text.
 """
 
 from __future__ import annotations
@@ -44,14 +51,26 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return docs.select("id", "th", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).where((F.length(line) >= min_chars) & (F.trim(line) != ""))
 
 
+def _piece_size(n):  # noqa: ANN001, ANN202
+    """Of a line of n characters, a column or a number."""
+    return STEP * (F.floor(n / (PIECES * STEP)).cast("int") if isinstance(n, Column) else n // (PIECES * STEP))
+
+
 def _piece_keys(line: Column, size: Column) -> Column:
-    """Keys of all but one piece, under the length's piece size and that of one less."""
+    """Keys of all but one piece, under the length's piece size and, where it differs, that
+    of one less."""
 
     def keys(q: Column) -> list[Column]:
-        return [F.struct(F.xxhash64(F.lit(j), q, F.substr(line, F.lit(1), j * q), F.substr(line, size - (PIECES - 1 - j) * q + 1, (PIECES - 1 - j) * q)).alias("key"), (j * q).alias("from"), (size - (PIECES - 1 - j) * q).alias("to")) for j in range(PIECES)]
+        return [F.xxhash64(F.lit(j), q, F.substr(line, F.lit(1), j * q), F.substr(line, size - (PIECES - 1 - j) * q + 1, (PIECES - 1 - j) * q)) for j in range(PIECES)]
+
+    own, less = _piece_size(size), _piece_size(size - 1)
+    return F.when((own == less) | (less == 0), F.array(*keys(own))).otherwise(F.array(*keys(own), *keys(less)))
 
-    q = lambda n: STEP * F.floor(n / (PIECES * STEP))
-    return F.when((q(size) == q(size - 1)) | (q(size - 1) == 0), F.array(*keys(q(size).cast("int")))).otherwise(F.array(*keys(q(size).cast("int")), *keys(q(size - 1).cast("int"))))
+
+def _gap(size: int, i: int) -> tuple[int, int]:
+    """The places that the i-th key of a line leaves out."""
+    q, j = _piece_size(size - i // PIECES), i % PIECES
+    return j * q, size - (PIECES - 1 - j) * q
 
 
 def _hash_table() -> np.ndarray:
@@ -85,45 +104,45 @@ def variants(line: str, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.nd
     return (h ^ (h >> np.uint64(29))).view(np.int64), np.concatenate([[-1], at]).astype(np.int32)
 
 
-def removed_lines(docs: DataFrame, min_chars: int = 20, max_edits: int = 1) -> DataFrame:
+def removed_lines(docs: DataFrame, min_chars: int = 1, max_edits: int = 1, near_chars: int = 20) -> DataFrame:
     """Rows (id, th, at, near) of the lines to remove, from rows (id, th, text)."""
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
-    line = F.col("line")
+    line, size = F.col("line"), F.length("line")
     # A line of LEAST - 1 characters has keys for partners of one character more.
-    keys = _piece_keys(line, F.length(line))
-    sought = {"keys": keys} if min_chars >= LEAST else {"keys": F.when(F.length(line) >= LEAST - 1, keys), "short": F.length(line) < LEAST}
-    sought = sought if max_edits else {}
+    sought = {"keys": F.when(size >= max(near_chars, LEAST - 1), _piece_keys(line, size)), "short": size.between(near_chars, LEAST - 1)} if max_edits else {}
     marked = _lines(docs, min_chars).select("id", "th", "at", F.xxhash64(line).alias("k1"), F.xxhash64(F.lit(1), line).alias("k2"), *[c.alias(n) for n, c in sought.items()])
     first = F.min(F.struct("id", "at", "th"))
     distinct = stash(marked.groupBy("k1", "k2").agg(first.alias("first"), F.count("*").alias("n"), *[F.first(n).alias(n) for n in sought]), "lines")
     cut = distinct.where("n > 1").select("k1", "k2", "first", F.lit(False).alias("near"))
     if max_edits:
-        cut = cut.unionByName(_near(docs, distinct, min_chars))
-    cut = cut.groupBy("k1", "k2").agg(F.min("first").alias("first"), F.max("near").alias("near"))
+        cut = cut.unionByName(_near(docs, distinct))
+    # As a table of its own, so that a line that very many documents hold can be split in the join.
+    cut = stash(cut.groupBy("k1", "k2").agg(F.min("first").alias("first"), F.max("near").alias("near")), "cut")
     place = F.struct("id", "at")
     hit = marked.drop(*sought).join(cut, ["k1", "k2"])
     return hit.where(F.col("near") | (place > F.struct("first.id", "first.at"))).select("id", "th", "at", "near")
 
 
-def _near(docs: DataFrame, distinct: DataFrame, min_chars: int) -> DataFrame:
+def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """Rows (k1, k2, first, near) of distinct lines with an earlier one an edit away."""
-    keyed = distinct.select("k1", "k2", "first", F.inline("keys"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    long = keyed if min_chars >= LEAST else distinct.where("not short").select("k1", "k2", "first", F.inline("keys"))
-    able = long.join(shared, "key", "left_semi").groupBy("k1", "k2", "first").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
-    if min_chars < LEAST:
-        whole = F.array(F.struct(F.lit(0).alias("from"), F.lit(LEAST).alias("to")))
-        able = able.unionByName(distinct.where("short").select("k1", "k2", "first", whole.alias("spans")))
-    by_doc = able.select(F.col("first.id").alias("id"), F.col("first.th").alias("th"), F.struct(F.col("first.at").alias("at"), "k1", "k2", "spans").alias("c")).groupBy("id", "th").agg(F.collect_list("c").alias("c"))
-    told = docs.alias("d").join(by_doc.alias("c"), F.col("d.id").eqNullSafe(F.col("c.id")) & (F.col("d.th") == F.col("c.th"))).select("d.id", "d.th", F.inline("c.c"), "d.text")
-    texts = stash(told.select("id", "th", "at", "k1", "k2", "spans", F.get(F.split("text", "\n", -1), F.col("at")).alias("line")).dropDuplicates(["k1", "k2"]), "near-lines")
+    keys = distinct.select(F.explode("keys").alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    # A line is known by its first place alone while keys meet.
+    keyed = distinct.where("not short").select("first.*", F.posexplode("keys").alias("i", "key"))
+    able = keyed.join(shared, "key", "left_semi").select("id", "th", "at", "i").unionByName(distinct.where("short").select("first.*", F.lit(-1).alias("i")))
+    by_line = able.groupBy("id", "th", "at").agg(F.collect_set("i").alias("gaps"))
+    by_doc = by_line.groupBy("id", "th").agg(F.collect_list(F.struct("at", "gaps")).alias("c"))
+    told = docs.alias("d").join(by_doc.alias("c"), F.col("d.id").eqNullSafe(F.col("c.id")) & (F.col("d.th") == F.col("c.th"))).select("d.id", "d.th", F.split("d.text", "\n", -1).alias("all"), F.inline("c.c"))
+    line = F.col("line")
+    texts = told.select("id", "th", "at", "gaps", F.get("all", F.col("at")).alias("line")).select("*", F.xxhash64(line).alias("k1"), F.xxhash64(F.lit(1), line).alias("k2"))
+    texts = stash(texts.dropDuplicates(["k1", "k2"]), "near-lines")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                made = [variants(t, [(s["from"], s["to"]) for s in spans]) for t, spans in zip(part.column("line").to_pylist(), part.column("spans").to_pylist(), strict=True)]
+                made = [variants(t, [(0, len(t)) if i < 0 else _gap(len(t), i) for i in gaps]) for t, gaps in zip(part.column("line").to_pylist(), part.column("gaps").to_pylist(), strict=True)]
                 take = pa.array(np.repeat(np.arange(len(made)), [len(h) for h, _ in made]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h for h, _ in made])), pa.array(np.concatenate([p for _, p in made])), *[part.column(c).take(take) for c in ("id", "at", "k1", "k2")]], ["v", "place", "id", "at", "k1", "k2"])
 
@@ -144,17 +163,19 @@ def _near(docs: DataFrame, distinct: DataFrame, min_chars: int) -> DataFrame:
     return near.select("k1", "k2", "first", F.lit(True).alias("near")).distinct()
 
 
-def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", min_chars: int = 20, max_edits: int = 1, counts: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", min_chars: int = 1, max_edits: int = 1, counts: bool = False, near_chars: int = 20) -> DataFrame:
     """docs with the removed lines gone from text; with counts, also n_lines, n_exact and
     n_near, long (a line that is both counts as near)."""
     used = docs.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text")).where("text is not null")
-    gone = removed_lines(used, min_chars, max_edits).distinct()
-    by_doc = gone.groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_set("at").alias("__gone"), F.count_if("near").alias("__near"))
-    out = docs.join(by_doc, F.col(key).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text)) == F.col("__th")), "left")
-    parts = F.split(F.col(text), "\n", -1)
-    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("__gone", i)), "\n")
-    cols = [F.when(F.col("__gone").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text else F.col(c) for c in docs.columns]
+    gone = removed_lines(used, min_chars, max_edits, near_chars).distinct()
+    by_doc = gone.groupBy("id", "th").agg(F.collect_set("at").alias("gone"), F.count_if("near").alias("near"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    own = F.col("row")[text]
+    out = rows.join(by_doc, F.col("row")[key].eqNullSafe(F.col("id")) & (F.xxhash64(own) == F.col("th")), "left")
+    parts = F.split(own, "\n", -1)
+    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("gone", i)), "\n")
+    cols = [(F.when(F.col("gone").isNull(), own).otherwise(kept) if c == text else F.col("row")[c]).alias(c) for c in docs.columns]
     if counts:
-        near = F.coalesce("__near", F.lit(0))
-        cols += [F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), (F.coalesce(F.size("__gone"), F.lit(0)) - near).cast("long").alias("n_exact"), near.cast("long").alias("n_near")]
+        near = F.coalesce("near", F.lit(0))
+        cols += [F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), (F.coalesce(F.size("gone"), F.lit(0)) - near).cast("long").alias("n_exact"), near.cast("long").alias("n_near")]
     return out.select(*cols)

@@ -70,13 +70,13 @@ taken AS (SELECT *, CAST(floor(CAST(start AS DOUBLE) / budget * blocks) AS BIGIN
 SELECT doc_id, source, tokens, epoch, block, row_number() OVER (PARTITION BY block ORDER BY hb, key, epoch, start) AS position FROM taken
 """
 
-#: An edit leaves the first or the last eight characters of a line of twenty as they are.
+#: Lines of twenty characters or more can be near: an edit leaves their first or last eight as they are.
 ORACLES["op6_line_dedup"] = r"""
 WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
 lines AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM split),
-long_lines AS (SELECT * FROM lines WHERE length(line) >= 20 AND trim(line) <> ''),
-firsts AS (SELECT line, min((doc_id, pos)) AS f1 FROM long_lines GROUP BY line),
-ends AS (SELECT *, 'l' || left(line, 8) AS e FROM firsts UNION ALL SELECT *, 'r' || right(line, 8) AS e FROM firsts),
+firsts AS (SELECT line, min((doc_id, pos)) AS f1 FROM lines WHERE trim(line) <> '' GROUP BY line),
+able AS (SELECT * FROM firsts WHERE length(line) >= 20),
+ends AS (SELECT *, 'l' || left(line, 8) AS e FROM able UNION ALL SELECT *, 'r' || right(line, 8) AS e FROM able),
 near AS (SELECT DISTINCT a.line FROM ends a JOIN ends b USING (e) WHERE b.f1 < a.f1 AND abs(length(a.line) - length(b.line)) <= 1 AND levenshtein(a.line, b.line) <= 1),
 judged AS (
   SELECT l.doc_id, l.pos, l.line, f.line IS NOT NULL AND n.line IS NULL AND (l.doc_id, l.pos) > f.f1 AS exact, n.line IS NOT NULL AS near

@@ -161,8 +161,8 @@ def test_near_lines(spark):
     rows = [(1, f"{a}\nunique one that is long enough"), (2, f"{a}\n{a[:5]}X{a[6:]}\n{a[:9] + a[10:]}\n{a}s"), (3, f"short\nshort\n{a[:4]}YX{a[6:]}")]
     out = {r["doc_id"]: r for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), counts=True).collect()}
     assert (out[2]["text"], out[2]["n_exact"], out[2]["n_near"]) == ("", 1, 3)
-    # Two edits from the first line, one from a line of document 2.
-    assert (out[3]["text"], out[3]["n_near"]) == ("short\nshort", 1) and out[1]["n_near"] == 0
+    # Two edits from the first line, one from a line of document 2. Short lines go if equal.
+    assert (out[3]["text"], out[3]["n_near"], out[3]["n_exact"]) == ("short", 1, 1) and out[1]["n_near"] == 0
 
 
 @pytest.mark.parametrize("edits", [0, 1])
@@ -195,7 +195,7 @@ def test_short_lines_by_brute_force(spark, edits):
             if line:
                 before.append(line)
         want[i] = "\n".join(kept)
-    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(docs, min_chars=1, max_edits=edits).collect()}
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(docs, max_edits=edits, near_chars=1).collect()}
     assert got == want
 
 
