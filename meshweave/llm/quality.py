@@ -2,17 +2,23 @@
 
 Each document's features are summed up per (language, source) in log-bucketed quantile
 sketches (a count per bucket of fixed relative width: adding the counts of two sketches
-gives the sketch of both, exactly). Thresholds come from the sketch of the document's
-group, or, where that has under `least_rows` documents, from the merged sketch of its
-language, or of all. A join then gives each document its thresholds.
-
-The distance of a threshold from its quantile has a fixed floor a feature, with which the
-rules of repeated words and of duplicate lines hardly ever fire. With `by_spread` it comes
-from the sketch, and duplicate lines are a share of the lines with a word.
+gives the sketch of both, exactly). Merging the sketches of a language's sources gives the
+language's, and merging those the one of all. A source's sketch is then shrunk towards its
+language's, and that towards the one of all, by the weight of `prior` documents: small
+groups lean on what is known of larger ones, large groups on themselves, without a size
+from which on it changes. Thresholds are quantiles and their distances, nothing else; a
+join gives each document those of its group.
+
+A share's threshold is high = q90 + reach * max(q90 - q50, q95 - q90), and a document is
+over it if its count exceeds what that share of its words (or lines) gives by more than
+`reach` times the root of it, the spread of a count (at least 1): one repeated line in a
+short text is no finding. Mean word length has the same threshold and one below, as it is
+no count, without the second part.
 
 Defined cases: null text has no words and fails the base rule. Null languages and
 sources form groups of their own. Ties lie in the same bucket. Repeated rows each count.
-An empty table gives an empty result. Other columns are not read.
+An empty table gives an empty result. Other columns are not read by the query; features()
+passes on those of `keep`, and verdicts() all columns of feats.
 """
 
 from __future__ import annotations
@@ -31,15 +37,14 @@ from meshweave.llm.common import pieces
 SYMBOLS = "#*$%&|<>"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 GAMMA = 1.02  # width of a bucket: quantiles are right within 1 %
-#: Feature: numerator, denominator, least distance of a threshold from the upper (or lower) quantile.
+#: Feature: numerator, denominator, and whether the numerator counts findings.
 FEATURES = {
-    "symbol_share": ("n_symbols", "n_words", 0.10),
-    "dup_line_share": ("n_dup_lines", "n_words", 0.05),
-    "repeat_share": ("n_repeat_words", "n_words", 0.45),
-    "word_length": ("word_chars", "n_words", 2.0),
+    "symbol_share": ("n_symbols", "n_words", True),
+    "dup_line_share": ("n_dup_lines", "n_lines", True),
+    "repeat_share": ("n_repeat_words", "n_words", True),
+    "word_length": ("word_chars", "n_words", False),
 }
-#: The features by_spread: numerator, denominator, largest distance where the middle has no spread.
-BY_SPREAD = FEATURES | {"dup_line_share": ("n_dup_lines", "n_lines", 0.30)}
+PRIOR, REACH = 100, 3.0
 
 
 def base_counts(text: str | None) -> tuple[int, int, int, int, int, int]:
@@ -92,53 +97,46 @@ def _middle(bucket: Column) -> Column:
     return F.when(bucket == -100000, 0.0).otherwise(F.pow(F.lit(GAMMA), bucket) * (2 / (1 + GAMMA)))
 
 
-def thresholds(feats: DataFrame, least_rows: int = 200, reach: float = 4.0, by_spread: bool = False) -> DataFrame:
-    """Rows (level, lang, source, feature, low, high): from q10, q50 and q90 of each
-    sketch, high = q90 + max(least distance, reach * (q90 - q50)), low likewise below
-    q10. Levels: 0 a language's source, 1 a language, 2 all. Only groups of at least
-    least_rows documents are kept, but for level 2. by_spread: the distance is
-    reach * (q90 - q50), or, where these are equal, q99 - q90, so that a feature most
-    documents have none of is cut in its own upper tail, but no more than the feature's
-    largest distance, as over a hundredth may be junk; low likewise from q1."""
-    ratios = BY_SPREAD if by_spread else FEATURES
-    long = feats.where(~base_failed()).select("lang", "source", F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), _bucket(F.col(a) / F.col(b)).alias("bucket")) for f, (a, b, _) in ratios.items()])))
+def _shrunk(own: DataFrame, parent: DataFrame, by: list[str], prior: int) -> DataFrame:
+    """Sketches own (*by, feature, bucket, n) plus `prior` documents dealt out as those of
+    their parent (by's first columns, feature, bucket, n); weights to six places, so that
+    sums do not depend on their order."""
+    up = [F.col(f"o.{c}").eqNullSafe(F.col(f"p.{c}")) for c in parent.columns if c not in ("bucket", "n")]
+    share = parent.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy(*[c for c in parent.columns if c not in ("bucket", "n")]))).drop("n")
+    groups = own.select(*by, "feature").distinct().alias("o")
+    lent = groups.join(share.alias("p"), up).select(*[f"o.{c}" for c in (*by, "feature")], "bucket", F.round(F.col("share") * prior, 6).cast("decimal(24,6)").alias("n"))
+    both = own.select(*by, "feature", "bucket", F.col("n").cast("decimal(24,6)").alias("n")).unionByName(lent)
+    return both.groupBy(*by, "feature", "bucket").agg(F.sum("n").cast("decimal(24,6)").alias("n"))
+
+
+def thresholds(feats: DataFrame, prior: int = PRIOR, reach: float = REACH) -> DataFrame:
+    """Rows (lang, source, feature, low, high); low is null for shares."""
+    long = feats.where(~base_failed()).select("lang", "source", F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), _bucket(F.col(a) / F.col(b)).alias("bucket")) for f, (a, b, _) in FEATURES.items()])))
     fine = long.groupBy("lang", "source", "feature", "bucket").agg(F.count("*").alias("n"))
-    merged = (
-        fine.select(F.lit(0).alias("level"), "*")
-        .unionByName(fine.groupBy("lang", "feature", "bucket").agg(F.sum("n").alias("n")).select(F.lit(1).alias("level"), "*", F.lit(None).cast("string").alias("source")))
-        .unionByName(fine.groupBy("feature", "bucket").agg(F.sum("n").alias("n")).select(F.lit(2).alias("level"), "*", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source")))
-    )
-    group = ["level", "lang", "source", "feature"]
+    by_lang = fine.groupBy("lang", "feature", "bucket").agg(F.sum("n").alias("n"))
+    overall = by_lang.groupBy("feature", "bucket").agg(F.sum("n").alias("n"))
+    merged = _shrunk(fine, _shrunk(by_lang, overall, ["lang"], prior), ["lang", "source"], prior)
+    group = ["lang", "source", "feature"]
     # A group has as many rows as its sketch has buckets: bounded by the doubles' range.
     upto = merged.withColumn("upto", F.sum("n").over(W.partitionBy(*group).orderBy("bucket"))).withColumn("total", F.sum("n").over(W.partitionBy(*group)))
-    q = lambda share: F.min(F.when(F.col("upto") >= share * F.col("total"), _middle(F.col("bucket"))))
-    cut = upto.groupBy(*group).agg(F.max("total").alias("rows"), q(0.01).alias("q1"), q(0.1).alias("q10"), q(0.5).alias("q50"), q(0.9).alias("q90"), q(0.99).alias("q99"))
-    kept = cut.where((F.col("level") == 2) | (F.col("rows") >= least_rows))
-    slack = F.create_map(*[F.lit(x) for f, (_, _, s) in ratios.items() for x in (f, s)])[F.col("feature")]
-    if by_spread:
-        below = F.when(F.col("q50") > F.col("q10"), reach * (F.col("q50") - F.col("q10"))).otherwise(F.least(slack, F.col("q10") - F.col("q1")))
-        above = F.when(F.col("q90") > F.col("q50"), reach * (F.col("q90") - F.col("q50"))).otherwise(F.least(slack, F.col("q99") - F.col("q90")))
-        # Quantiles are right within a bucket, so the bucket of a threshold still passes.
-        return kept.select(*group, ((F.col("q10") - below) / GAMMA).alias("low"), ((F.col("q90") + above) * GAMMA).alias("high"))
-    return kept.select(
-        *group,
-        (F.col("q10") - F.greatest(slack, reach * (F.col("q50") - F.col("q10")))).alias("low"),
-        (F.col("q90") + F.greatest(slack, reach * (F.col("q90") - F.col("q50")))).alias("high"),
-    )
+    q = lambda percent: F.min(F.when(100 * F.col("upto") >= percent * F.col("total"), _middle(F.col("bucket"))))
+    cut = upto.groupBy(*group).agg(*[q(p).alias(f"q{p}") for p in (5, 10, 50, 90, 95)])
+    low = F.col("q10") - reach * F.greatest(F.col("q50") - F.col("q10"), F.col("q10") - F.col("q5"))
+    high = F.col("q90") + reach * F.greatest(F.col("q90") - F.col("q50"), F.col("q95") - F.col("q90"))
+    two_sided = F.col("feature").isin(*[f for f, (_, _, counted) in FEATURES.items() if not counted])
+    return cut.select(*group, F.when(two_sided, low).alias("low"), high.alias("high"))
 
 
-def verdicts(feats: DataFrame, least_rows: int = 200, reach: float = 4.0, by_spread: bool = False) -> DataFrame:
+def verdicts(feats: DataFrame, prior: int = PRIOR, reach: float = REACH) -> DataFrame:
     """feats with base_failed and kept. feats is read twice: pass a stash."""
-    cut = thresholds(feats, least_rows, reach, by_spread)
-    wide = cut.groupBy("level", "lang", "source").agg(*[F.max(F.when(F.col("feature") == f, F.col(x))).alias(f"{f}_{x}") for f in FEATURES for x in ("low", "high")])
     names = [f"{f}_{x}" for f in FEATURES for x in ("low", "high")]
-    levels = [wide.where(F.col("level") == i).select(*[F.col(k).alias(f"__{k}{i}") for k in ("lang", "source")], *[F.col(n).alias(f"{n}{i}") for n in names]) for i in range(3)]
-    out = feats.join(levels[0], F.col("lang").eqNullSafe(F.col("__lang0")) & F.col("source").eqNullSafe(F.col("__source0")), "left")
-    out = out.join(levels[1], F.col("lang").eqNullSafe(F.col("__lang1")), "left")
-    out = out.join(F.broadcast(levels[2].agg(*[F.max(f"{n}2").alias(f"{n}2") for n in names])), F.lit(True), "left")  # one row
+    cut = thresholds(feats, prior, reach).groupBy("lang", "source").agg(*[F.max(F.when(F.col("feature") == f, F.col(x))).alias(f"{f}_{x}") for f in FEATURES for x in ("low", "high")])
+    cut = cut.select(F.struct("lang", "source", *names).alias("cut"))
+    out = feats.select(F.struct(*feats.columns).alias("row")).join(cut, F.col("row.lang").eqNullSafe(F.col("cut.lang")) & F.col("row.source").eqNullSafe(F.col("cut.source")), "left").select("row.*", "cut")
     fits = F.lit(True)
-    for f, (a, b, _) in (BY_SPREAD if by_spread else FEATURES).items():
-        low, high = (F.coalesce(*[F.col(f"{f}_{x}{i}") for i in range(3)]) for x in ("low", "high"))
-        fits = fits & (F.col(a) / F.col(b)).between(low, high)
+    for f, (a, b, counted) in FEATURES.items():
+        low, high, n, of = F.col(f"cut.{f}_low"), F.col(f"cut.{f}_high"), F.col(a), F.col(b)
+        # Quantiles are right within a bucket, so the bucket of a threshold still passes.
+        fits = fits & (n <= high * of + reach * F.sqrt(F.greatest(high * of, F.lit(1.0))) if counted else (n / of).between(low / GAMMA, high * GAMMA))
     failed = base_failed()
     return out.select(*feats.columns, failed.alias("base_failed"), F.when(failed, False).otherwise(F.coalesce(fits, F.lit(True))).alias("kept"))

@@ -111,33 +111,38 @@ inside AS (SELECT doc_id, license_id, template, k, count(DISTINCT g) AS c, min(p
 SELECT doc_id, license_id, round(max(c / n), 6) AS containment, min(first_word) AS first_word FROM inside JOIN sizes USING (license_id, template) WHERE 100 * c >= 80 * n GROUP BY 1, 2
 """
 
-_RATIOS = ", ".join(f"('{f}', {a} / {b}::DOUBLE, {s})" for f, (a, b, s) in quality.FEATURES.items())
+_RATIOS = ", ".join(f"('{f}', {a}::DOUBLE, {b}::DOUBLE, {counted})" for f, (a, b, counted) in quality.FEATURES.items())
+_LENT = f"CAST(round(p.n / CAST(p.total AS DOUBLE) * {quality.PRIOR}, 6) AS DECIMAL(24, 6))"
+_QUANTILES = ", ".join(f"min(middle) FILTER (100 * upto >= {p} * total) AS q{p}" for p in (5, 10, 50, 90, 95))
 
 ORACLES["op7_quality_rules"] = rf"""
 WITH words AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ \t\n\v\f\r]+') AS w FROM documents),
 grams AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM words WHERE len(w) >= 3),
 twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams) WHERE c > 1),
 covered AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM twice, range(3) r(k) GROUP BY doc_id),
-lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM words) WHERE regexp_matches(line, '[^ \t\n\v\f\r]') GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) AS n_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM words) WHERE regexp_matches(line, '[^ \t\n\v\f\r]') GROUP BY doc_id),
 feats AS (
   SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
-         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM words LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)
 ), judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM feats),
-ratios AS (SELECT j.*, r.* FROM judged j, LATERAL (VALUES {_RATIOS}) r(feature, v, slack)),
-buckets AS (SELECT lang, source, feature, slack, CASE WHEN v > 0 THEN ceil(round(ln(v) / ln({quality.GAMMA}), 9))::INTEGER ELSE -100000 END AS bucket, count(*) AS n FROM ratios WHERE NOT base_failed GROUP BY ALL),
-merged AS (
-  SELECT 0 AS level, * FROM buckets
-  UNION ALL SELECT 1, lang, NULL, feature, slack, bucket, sum(n) FROM buckets GROUP BY lang, feature, slack, bucket
-  UNION ALL SELECT 2, NULL, NULL, feature, slack, bucket, sum(n) FROM buckets GROUP BY feature, slack, bucket
-), summed AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, feature ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, feature) AS total, CASE WHEN bucket = -100000 THEN 0 ELSE pow({quality.GAMMA}::DOUBLE, bucket) * (2 / {1 + quality.GAMMA}::DOUBLE) END AS middle FROM merged),
-quantiles AS (SELECT level, lang, source, feature, slack, max(total) AS n, min(middle) FILTER (upto >= 0.1::DOUBLE * total) AS q10, min(middle) FILTER (upto >= 0.5::DOUBLE * total) AS q50, min(middle) FILTER (upto >= 0.9::DOUBLE * total) AS q90 FROM summed GROUP BY ALL),
-cut AS (SELECT level, lang, source, feature, q10 - greatest(slack, 4 * (q50 - q10)) AS low, q90 + greatest(slack, 4 * (q90 - q50)) AS high FROM quantiles WHERE level = 2 OR n >= 200),
+ratios AS (SELECT j.doc_id, j.lang, j.source, r.*, a / b AS v FROM judged j, LATERAL (VALUES {_RATIOS}) r(feature, a, b, counted) WHERE NOT base_failed),
+fine AS (SELECT lang, source, feature, CASE WHEN v > 0 THEN ceil(round(ln(v) / ln({quality.GAMMA}), 9))::INTEGER ELSE -100000 END AS bucket, CAST(count(*) AS DECIMAL(24, 6)) AS n FROM ratios GROUP BY ALL),
+by_lang AS (SELECT lang, feature, bucket, sum(n) AS n FROM fine GROUP BY ALL),
+overall AS (SELECT *, sum(n) OVER (PARTITION BY feature) AS total FROM (SELECT feature, bucket, sum(n) AS n FROM by_lang GROUP BY ALL)),
+lang_blend AS (
+  SELECT lang, feature, bucket, CAST(sum(n) AS DECIMAL(24, 6)) AS n
+  FROM (SELECT * FROM by_lang UNION ALL SELECT g.lang, g.feature, p.bucket, {_LENT} FROM (SELECT DISTINCT lang, feature FROM by_lang) g JOIN overall p USING (feature)) GROUP BY ALL
+), lang_total AS (SELECT *, sum(n) OVER (PARTITION BY lang, feature) AS total FROM lang_blend),
+blend AS (
+  SELECT lang, source, feature, bucket, CAST(sum(n) AS DECIMAL(24, 6)) AS n
+  FROM (SELECT * FROM fine UNION ALL SELECT g.lang, g.source, g.feature, p.bucket, {_LENT} FROM (SELECT DISTINCT lang, source, feature FROM fine) g JOIN lang_total p ON g.feature = p.feature AND g.lang IS NOT DISTINCT FROM p.lang) GROUP BY ALL
+), summed AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, feature ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lang, source, feature) AS total, CASE WHEN bucket = -100000 THEN 0 ELSE pow({quality.GAMMA}::DOUBLE, bucket) * (2 / {1 + quality.GAMMA}::DOUBLE) END AS middle FROM blend),
+quantiles AS (SELECT lang, source, feature, {_QUANTILES} FROM summed GROUP BY ALL),
+cut AS (SELECT lang, source, feature, q10 - {quality.REACH} * greatest(q50 - q10, q10 - q5) AS low, q90 + {quality.REACH} * greatest(q90 - q50, q95 - q90) AS high FROM quantiles),
 verdict AS (
-  SELECT r.doc_id, bool_and(coalesce(v BETWEEN coalesce(a.low, b.low, c.low) AND coalesce(a.high, b.high, c.high), true)) AS fits
-  FROM ratios r LEFT JOIN cut a ON a.level = 0 AND a.feature = r.feature AND a.lang IS NOT DISTINCT FROM r.lang AND a.source IS NOT DISTINCT FROM r.source
-  LEFT JOIN cut b ON b.level = 1 AND b.feature = r.feature AND b.lang IS NOT DISTINCT FROM r.lang LEFT JOIN cut c ON c.level = 2 AND c.feature = r.feature
-  WHERE NOT base_failed GROUP BY r.doc_id
+  SELECT r.doc_id, bool_and(CASE WHEN counted THEN a <= high * b + {quality.REACH} * sqrt(greatest(high * b, 1.0::DOUBLE)) ELSE v BETWEEN low / {quality.GAMMA}::DOUBLE AND high * {quality.GAMMA}::DOUBLE END) AS fits
+  FROM ratios r JOIN cut c ON c.feature = r.feature AND c.lang IS NOT DISTINCT FROM r.lang AND c.source IS NOT DISTINCT FROM r.source GROUP BY r.doc_id
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(fits, true) AS kept FROM judged LEFT JOIN verdict USING (doc_id)
 """

@@ -1,6 +1,8 @@
 """Each operator on awkward rows and empty tables, and against SQL or brute force."""
 
 import hashlib
+import itertools
+import math
 import re
 
 import duckdb
@@ -83,14 +85,56 @@ def test_quality_against_plain_code(spark, sf):
 
 
 def test_quality_sketch_is_near_the_quantiles(spark):
-    rows = [(i, "en", "s", 100, 100 + i, 0, 0, 0) for i in range(2000)]
-    feats = spark.createDataFrame(rows, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in quality.BASE))
-    cut = quality.thresholds(feats, reach=0.0).where("feature = 'word_length' and level = 0").first()
-    assert abs(cut["high"] - 2.0 - (100 + 1800) / 100) < 0.02 * 19
-    assert abs(cut["low"] + 2.0 - (100 + 200) / 100) < 0.02 * 3
-
-
-def test_quality_rules_by_spread_reject_planted_junk(spark):
+    rows = [(i, "en", "s", 100, 100 + i, 0, 0, 0, 9) for i in range(2000)]
+    feats = spark.createDataFrame(rows, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in (*quality.BASE, "n_lines")))
+    cut = quality.thresholds(feats, reach=0.0).where("feature = 'word_length'").first()
+    assert abs(cut["high"] - (100 + 1800) / 100) < 0.02 * 19
+    assert abs(cut["low"] - (100 + 200) / 100) < 0.02 * 3
+
+
+def _plain_kept(docs):
+    """doc_id -> kept, from (doc_id, lang, source, text), with every value of every group
+    in hand, as the middle of its bucket."""
+
+    def middle(v):
+        return quality.GAMMA ** math.ceil(round(math.log(v) / math.log(quality.GAMMA), 9)) * 2 / (1 + quality.GAMMA) if v else 0.0
+
+    feats = {}
+    for i, lang, source, text in docs:
+        words, chars, symbols, dup, repeat, lines = quality.base_counts(text)
+        if words >= 50 and 2 * repeat <= words:
+            feats[i] = lang, source, {"symbol_share": (symbols, words), "dup_line_share": (dup, lines), "repeat_share": (repeat, words), "word_length": (chars, words)}
+    kept = {i: i in feats for i, *_ in docs}
+    for f, (_, _, counted) in quality.FEATURES.items():
+        values = [(a, b, middle(x[f][0] / x[f][1])) for a, b, x in feats.values()]
+
+        def shrunk(own, parent):
+            whole = sum(w for _, w in parent)
+            return [(v, quality.PRIOR * w / whole) for v, w in parent] + [(v, 1) for v in own]
+
+        for lang, source in {x[:2] for x in feats.values()}:
+            of_lang = shrunk([v for a, _, v in values if a == lang], [(v, 1) for _, _, v in values])
+            group = sorted(shrunk([v for a, b, v in values if (a, b) == (lang, source)], of_lang))
+            upto = list(itertools.accumulate(w for _, w in group))
+            q5, q10, q50, q90, q95 = (next(v for (v, _), u in zip(group, upto, strict=True) if u >= p * upto[-1] - 1e-5) for p in (0.05, 0.1, 0.5, 0.9, 0.95))
+            low, high = q10 - 3 * max(q50 - q10, q10 - q5), q90 + 3 * max(q90 - q50, q95 - q90)
+            for i, (a, b, x) in feats.items():
+                n, of = x[f]
+                if (a, b) == (lang, source) and (n > high * of + 3 * max(high * of, 1) ** 0.5 if counted else not low / quality.GAMMA <= n / of <= high * quality.GAMMA):
+                    kept[i] = False
+    return kept
+
+
+def test_quality_verdicts_against_plain_code(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = [(r["doc_id"], r["lang"], r["source"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    want = _plain_kept(docs)
+    rows = queries.op7_quality_rules(spark, folder).collect()
+    assert {r["doc_id"]: r["kept"] for r in rows} == want
+    assert sum(not r["base_failed"] and not r["kept"] for r in rows) > 10
+
+
+def test_quality_rules_reject_planted_junk(spark):
     def words(i, n):
         return [f"w{i}x{k}" for k in range(n)]
 
@@ -100,23 +144,34 @@ def test_quality_rules_by_spread_reject_planted_junk(spark):
     rows = [(i, text(i, words(i, 200))) for i in range(600)]
     junk = {
         "symbol_share": text(1000, [w + "#$" for w in words(1000, 200)]),
-        "dup_line_share": "\n".join([" ".join(words(1001, 20))] * 4 + [text(1001, [f"z{k}y{k}" for k in range(200)])]),
+        "dup_line_share": "\n".join([" ".join(words(1001, 20))] * 5 + [text(1001, [f"z{k}y{k}" for k in range(200)])]),
         "repeat_share": text(1002, words(1002, 60) + words(1002, 20) + [f"v{k}u{k}" for k in range(60)]),
         "word_length": text(1003, [w + "abcdefghijkl" for w in words(1003, 200)]),
     }
     rows += [(1000 + k, t) for k, t in enumerate(junk.values())]
     docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
     feats = quality.features(docs)
-    cut = {r["feature"]: r for r in quality.thresholds(feats, by_spread=True).where("level = 0").collect()}
-    judged = {r["doc_id"]: r for r in quality.verdicts(feats, by_spread=True).collect()}
+    cut = {r["feature"]: r for r in quality.thresholds(feats).collect()}
+    judged = {r["doc_id"]: r for r in quality.verdicts(feats).collect()}
     for k, f in enumerate(junk):
         r = judged[1000 + k]
-        a, b, _ = quality.BY_SPREAD[f]
+        a, b, _ = quality.FEATURES[f]
         assert not r["base_failed"] and not r["kept"] and r[a] / r[b] > cut[f]["high"], f
     assert all(judged[i]["kept"] for i in range(600))
-    # Junk in more than a hundredth of the documents does not raise the threshold to itself.
-    many = feats.unionByName(feats.where("doc_id = 1000").withColumn("doc_id", F.explode(F.sequence(F.lit(2000), F.lit(2029)))))
-    assert quality.verdicts(many, by_spread=True).where("doc_id >= 2000 and kept").count() == 0
+    # Junk in a few hundredths of the documents does not raise the threshold to itself.
+    many = feats.unionByName(feats.where("doc_id = 1000").withColumn("doc_id", F.explode(F.sequence(F.lit(2000), F.lit(2027)))))
+    assert quality.verdicts(many).where("doc_id >= 2000 and kept").count() == 0
+
+
+def test_quality_shrinkage(spark):
+    # A source of a few odd documents leans on its language, one of many on itself.
+    def rows(source, n, length):
+        return [(0, "en", source, 100, length + i % 40, 0, 0, 0, 9) for i in range(n)]
+
+    made = rows("large", 5000, 480) + rows("few", 3, 900) + rows("many", 3000, 900)
+    feats = spark.createDataFrame(made, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in (*quality.BASE, "n_lines")))
+    high = {r["source"]: r["high"] for r in quality.thresholds(feats, reach=0.0).where("feature = 'word_length'").collect()}
+    assert abs(high["many"] - 9.36) < 0.2 and abs(high["large"] - 5.16) < 0.3 and high["few"] > high["large"]
 
 
 def test_mixing_skew(spark):
@@ -254,6 +309,24 @@ def test_short_licenses_are_retrieved(spark):
         assert license_scan.licenses(docs).where("license_id = 'MIT' and containment = 1").count() == 3000
 
 
+def test_every_template_is_retrieved(spark):
+    # Whole, and with as many words gone from its end as leave 0.8 of its shingles.
+    cases = []
+    for name, ts in license_scan.TEMPLATES.items():
+        for k, t in enumerate(ts):
+            n = len(license_scan.words_of(t)) - license_scan.WORDS + 1
+            cut = " ".join(license_scan.words_of(t)[: license_scan.WORDS - 1 - (-8 * n // 10)])
+            cases += [(name, k, t, True), (name, k, cut, False)]
+    cases = spark.createDataFrame(cases, "license_id string, template int, notice string, whole boolean").repartition(8)
+    other = "transform(sequence(1, {} + i % 40), k -> concat('{}', i, 'x', k))"
+    docs = cases.crossJoin(spark.range(1000).withColumnRenamed("id", "i")).withColumn("text", F.expr(f"concat_ws(' ', {other.format(1, 'a')}, notice, {other.format(9, 'b')})"))
+    docs = docs.withColumn("doc_id", F.struct("license_id", "template", "whole", "i"))
+    met = license_scan.scan(docs.select("doc_id", "text")).where("license_id = doc_id.license_id and template = doc_id.template").select("doc_id").distinct()
+    found = {tuple(r)[:3]: r["count"] for r in met.groupBy("doc_id.license_id", "doc_id.template", "doc_id.whole").count().collect()}
+    assert len(found) == 2 * sum(map(len, license_scan.TEMPLATES.values()))
+    assert all(n == 1000 if whole else n >= 999 for (_, _, whole), n in found.items()), found
+
+
 def test_license_bands(spark):
     for t in (t for ts in license_scan.TEMPLATES.values() for t in ts):
         n = len(license_scan.words_of(t))
