@@ -3,19 +3,23 @@
 The corpus is dealt out to shards such that equal strings meet: each window of `length`
 bytes goes to the shard of its minimizer, the part of `m` bytes with the least hash, and
 neighbouring windows of one minimizer travel as one stretch of text. Stretches whose
-minimizer occurs once in all cannot hold a repeated window and stay where they are, as do those
-that occur whole more than once, which are repeated throughout. For the rest, a shard's
-distinct stretches are sorted by external induced sorting (induced_sort), stretch after
-stretch of one minimizer at a time, so a shard may be far larger than memory: suffixes
-that share `length` bytes with a neighbour in suffix order are repeated windows.
-
-A minimizer with more than `hot` distinct stretches (a passage that very many documents
-share, in differing surroundings) would make one task long; its windows are dealt out once
+minimizer occurs once in all cannot hold a repeated window and stay where they are. Equal
+stretches are aggregated before they are shuffled, by a 128-bit hash, so that a group of
+copies is sorted once however large it is; it is known to be repeated throughout. A
+shard's distinct stretches are sorted by external induced sorting (induced_sort), stretch
+after stretch of one minimizer at a time: suffixes that share `length` bytes with a
+neighbour in suffix order are repeated windows. A shard of SHARD bytes is many times what
+the sort's queues hold, and its result is read as a stream.
+
+A passage that very many documents share in differing surroundings gives one minimizer
+very many distinct stretches. As one task must not hold an unbounded group, the windows of
+minimizers with more than `hot` distinct stretches, or HOT_BYTES of them, are dealt out once
 more by a 128-bit hash of their bytes and counted, which gives the same windows.
 
 Defined cases: null text is empty: nothing is removed. Texts under `length` bytes neither.
 Rows that repeat an id and text are documents of their own whose strings repeat. Windows
 never cross documents. An empty table gives an empty result. Only id and text are read.
+Rows are told apart by their id and a 64-bit hash of their text.
 """
 
 from __future__ import annotations
@@ -33,8 +37,8 @@ from meshweave.llm.common import pieces, stash
 
 LENGTH = 200
 M = 32
-HOT = 2048
-SHARD = 1 << 21  # bytes sorted at once
+HOT, HOT_BYTES = 2048, 1 << 20
+SHARD = 1 << 22  # bytes sorted at once
 CHUNK = 1 << 19
 BROADCAST = 1_000_000
 B1, B2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -145,10 +149,12 @@ def repeated_windows(texts: list[bytes], length: int) -> list[list[tuple[int, in
         begin.append(at)
         joined[at : at + len(t)] = np.frombuffer(t, np.uint8).astype(np.uint16) + 1
         at += len(t) + 1
-    order, shared = induced_sort.suffixes(joined, length)
-    shared = np.append(shared, 0)
-    hit = np.zeros(len(joined), bool)
-    hit[order[(shared[:-1] >= length) | (shared[1:] >= length)]] = True
+    hit, before = np.zeros(len(joined), bool), 0
+    for order, shared in induced_sort.suffixes(joined, length):
+        same = shared >= length
+        hit[order[same]] = True
+        hit[np.append(before, order[:-1])[same]] = True
+        before = order[-1]
     out = []
     for b, t in zip(begin, texts, strict=True):
         mine = hit[b : b + max(0, len(t) - length + 1)]
@@ -180,7 +186,7 @@ def removed(docs: DataFrame, length: int = LENGTH, m: int = M, hot: int = HOT) -
     copies = shared.join(content.where("c > 1").select("h1", "h2"), ["h1", "h2"], "left_semi").select("id", "th", F.col("start").alias("from"), (F.col("start") + F.col("n") + length - 1).alias("to"))
 
     texts = _cut(docs, content.where("mixed").select("mh", "c", "at.*"), length)
-    many = content.where("mixed").groupBy("mh").agg(F.count("*").alias("k")).where(F.col("k") > hot).select("mh")
+    many = content.where("mixed").groupBy("mh").agg(F.count("*").alias("k"), F.sum(F.col("at.n") + length - 1).alias("size")).where((F.col("k") > hot) | (F.col("size") > HOT_BYTES)).select("mh")
     texts = stash(texts.join(many.withColumn("hot", F.lit(True)), "mh", "left"), "texts")
     spans = copies.unionByName(_sorted(texts.where("hot is null").drop("hot"), kind, length)).unionByName(_counted(texts.where("hot"), kind, length))
     return _merged(spans, kind)
