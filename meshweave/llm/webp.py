@@ -1,17 +1,28 @@
-"""Lossless WebP in numpy: a decoder of the whole format, and an encoder for media columns.
+"""Lossless WebP in numpy: a decoder of the whole bit stream, and an encoder for media columns.
 
 The decoder reads prefix codes, back-references, the colour cache and meta prefix codes,
-and inverts the predictor, cross-colour, subtract-green and palette transforms. Where
-all prefix codes of an image have one length and it has no references, its pixels are
-records of equal width and are unpacked at once; else pixels are read one by one.
-
-The encoder writes such records, through a palette where an image has up to 256 colours.
+and inverts the predictor, cross-colour, subtract-green and palette transforms. An image
+with one group of codes is read in blocks of bits: for every bit of a block, tables tell
+where a pixel that began there would end; one walk along these ends finds the pixels that
+there are, and their values are looked up at once. References then become copies of
+places, and cache hits places of the last pixel with their key. Images with several groups
+of codes are read pixel by pixel.
+
+The encoder looks for repeated runs of three pixels and more, for pixels that a colour
+cache would hold, and for the transform under which its estimate of the size is least;
+whatever saves nothing is left out. Its prefix codes have up to 12 bits.
+
+Defined cases: an image has at least one pixel and at most 16,384 each way. What is no
+lossless WebP image, ends too early or refers outside of itself raises ValueError. Files
+of the extended format are read if their image is lossless and not animated.
 """
 
 from __future__ import annotations
 
 import struct
+from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -23,6 +34,21 @@ SIDE = 1 << 14
 #: Distance codes up to 120: neighbours by distance, then by row and column.
 NEAR = sorted(((dx, dy) for dy in range(8) for dx in range(-7, 9) if dy or dx > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, -p[1], -p[0]))
 
+LONGEST = 12  # bits of a prefix code that is written
+CACHE = 6  # bits of the colour cache that is written, at most
+AHEAD = 1 << 16  # bits of a stream that are looked at together
+SLACK = 96  # more bits than any pixel or reference takes
+COPY, FARTHEST = 4096, (1 << 20) - 120  # pixels of a reference, and to go back, at most
+
+
+@lru_cache(maxsize=16)
+def _reversed(width: int) -> np.ndarray:
+    """All numbers of so many bits, with the bits turned round."""
+    out = np.zeros(1, np.int64)
+    for _ in range(width):
+        out = np.concatenate([out * 2, out * 2 + 1])
+    return out
+
 
 class Bits:
     """Reads bits, lowest first."""
@@ -37,47 +63,42 @@ class Bits:
     def read(self, n: int) -> int:
         got = self.peek(n)
         self.at += n
+        self.check()
+        return got
+
+    def check(self) -> None:
         if self.at > 8 * len(self.data):
             raise ValueError("the image ends too early")
-        return got
 
 
 @dataclass
 class Code:
-    """A prefix code: a table by the next `width` bits, and, if all codes have one
-    length, the symbols in code order."""
+    """A prefix code: symbols and lengths by the next `width` bits."""
 
     width: int
-    symbols: list[int]
-    lengths: list[int]
-    even: np.ndarray | None
+    symbols: np.ndarray
+    lengths: np.ndarray
 
     @classmethod
     def of(cls, lengths: list[int]) -> Code:
-        used = sorted((n, s) for s, n in enumerate(lengths) if n)
-        if len(used) == 1:
-            return cls(0, [used[0][1]], [0], np.array([used[0][1]]))
-        if not used:
-            return cls(0, [0], [0], np.array([0]))
-        width = used[-1][0]
-        if sum(1 << (width - n) for n, _ in used) != 1 << width:
+        sizes = np.array(lengths)
+        used = np.flatnonzero(sizes)
+        if len(used) < 2:
+            return cls(0, (used if len(used) else np.zeros(1)).astype(np.int32), np.zeros(1, np.int32))
+        sizes = sizes[used]
+        by, width = np.argsort(sizes, kind="stable"), int(sizes.max())
+        sizes = sizes[by]
+        spans = 1 << (width - sizes)
+        if spans.sum() != 1 << width:
             raise ValueError("a prefix code is not complete")
-        even = np.array([s for _, s in used]) if used[0][0] == width else None
-        symbols, sizes = [0] * (1 << width), [0] * (1 << width)
-        code, last = 0, used[0][0]
-        for n, s in used:
-            code <<= n - last
-            last = n
-            start = int(f"{code:0{n}b}"[::-1], 2)
-            for i in range(start, 1 << width, 1 << n):
-                symbols[i], sizes[i] = s, n
-            code += 1
-        return cls(width, symbols, sizes, even)
+        turned = _reversed(width)
+        return cls(width, np.repeat(used[by], spans)[turned].astype(np.int32), np.repeat(sizes, spans)[turned].astype(np.int32))
 
     def next(self, bits: Bits) -> int:
-        i = bits.peek(self.width) if self.width else 0
-        bits.at += self.lengths[i]
-        return self.symbols[i]
+        i = bits.peek(self.width)
+        bits.at += int(self.lengths[i])
+        bits.check()
+        return int(self.symbols[i])
 
 
 def _read_code(bits: Bits, alphabet: int) -> Code:
@@ -93,29 +114,31 @@ def _read_code(bits: Bits, alphabet: int) -> Code:
         of_lengths[s] = bits.read(3)
     code = Code.of(of_lengths)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
-    i, before = 0, 8
+    symbols, sizes, mask = code.symbols.tolist(), code.lengths.tolist(), (1 << code.width) - 1
+    i, before, at, data = 0, 8, bits.at, bits.data
     while i < alphabet and left:
         left -= 1
-        s = code.next(bits)
+        ahead = int.from_bytes(data[at >> 3 : (at >> 3) + 4], "little") >> (at & 7)
+        s, n = symbols[ahead & mask], sizes[ahead & mask]
+        at += n
         if s < 16:
             lengths[i] = s
             before = s or before
             i += 1
-        else:
-            times, value = _repeat(bits, s, before)
-            lengths[i : i + times] = [value] * times
-            i += times
+            continue
+        extra, least = ((2, 3), (3, 3), (7, 11))[s - 16]
+        times = least + (ahead >> n & ((1 << extra) - 1))
+        at += extra
+        if s == 16:
+            lengths[i : i + times] = [before] * times
+        i += times
+    bits.at = at
+    bits.check()
     if i > alphabet:
         raise ValueError("too many code lengths")
     return Code.of(lengths)
 
 
-def _repeat(bits: Bits, s: int, before: int) -> tuple[int, int]:
-    if s == 16:
-        return 3 + bits.read(2), before
-    return (3 + bits.read(3), 0) if s == 17 else (11 + bits.read(7), 0)
-
-
 def _value(bits: Bits, prefix: int) -> int:
     if prefix < 4:
         return prefix + 1
@@ -123,26 +146,122 @@ def _value(bits: Bits, prefix: int) -> int:
     return ((2 + (prefix & 1)) << extra) + bits.read(extra) + 1
 
 
-def _records(bits: Bits, codes: list[Code], n: int) -> np.ndarray:
-    """n pixels of equal width."""
-    widths = [c.width for c in codes[:4]]
-    total = sum(widths)
-    out = np.zeros((n, 4), np.uint32)
-    raw = np.unpackbits(np.frombuffer(bits.data, np.uint8, offset=bits.at >> 3)[: ((bits.at & 7) + n * total + 7) // 8], bitorder="little")[bits.at & 7 :][: n * total].reshape(n, total)
-    at = 0
-    for i, (c, w) in enumerate(zip(codes, widths, strict=False)):
-        value = np.zeros(n, np.uint32)
-        for j in range(w):
-            value = (value << np.uint32(1)) | raw[:, at + j]
-        at += w
-        out[:, i] = c.even[value]
-    bits.at += n * total
-    return (out[:, 3] << np.uint32(24)) | (out[:, 1] << np.uint32(16)) | (out[:, 0] << np.uint32(8)) | out[:, 2]
-
-
-def _image(bits: Bits, w: int, h: int, main: bool = False) -> np.ndarray:
+def _values(prefix: np.ndarray, ahead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_value() of many prefixes and the bits that follow them, and how many bits it takes."""
+    extra = np.maximum(prefix - 2, 0) >> 1
+    return np.where(prefix < 4, prefix, ((2 + (prefix & 1)) << extra) + (ahead & ((1 << extra) - 1))) + 1, extra
+
+
+def _back(distance: np.ndarray, w: int) -> np.ndarray:
+    """Pixels to go back, from distance values."""
+    near = np.array([0, *(max(1, dx + dy * w) for dx, dy in NEAR)])
+    return np.where(distance <= 120, near[np.minimum(distance, 120)], distance - 120)
+
+
+def _stream(bits: Bits, codes: list[Code], cache_bits: int, w: int, n: int, used: Counter) -> np.ndarray:
+    """The n pixels of an image with one group of codes."""
+    px = np.zeros(n, np.uint32)
+    if not any(c.width for c in codes[:4]) and codes[0].symbols[0] < 256:
+        px[:] = int(codes[3].symbols[0]) << 24 | int(codes[1].symbols[0]) << 16 | int(codes[0].symbols[0]) << 8 | int(codes[2].symbols[0])
+        return px
+    raw = np.frombuffer(bits.data, np.uint8)
+    most = n * sum(c.width for c in codes[:4]) + SLACK
+    green, red, blue, alpha, far = codes
+    if red.width == blue.width and (red.symbols == blue.symbols).all() and (red.lengths == blue.lengths).all():
+        blue = red
+    others, both = (red, blue, alpha), green.symbols << 4 | green.lengths
+    copies, hits, done = [], [], 0
+    while done < n:
+        base = bits.at >> 3
+        span = min(AHEAD, most, max(0, 8 * (len(raw) - base)) + 8)
+        part = np.zeros((span + 2 * SLACK) // 8 + 8, np.uint32)
+        got = raw[base : base + len(part)]
+        part[: len(got)] = got
+        words = part[:-3] | part[1:-2] << np.uint32(8) | part[2:-1] << np.uint32(16) | part[3:] << np.uint32(24)
+        ahead = (words[:, None] >> np.arange(8, dtype=np.uint32)).ravel().view(np.int32) & 0x1FFFFFF  # the bits that are right
+        entry = both[ahead & ((1 << green.width) - 1)]
+        ends = np.arange(span + 8, dtype=np.int32) + (entry[: span + 8] & 15)
+        steps = [c.lengths[ahead & ((1 << c.width) - 1)] if c.width else None for c in (red, alpha)]
+        steps.insert(1, steps[0] if blue is red else blue.lengths[ahead & ((1 << blue.width) - 1)] if blue.width else None)
+        following = ends.copy()
+        for step in steps:
+            if step is not None:
+                following += step[following]
+        gain = None
+        other = np.flatnonzero(entry[: span + 8] >= 256 << 4)
+        if len(other):
+            following[other] = ends[other]
+            q = other[entry[other] < 280 << 4]
+            gain, distance = np.ones(len(ends), np.int64), np.zeros(len(ends), np.int64)
+            gain[q], extra = _values((entry[q] >> 4) - 256, ahead[ends[q]])
+            place = ends[q] + extra
+            key = ahead[place] & ((1 << far.width) - 1)
+            place += far.lengths[key]
+            distance[q], extra = _values(far.symbols[key], ahead[place])
+            following[q] = place + extra
+        step, p, seen, left = following.tolist(), bits.at & 7, [], n - done
+        while p < span and len(seen) < left:
+            seen.append(p)
+            p = step[p]
+        seen = np.array(seen, np.int64)
+        took = np.ones(len(seen), np.int64) if gain is None else gain[seen]
+        upto = np.cumsum(took)
+        if upto[-1] > left:  # what follows the last pixel is something else
+            last = int(np.searchsorted(upto, left)) + 1
+            seen, took, upto, p = seen[:last], took[:last], upto[:last], step[seen[last - 1]]
+        bits.at = 8 * base + p
+        bits.check()
+        where, kind = done + upto - took, entry[seen] >> 4
+        done += int(upto[-1])
+        plain = kind < 256
+        p, value = ends[seen[plain]], kind[plain].astype(np.int64) << 8
+        for c, step, shift in zip(others, steps, (16, 0, 24), strict=True):
+            value |= c.symbols[ahead[p] & ((1 << c.width) - 1)].astype(np.int64) << shift
+            if step is not None:
+                p = p + step[p]
+        px[where[plain]] = value
+        if gain is not None:
+            far_back = (kind >= 256) & (kind < 280)
+            copies += zip(where[far_back].tolist(), took[far_back].tolist(), _back(distance[seen[far_back]], w).tolist(), strict=True)
+            hits.append(np.stack([where[kind >= 280], kind[kind >= 280] - 280]))
+    used["prefix-coded"] += 1
+    used["references"] += len(copies)
+    hits = np.concatenate(hits, 1) if hits else np.zeros((2, 0), np.int64)
+    used["cache hits"] += hits.shape[1]
+    return _placed(px, copies, hits, cache_bits)
+
+
+def _placed(px: np.ndarray, copies: list[tuple[int, int, int]], hits: np.ndarray, cache_bits: int) -> np.ndarray:
+    """px with copies (place, length, pixels to go back) and cache hits (places, keys)."""
+    n, cached = len(px), hits.shape[1] > 0
+    source = np.arange(n) if cached else px
+    for at, length, back in copies:
+        if back > at or at + length > n:
+            raise ValueError("a reference leaves the image")
+        source[at : at + length] = source[at - back : at - back + length] if back >= length else np.resize(source[at - back : at], length)
+    if not cached:
+        return source
+    # A copy has its source's key; a hit's colour is that of the last pixel before it with its key.
+    keys = (px * np.uint32(HASH)) >> np.uint32(32 - cache_bits)
+    keys[hits[0]] = hits[1]
+    keys = keys[source].astype(np.uint16)
+    by = np.argsort(keys, kind="stable")
+    before = np.full(n, -1)
+    same = keys[by[1:]] == keys[by[:-1]]
+    before[by[1:][same]] = by[:-1][same]
+    of = np.arange(n)
+    real = hits[0][before[hits[0]] >= 0]
+    of[real] = source[before[real]]
+    while (of[of] != of).any():
+        of = of[of]
+    return px[of[source]]
+
+
+def _image(bits: Bits, w: int, h: int, main: bool = False, used: Counter | None = None) -> np.ndarray:
     """ARGB pixels of an entropy-coded image."""
     cache_bits = bits.read(4) if bits.read(1) else 0
+    if cache_bits > 11:
+        raise ValueError("the colour cache is too large")
     groups, shift, which = 1, 0, None
     if main and bits.read(1):
         shift = bits.read(3) + 2
@@ -150,8 +269,8 @@ def _image(bits: Bits, w: int, h: int, main: bool = False) -> np.ndarray:
         groups = int(which.max()) + 1
     codes = [[_read_code(bits, a + ((1 << cache_bits) if i == 0 and cache_bits else 0)) for i, a in enumerate(ALPHABETS)] for _ in range(groups)]
     n = w * h
-    if groups == 1 and not cache_bits and all(c.even is not None for c in codes[0][:4]) and codes[0][0].even.max() < 256:
-        return _records(bits, codes[0], n)
+    if groups == 1:
+        return _stream(bits, codes[0], cache_bits, w, n, Counter() if used is None else used)
     out, cache = [0] * n, [0] * (1 << cache_bits)
     across = -(-w // (1 << shift)) if shift else 1
     i = kept = 0
@@ -165,7 +284,7 @@ def _image(bits: Bits, w: int, h: int, main: bool = False) -> np.ndarray:
         elif s < 280:
             length = _value(bits, s - 256)
             d = _value(bits, own[4].next(bits))
-            back = max(1, NEAR[d - 1][0] + NEAR[d - 1][1] * w) if d <= 120 else d - 120
+            back = int(_back(np.array(d), w))
             if back > i or i + length > n:
                 raise ValueError("a reference leaves the image")
             for _ in range(length):
@@ -250,11 +369,26 @@ def _uncross(px: np.ndarray, factors: np.ndarray, shift: int) -> np.ndarray:
     return np.stack([blue, px[..., 1], red, px[..., 3]], -1)
 
 
-def decode(data: bytes) -> np.ndarray:
-    """The image's samples: (height, width, 4) of red, green, blue, alpha."""
-    if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L" or data[20:21] != b"\x2f":
-        raise ValueError("not a lossless WebP image")
-    bits = Bits(data[21 : 20 + struct.unpack("<I", data[16:20])[0]])
+def _lossless(data: bytes) -> bytes:
+    """The bit stream in a file: of its one lossless chunk."""
+    if data[:4] != b"RIFF" or data[8:12] != b"WEBP":
+        raise ValueError("not a WebP image")
+    at = 12
+    while at + 8 <= len(data):
+        name, size = data[at : at + 4], struct.unpack("<I", data[at + 4 : at + 8])[0]
+        if name == b"VP8L":
+            if data[at + 8 : at + 9] != b"\x2f" or at + 8 + size > len(data):
+                break
+            return data[at + 9 : at + 8 + size]
+        at += 8 + size + size % 2
+    raise ValueError("not a whole lossless WebP image")
+
+
+def decode(data: bytes, used: Counter | None = None) -> np.ndarray:
+    """The image's samples: (height, width, 4) of red, green, blue, alpha. used counts the
+    parts of the format that were met."""
+    used = Counter() if used is None else used
+    bits = Bits(_lossless(data))
     width, height = bits.read(14) + 1, bits.read(14) + 1
     bits.read(1)
     if bits.read(3):
@@ -274,8 +408,9 @@ def decode(data: bytes) -> np.ndarray:
             pack = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
             steps.append((kind, w, pack, table))
             w = -(-w // (1 << pack))
-    px = _channels(_image(bits, w, height, True)).reshape(height, w, 4)
+    px = _channels(_image(bits, w, height, True, used)).reshape(height, w, 4)
     for kind, w, shift, extra in reversed(steps):
+        used[("predictor", "cross-colour", "subtract-green", "palette")[kind]] += 1
         if kind == 0:
             px = _predict(px, extra[..., 1], shift)
         elif kind == 1:
@@ -295,82 +430,226 @@ def decode(data: bytes) -> np.ndarray:
     return px[..., [2, 1, 0, 3]].astype(np.uint8)
 
 
+def _lengths(counts: np.ndarray, limit: int = LONGEST) -> np.ndarray:
+    """Code lengths up to limit of the symbols with a count, of a complete code: those that
+    shares ask for, the shares of rare ones raised; what is left goes to those that were
+    rounded up most."""
+    out = np.zeros(len(counts), np.int64)
+    used = np.flatnonzero(counts)
+    if len(used) < 3:
+        out[used] = 1
+        return out
+    share = counts[used] / counts.sum() + 2.0 ** (1 - limit)
+    ideal = np.log2(share.sum() / share)
+    sizes = np.maximum(np.ceil(ideal - 1e-9), 1).astype(np.int64)
+    order = np.argsort(ideal - sizes).tolist()
+    units = (1 << (limit - sizes)).tolist()
+    free = (1 << limit) - sum(units)
+    while free:
+        for i in order:
+            if units[i] <= free:
+                free -= units[i]
+                units[i] *= 2
+    out[used] = limit - np.log2(units).astype(np.int64)
+    return out
+
+
+def _codes(sizes: np.ndarray) -> np.ndarray:
+    """Each symbol's code, its first bit lowest."""
+    out = np.zeros(len(sizes), np.int64)
+    used = np.flatnonzero(sizes)
+    if len(used) < 2:
+        return out
+    by = used[np.argsort(sizes[used], kind="stable")]
+    width = int(sizes.max())
+    spans = 1 << (width - sizes[by])
+    out[by] = _reversed(width)[np.cumsum(spans) - spans]
+    return out
+
+
+def _bits(counts: np.ndarray) -> float:
+    """About the size of symbols with these counts, and of their code."""
+    c = counts[counts > 0]
+    return float((c * np.log2(c.sum() / c)).sum()) + 5 * len(c) if len(c) > 1 else 20.0
+
+
+def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of lengths or distances: prefix, further bits, and how many they are."""
+    v = values - 1
+    top = np.floor(np.log2(np.maximum(v, 1))).astype(np.int64)
+    extra = np.where(v < 4, 0, top - 1)
+    return np.where(v < 4, v, 2 * top + ((v >> np.maximum(top - 1, 0)) & 1)), v & ((1 << extra) - 1), extra
+
+
+@lru_cache(maxsize=16)
+def _near_values(w: int) -> dict[int, int]:
+    out: dict[int, int] = {}
+    for i, (dx, dy) in enumerate(NEAR):
+        out.setdefault(max(1, dx + dy * w), i + 1)
+    return out
+
+
+def _repeats(argb: np.ndarray) -> list[tuple[int, int, int]]:
+    """Runs of three pixels or more that are copies of earlier ones: (place, length,
+    pixels to go back), none overlapping another."""
+    n, out, at = len(argb), [], 0
+    if n < 4:
+        return out
+    a = argb.astype(np.uint64)
+    key = (a[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (a[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (a[2:] * np.uint64(0x165667B19E3779F9))
+    by = np.argsort(key, kind="stable")
+    same = np.flatnonzero(key[by[1:]] == key[by[:-1]])
+    if not len(same):
+        return out
+    before = np.full(n, -1)
+    before[by[same + 1]] = by[same]
+    places = np.flatnonzero(before >= 0)
+    for i, j in zip(places.tolist(), before[places].tolist(), strict=True):
+        if i < at or i - j > FARTHEST:
+            continue
+        length = 8
+        while True:
+            end = min(i + length, n)
+            differ = argb[i:end] != argb[j : j + end - i]
+            first = int(differ.argmax()) if end > i else 0
+            if differ[first] or end == n or length == COPY:
+                length = first if differ[first] else end - i
+                break
+            length = COPY if length == 64 else 64
+        if length >= 3:
+            out.append((i, length, i - j))
+            at = i + length
+    return out
+
+
+def _cached(argb: np.ndarray, cache_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each pixel its key, and whether the cache holds it then."""
+    keys = ((argb * np.uint32(HASH)) >> np.uint32(32 - cache_bits)).astype(np.uint16)
+    by = np.argsort(keys, kind="stable")
+    held = np.zeros(len(argb), bool)
+    held[by[1:]] = (keys[by[1:]] == keys[by[:-1]]) & (argb[by[1:]] == argb[by[:-1]])
+    return keys.astype(np.int64), held
+
+
+def _said(sizes: np.ndarray) -> list[tuple[int, int]]:
+    """A code, given by its lengths, as (value, bits)."""
+    used = np.flatnonzero(sizes).tolist()
+    if len(used) < 3 and all(s < 256 for s in used):
+        used = used or [0]
+        return [(1, 1), (len(used) - 1, 1), (1, 1), *((s, 8) for s in used)]
+    said, at = [], 0  # (symbol, further bits, how many)
+    for s, n in zip([*used, len(sizes)], [*sizes[used].tolist(), 0], strict=True):
+        gap = s - at
+        while gap:
+            run = min(gap, 138) if gap >= 3 else 1
+            said.append((18, run - 11, 7) if run >= 11 else (17, run - 3, 3) if run >= 3 else (0, 0, 0))
+            gap -= run
+        if n:
+            said.append((n, 0, 0))
+        at = s + 1
+    of_lengths = _lengths(np.bincount([x[0] for x in said], minlength=19), 7)
+    codes, widths = _codes(of_lengths).tolist(), of_lengths.tolist()
+    last = max(i for i, s in enumerate(CODE_LENGTH_ORDER) if widths[s] or i == 3)
+    out = [(0, 1), (last - 3, 4), *((widths[s], 3) for s in CODE_LENGTH_ORDER[: last + 1]), (0, 1)]
+    if sum(map(bool, widths)) == 1:
+        widths = [0] * 19
+    return out + [(codes[s] | more << widths[s], widths[s] + n) for s, more, n in said]
+
+
 class Writer:
     """Collects bits, lowest first."""
 
     def __init__(self) -> None:
-        self.parts: list[np.ndarray] = []
-        self.small: list[int] = []
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.values: list[int] = []
+        self.sizes: list[int] = []
 
     def put(self, value: int, n: int) -> None:
-        self.small += [(value >> i) & 1 for i in range(n)]
+        self.values.append(value)
+        self.sizes.append(n)
 
-    def array(self, bits: np.ndarray) -> None:
-        self.parts += [np.array(self.small, np.uint8), bits]
-        self.small = []
+    def array(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        self.parts += [(np.array(self.values, np.uint64), np.array(self.sizes, np.int64)), (values.astype(np.uint64), sizes)]
+        self.values, self.sizes = [], []
 
     def bytes(self) -> bytes:
-        self.array(np.zeros(0, np.uint8))
-        return np.packbits(np.concatenate(self.parts), bitorder="little").tobytes()
-
-    def code(self, symbols: np.ndarray, alphabet: int) -> tuple[int, np.ndarray]:
-        """Writes a code of one length for the symbols (filled up to a power of two with
-        unused ones); gives that length and each symbol's code."""
-        if len(symbols) <= 2:
-            self.put(1, 1)
-            self.put(len(symbols) - 1, 1)
-            self.put(1, 1)
-            for s in symbols.tolist():
-                self.put(s, 8)
-            width = len(symbols) - 1
-        else:
-            width = int(len(symbols) - 1).bit_length()
-            free = np.setdiff1d(np.arange(256), symbols, assume_unique=True)
-            symbols = np.sort(np.concatenate([symbols, free[: (1 << width) - len(symbols)]]))
-            self.put(0, 1)
-            sizes = {0: 2, width: 2, 17: 2, 18: 2}
-            n = CODE_LENGTH_ORDER.index(width) + 1
-            self.put(n - 4, 4)
-            for s in CODE_LENGTH_ORDER[:n]:
-                self.put(sizes.get(s, 0), 3)
-            self.put(0, 1)
-            at = 0
-            for s in [*symbols.tolist(), alphabet]:
-                gap = s - at
-                while gap:
-                    if gap >= 11:
-                        run = min(gap, 138)
-                        self.put(0b11, 2)
-                        self.put(run - 11, 7)
-                    elif gap >= 3:
-                        run = gap
-                        self.put(0b01, 2)  # codes are written highest bit first: 17 is 10
-                        self.put(run - 3, 3)
-                    else:
-                        run = 1
-                        self.put(0b00, 2)
-                    gap -= run
-                if s < alphabet:
-                    self.put(0b10, 2)
-                at = s + 1
-        codes = np.zeros(256, np.uint32)
-        codes[symbols] = np.arange(len(symbols))
-        return width, codes
+        self.array(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        values, sizes = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        out = []
+        for i in range(0, len(values), AHEAD):  # a part at a time bounds what is expanded
+            v, n = values[i : i + AHEAD], sizes[i : i + AHEAD]
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            out.append(((np.repeat(v, n) >> place.astype(np.uint64)) & np.uint64(1)).astype(np.uint8))
+        return np.packbits(np.concatenate(out), bitorder="little").tobytes()
+
+    def code(self, sizes: np.ndarray) -> None:
+        """Writes a code by its lengths."""
+        for value, n in _said(sizes):
+            self.put(value, n)
 
     def image(self, argb: np.ndarray, main: bool = False) -> None:
-        """Writes pixels as records of equal width."""
-        self.put(0, 1)
+        """Writes pixels with the references, and the colour cache, that save bits."""
+        w, argb = argb.shape[-1], np.ascontiguousarray(argb, "<u4").ravel()
+        n = len(argb)
+        px = argb.view(np.uint8).reshape(-1, 4)
+        copies = _repeats(argb)
+        kind = np.zeros(n, np.int8)  # 0 literal, 1 start of a copy, 2 in a copy, 3 cache hit
+        if copies:
+            at, length, back = np.array(copies).T
+            kind[np.repeat(at + length - np.cumsum(length), length) + np.arange(length.sum())] = 2
+            kind[at] = 1
+            near = _near_values(w)
+            value = np.array([near.get(b, b + 120) for b in back.tolist()])
+            length_prefix, length_more, length_bits = _prefixes(length)
+            far_prefix, far_more, far_bits = _prefixes(value)
+        plain = kind == 0
+        greens = np.bincount(px[plain, 1], minlength=280)
+        rest = np.bincount(px[plain][:, [0, 2]].ravel(), minlength=256)
+        if copies:
+            greens += np.bincount(256 + length_prefix, minlength=280)
+        cache_bits = min(CACHE, max(1, int(n).bit_length() - 2)) if n > 32 else 0
+        if cache_bits:
+            keys, held = _cached(argb, cache_bits)
+            hit = plain & held
+            miss = plain & ~held
+            greens_ = np.concatenate([np.bincount(px[miss, 1], minlength=256), greens[256:280], np.bincount(keys[hit], minlength=1 << cache_bits)])
+            rest_ = np.bincount(px[miss][:, [0, 2]].ravel(), minlength=256)
+            if hit.any() and _bits(greens_) + _bits(rest_) < _bits(greens) + _bits(rest):
+                greens, rest, plain = greens_, rest_, miss
+                kind[hit] = 3
+            else:
+                cache_bits = 0
+        self.put(int(cache_bits > 0), 1)
+        if cache_bits:
+            self.put(cache_bits, 4)
         if main:
             self.put(0, 1)
-        px = np.ascontiguousarray(argb.ravel(), "<u4").view(np.uint8).reshape(-1, 4)
-        planes = [px[:, i] for i in (1, 2, 0, 3)]
-        bits = []
-        for plane, alphabet in zip(planes, ALPHABETS, strict=False):
-            width, codes = self.code(np.flatnonzero(np.bincount(plane, minlength=256)), alphabet)
-            value = codes[plane]
-            bits += [((value >> np.uint32(width - 1 - j)) & np.uint32(1)).astype(np.uint8) for j in range(width)]
-        self.code(np.array([0]), ALPHABETS[4])
-        self.array(np.stack(bits, 1).ravel() if bits else np.zeros(0, np.uint8))
+        # Red and blue have one code for both: samples of a text are alike in all channels.
+        green, other = _lengths(greens), _lengths(rest)
+        alpha = _lengths(np.bincount(px[plain, 3], minlength=256))
+        far = _lengths(np.bincount(far_prefix, minlength=40) if copies else np.zeros(40, np.int64))
+        said = _said(other)
+        for value, k in [*_said(green), *said, *said, *_said(alpha), *_said(far)]:
+            self.put(value, k)
+        green_code, other_code, alpha_code, far_code = (_codes(x) for x in (green, other, alpha, far))
+        green, other, alpha, far = (x if np.count_nonzero(x) > 1 else np.zeros_like(x) for x in (green, other, alpha, far))
+        values, sizes = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        g, r, b, a = (px[plain, i] for i in (1, 2, 0, 3))
+        v, k = green_code[g], green[g].copy()
+        for code, size, plane in ((other_code, other, r), (other_code, other, b), (alpha_code, alpha, a)):
+            v |= code[plane] << k
+            k += size[plane]
+        values[plain], sizes[plain] = v, k
+        if cache_bits:
+            values[kind == 3], sizes[kind == 3] = green_code[280 + keys[kind == 3]], green[280 + keys[kind == 3]]
+        if copies:
+            v, k = green_code[256 + length_prefix], green[256 + length_prefix].copy()
+            for x, size in ((length_more, length_bits), (far_code[far_prefix], far[far_prefix]), (far_more, far_bits)):
+                v |= x << k
+                k += size
+            values[at], sizes[at] = v, k
+        told = kind != 2
+        self.array(values[told], sizes[told])
 
 
 def container(stream: bytes) -> bytes:
@@ -380,31 +659,95 @@ def container(stream: bytes) -> bytes:
     return b"RIFF" + struct.pack("<I", 12 + len(even)) + b"WEBPVP8L" + struct.pack("<I", len(body)) + even
 
 
+def _argb(px: np.ndarray) -> np.ndarray:
+    p = px.astype(np.uint32)
+    return (p[..., 2] << np.uint32(16)) | (p[..., 1] << np.uint32(8)) | p[..., 0]
+
+
+def _samples(px: np.ndarray) -> float:
+    """About the size of the three channels of px (h, w, 3), in bits, without references."""
+    return _bits(np.bincount(px[..., 1].ravel(), minlength=256)) + _bits(np.bincount(px[..., [0, 2]].ravel(), minlength=256))
+
+
+def _residual(px: np.ndarray, mode: int) -> np.ndarray:
+    """px (h, w, 3) less its predictions under one of the modes left, top, their mean,
+    and gradient."""
+    p = px.astype(np.int16)
+    left, top, corner = np.roll(p, 1, 1), np.roll(p, 1, 0), np.roll(p, (1, 1), (0, 1))
+    guess = {1: left, 2: top, 7: (left + top) >> 1, 12: np.clip(left + top - corner, 0, 255)}[mode].copy()
+    guess[0], guess[:, 0] = left[0], top[:, 0]
+    guess[0, 0] = 0
+    return ((p - guess) & 255).astype(np.uint8)
+
+
+def _slope(x: np.ndarray, y: np.ndarray) -> int:
+    """How y follows x, in 32nds, both as signed bytes; 0 without a trend."""
+    x, y = x.view(np.int8).ravel().astype(np.float32), y.view(np.int8).ravel().astype(np.float32)
+    x -= x.mean()
+    spread = float((x * x).sum())
+    return int(np.clip(np.round(32 * float((x * y).sum()) / spread), -128, 127)) if spread else 0
+
+
+def _palette(out: Writer, argb: np.ndarray, colours: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """Writes the transform; gives packed indices as pixels."""
+    h, w = argb.shape
+    n = len(colours)
+    pack = 3 if n <= 2 else 2 if n <= 4 else 1
+    out.put(1, 1)
+    out.put(3, 2)
+    out.put(n - 1, 8)
+    deltas = np.diff(np.ascontiguousarray(colours, "<u4").view(np.uint8).reshape(-1, 4), axis=0, prepend=np.zeros((1, 4), np.uint8))
+    out.image(np.ascontiguousarray(deltas).view("<u4").ravel())
+    per = 1 << pack
+    index = np.pad(index.reshape(h, w), ((0, 0), (0, -w % per))).reshape(h, -1, per)
+    return (index << (np.arange(per) * (8 >> pack))).sum(-1).astype(np.uint32) << np.uint32(8)
+
+
+def _decorrelated(out: Writer, px: np.ndarray) -> np.ndarray:
+    """Writes subtract-green or cross-colour, and a predictor, where they make the samples
+    smaller; gives what is left as pixels."""
+    blocks = (-(-px.shape[0] // 512), -(-px.shape[1] // 512))
+    alpha, best = np.uint32(0xFF000000), _samples(px)
+    green, by_left = px[..., 1], _residual(px, 1)
+    to_red, to_blue = _slope(green, px[..., 2]), _slope(green, px[..., 0])
+    signed = green.view(np.int8).astype(np.int32)
+    spared = np.stack([px[..., 0] - green, green, px[..., 2] - green], -1)
+    crossed = np.stack([px[..., 0] - ((to_blue * signed) >> 5), green, px[..., 2] - ((to_red * signed) >> 5)], -1).astype(np.uint8) if abs(to_red) + abs(to_blue) > 4 else None
+    if (size := _samples(spared)) < best:
+        best, px = size, spared
+        out.put(1, 1)
+        out.put(2, 2)
+    elif crossed is not None and (size := _samples(crossed) + 120) < best:
+        best, px = size, crossed
+        out.put(1, 1)
+        out.put(1, 2)
+        out.put(7, 3)
+        out.image(np.full(blocks, (to_blue & 255) << 8 | (to_red & 255), np.uint32))
+    # Where not even the pixel to the left tells of the next one, no neighbour is tried.
+    if _bits(np.bincount(by_left[..., 1].ravel(), minlength=256)) < _bits(np.bincount(green.ravel(), minlength=256)):
+        size, mode = min((_samples(_residual(px, m)) + 100, m) for m in (1, 2, 7, 12))
+        if size < best:
+            px, alpha = _residual(px, mode), np.uint32(0)
+            out.put(1, 1)
+            out.put(0, 2)
+            out.put(7, 3)
+            out.image(np.full(blocks, mode << 8, np.uint32))
+    return _argb(px) | alpha
+
+
 def encode(rgb: np.ndarray) -> bytes:
     """An image file of (height, width, 3) samples."""
     h, w, _ = rgb.shape
-    c = rgb.astype(np.uint32)
-    argb = np.uint32(0xFF000000) | (c[..., 0] << np.uint32(16)) | (c[..., 1] << np.uint32(8)) | c[..., 2]
+    px = np.ascontiguousarray(rgb[..., ::-1])  # blue, green, red, as in a pixel's bytes
     out = Writer()
     out.put(w - 1, 14)
     out.put(h - 1, 14)
     out.put(0, 4)
-    colours, index = np.unique(argb, return_inverse=True)
-    if len(colours) <= 256:
-        n = len(colours)
-        pack = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
-        out.put(1, 1)
-        out.put(3, 2)
-        out.put(n - 1, 8)
-        parts = np.ascontiguousarray(colours, "<u4").view(np.uint8).reshape(-1, 4)
-        deltas = np.diff(parts, axis=0, prepend=np.zeros((1, 4), np.uint8))
-        out.image(np.ascontiguousarray(deltas).view("<u4").ravel())
-        index = index.reshape(h, w)
-        if pack:
-            per = 1 << pack
-            index = np.pad(index, ((0, 0), (0, -w % per))).reshape(h, -1, per)
-            index = (index << (np.arange(per) * (8 >> pack))).sum(-1)
-        argb = index.astype(np.uint32) << np.uint32(8)
+    argb = _argb(px) | np.uint32(0xFF000000)
+    colours, index = np.unique(argb[:2], return_inverse=True)
+    if len(colours) <= 16 and h > 2:
+        colours, index = np.unique(argb, return_inverse=True)
+    argb = _palette(out, argb, colours, index) if len(colours) <= 16 else _decorrelated(out, px)
     out.put(0, 1)
     out.image(argb, True)
     return container(out.bytes())

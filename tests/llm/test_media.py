@@ -2,6 +2,7 @@
 
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -176,13 +177,61 @@ def test_long_text_takes_several_images():
 
 
 def test_query(spark, sf):
+    """Every column against plain code; the files themselves are read by the test above."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     rows = {r["doc_id"]: r for r in queries.op9_media(spark, sf).collect()}
-    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
-    assert len(rows) == len(docs)
-    for d in docs:
-        n, data = media.payload(d["text"])
-        r = rows[d["doc_id"]]
-        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]))
+    files = {r["doc_id"]: r["media"] for r in media.write(docs).collect()}
+    assert len(rows) == docs.count()
+    for i, text in docs.collect():
+        raw = (text or "").encode()
+        data = raw + b" " * (192 - len(raw) % 192 if len(raw) % 192 or not raw else 0)
+        n = len(data) // 3
+        mean = [sum(data[k::3]) / n for k in range(3)]
+        bins = [0] * 16
+        for x in data:
+            bins[x >> 4] += 1
+        stored = b"".join(files[i])
+        r = rows[i]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+        size, rgb, hist = r["feature"].split(" ")
+        assert size == f"64x{n // 64}" and hist == "hist=" + ",".join(map(str, bins))
+        assert [float(x) for x in rgb[4:].split(",")] == pytest.approx(mean, abs=6e-4)
+
+
+def test_texts_are_coded_and_read_by_the_method(spark, sf):
+    used = Counter()
+    for (text,) in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect():
+        for file in media.store(media.payload(text)[1]):
+            webp.decode(file, used)
+    assert used["prefix-coded"] >= 200 and used["references"] > 200 and used["cache hits"] > 2000
+
+
+def test_smooth_images_use_the_transforms():
+    rng = np.random.default_rng(2)
+    y, x = np.mgrid[0:64, 0:64]
+    slope = ((x * 3 + y * 2)[..., None] + rng.integers(0, 3, (64, 64, 3))) % 256
+    grey = rng.integers(0, 256, (64, 64, 1)) + rng.integers(0, 3, (64, 64, 3))
+    half = rng.integers(0, 128, (64, 64, 1)) * np.array([1, 2, 0]) // 2 + np.array([40, 0, 9]) + rng.integers(0, 4, (64, 64, 3)) * np.array([1, 0, 1])
+    for made, parts in ((slope, {"predictor"}), (grey, {"subtract-green"}), (half, {"cross-colour"}), (np.zeros((9, 64, 3)), {"palette"})):
+        used, rgb = Counter(), made.astype(np.uint8)
+        assert (webp.decode(webp.encode(rgb), used)[..., :3] == rgb).all()
+        assert parts <= set(used), used
+
+
+def test_broken_files():
+    rng = np.random.default_rng(4)
+    file = webp.encode(rng.integers(97, 123, (6, 64, 3)).astype(np.uint8))
+    chunk = file[12:]
+    wide = b"RIFF" + (len(chunk) + 22).to_bytes(4, "little") + b"WEBPVP8X" + (10).to_bytes(4, "little") + bytes(10) + chunk
+    assert (webp.decode(wide) == webp.decode(file)).all()
+    stream = file[21:]
+    for n in (0, 3, 9, len(stream) // 3, len(stream) - 9):
+        with pytest.raises(ValueError):
+            webp.decode(webp.container(stream[:n]))
+    for n in (0, 11, 19, len(file) // 2):
+        with pytest.raises(ValueError):
+            webp.decode(file[:n])
 
 
 def test_null_empty_and_repeated(spark):
