@@ -139,6 +139,26 @@ def _read_code(bits: Bits, alphabet: int) -> Code:
     return Code.of(lengths)
 
 
+def _read_codes(bits: Bits, cached: int) -> list[Code]:
+    """The five codes of a group. Bits that repeat those of the code before, over the same
+    alphabet, give the same code and are not read again."""
+    out, before, size = [], 0, 0
+    for i, alphabet in enumerate(ALPHABETS):
+        if 2 <= i <= 3 and size:
+            first, end = bits.at >> 3, (bits.at + size + 7) >> 3
+            ahead = int.from_bytes(bits.data[first:end], "little") >> (bits.at & 7) & ((1 << size) - 1)
+            if ahead == before:
+                bits.at += size
+                bits.check()
+                out.append(out[-1])
+                continue
+        at = bits.at
+        out.append(_read_code(bits, alphabet + (cached if i == 0 else 0)))
+        size = bits.at - at
+        before = int.from_bytes(bits.data[at >> 3 : (bits.at + 7) >> 3], "little") >> (at & 7) & ((1 << size) - 1)
+    return out
+
+
 def _value(bits: Bits, prefix: int) -> int:
     if prefix < 4:
         return prefix + 1
@@ -167,8 +187,6 @@ def _stream(bits: Bits, codes: list[Code], cache_bits: int, w: int, n: int, used
     raw = np.frombuffer(bits.data, np.uint8)
     most = n * sum(c.width for c in codes[:4]) + SLACK
     green, red, blue, alpha, far = codes
-    if red.width == blue.width and (red.symbols == blue.symbols).all() and (red.lengths == blue.lengths).all():
-        blue = red
     others, both = (red, blue, alpha), green.symbols << 4 | green.lengths
     copies, hits, done = [], [], 0
     while done < n:
@@ -187,31 +205,37 @@ def _stream(bits: Bits, codes: list[Code], cache_bits: int, w: int, n: int, used
         for step in steps:
             if step is not None:
                 following += step[following]
-        gain = None
+        q = np.zeros(0, np.int64)
         other = np.flatnonzero(entry[: span + 8] >= 256 << 4)
         if len(other):
             following[other] = ends[other]
             q = other[entry[other] < 280 << 4]
-            gain, distance = np.ones(len(ends), np.int64), np.zeros(len(ends), np.int64)
-            gain[q], extra = _values((entry[q] >> 4) - 256, ahead[ends[q]])
+            gain, extra = _values((entry[q] >> 4) - 256, ahead[ends[q]])
             place = ends[q] + extra
             key = ahead[place] & ((1 << far.width) - 1)
             place += far.lengths[key]
-            distance[q], extra = _values(far.symbols[key], ahead[place])
+            distance, extra = _values(far.symbols[key], ahead[place])
             following[q] = place + extra
-        step, p, seen, left = following.tolist(), bits.at & 7, [], n - done
-        while p < span and len(seen) < left:
+        after, p, seen, left = memoryview(following), bits.at & 7, [], n - done
+        for _ in range(left):
+            if p >= span:
+                break
             seen.append(p)
-            p = step[p]
+            p = after[p]
         seen = np.array(seen, np.int64)
-        took = np.ones(len(seen), np.int64) if gain is None else gain[seen]
+        kind, took = entry[seen] >> 4, np.ones(len(seen), np.int64)
+        far_back = np.flatnonzero((kind >= 256) & (kind < 280))
+        copied = np.searchsorted(q, seen[far_back])
+        if len(copied):
+            took[far_back] = gain[copied]
         upto = np.cumsum(took)
         if upto[-1] > left:  # what follows the last pixel is something else
             last = int(np.searchsorted(upto, left)) + 1
-            seen, took, upto, p = seen[:last], took[:last], upto[:last], step[seen[last - 1]]
+            p, far_back = int(following[seen[last - 1]]), far_back[far_back < last]
+            seen, kind, took, upto = seen[:last], kind[:last], took[:last], upto[:last]
         bits.at = 8 * base + p
         bits.check()
-        where, kind = done + upto - took, entry[seen] >> 4
+        where = done + upto - took
         done += int(upto[-1])
         plain = kind < 256
         p, value = ends[seen[plain]], kind[plain].astype(np.int64) << 8
@@ -220,9 +244,9 @@ def _stream(bits: Bits, codes: list[Code], cache_bits: int, w: int, n: int, used
             if step is not None:
                 p = p + step[p]
         px[where[plain]] = value
-        if gain is not None:
-            far_back = (kind >= 256) & (kind < 280)
-            copies += zip(where[far_back].tolist(), took[far_back].tolist(), _back(distance[seen[far_back]], w).tolist(), strict=True)
+        if len(far_back):
+            copies += zip(where[far_back].tolist(), took[far_back].tolist(), _back(distance[copied[: len(far_back)]], w).tolist(), strict=True)
+        if len(other):
             hits.append(np.stack([where[kind >= 280], kind[kind >= 280] - 280]))
     used["prefix-coded"] += 1
     used["references"] += len(copies)
@@ -267,7 +291,7 @@ def _image(bits: Bits, w: int, h: int, main: bool = False, used: Counter | None
         shift = bits.read(3) + 2
         which = (_image(bits, -(-w // (1 << shift)), -(-h // (1 << shift))) >> np.uint32(8)) & np.uint32(0xFFFF)
         groups = int(which.max()) + 1
-    codes = [[_read_code(bits, a + ((1 << cache_bits) if i == 0 and cache_bits else 0)) for i, a in enumerate(ALPHABETS)] for _ in range(groups)]
+    codes = [_read_codes(bits, (1 << cache_bits) if cache_bits else 0) for _ in range(groups)]
     n = w * h
     if groups == 1:
         return _stream(bits, codes[0], cache_bits, w, n, Counter() if used is None else used)
@@ -629,8 +653,9 @@ class Writer:
         alpha = _lengths(np.bincount(px[plain, 3], minlength=256))
         far = _lengths(np.bincount(far_prefix, minlength=40) if copies else np.zeros(40, np.int64))
         said = _said(other)
-        for value, k in [*_said(green), *said, *said, *_said(alpha), *_said(far)]:
-            self.put(value, k)
+        for part in (_said(green), said, said, _said(alpha), _said(far)):
+            self.values += [x[0] for x in part]
+            self.sizes += [x[1] for x in part]
         green_code, other_code, alpha_code, far_code = (_codes(x) for x in (green, other, alpha, far))
         green, other, alpha, far = (x if np.count_nonzero(x) > 1 else np.zeros_like(x) for x in (green, other, alpha, far))
         values, sizes = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -708,7 +733,7 @@ def _decorrelated(out: Writer, px: np.ndarray) -> np.ndarray:
     smaller; gives what is left as pixels."""
     blocks = (-(-px.shape[0] // 512), -(-px.shape[1] // 512))
     alpha, best = np.uint32(0xFF000000), _samples(px)
-    green, by_left = px[..., 1], _residual(px, 1)
+    green = px[..., 1]
     to_red, to_blue = _slope(green, px[..., 2]), _slope(green, px[..., 0])
     signed = green.view(np.int8).astype(np.int32)
     spared = np.stack([px[..., 0] - green, green, px[..., 2] - green], -1)
@@ -724,7 +749,7 @@ def _decorrelated(out: Writer, px: np.ndarray) -> np.ndarray:
         out.put(7, 3)
         out.image(np.full(blocks, (to_blue & 255) << 8 | (to_red & 255), np.uint32))
     # Where not even the pixel to the left tells of the next one, no neighbour is tried.
-    if _bits(np.bincount(by_left[..., 1].ravel(), minlength=256)) < _bits(np.bincount(green.ravel(), minlength=256)):
+    if _bits(np.bincount((green[:, 1:] - green[:, :-1]).ravel(), minlength=256)) < _bits(np.bincount(green.ravel(), minlength=256)):
         size, mode = min((_samples(_residual(px, m)) + 100, m) for m in (1, 2, 7, 12))
         if size < best:
             px, alpha = _residual(px, mode), np.uint32(0)
