@@ -249,6 +249,11 @@ class Graph:
         pairs = F.transform(F.coalesce("out", F.array().cast("array<struct<dst:string,w:string>>")), lambda x: F.concat(x["dst"], F.lit(":"), x["w"]))
         return self.nodes.select("id").join(out, "id", "left").select("id", F.concat(F.lit("    "), "id", F.lit(": map["), F.array_join(pairs, " "), F.lit("]\n")).alias("line"))
 
+    def node_texts(self) -> DataFrame:
+        """Rows (id, text): each node with its arcs, as text."""
+        arcs = F.regexp_extract("line", r": (map\[.*\])\n$", 1)
+        return self.lines().select("id", F.concat(F.lit("Node(ID: "), "id", F.lit(", Edges: "), arcs, F.lit(")")).alias("text"))
+
     def text(self) -> DataFrame:
         """One row (text): header, flags and a line per node, in order of ids."""
         body = self.lines().agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "line"))), lambda x: x["line"]), "").alias("body"))

@@ -41,11 +41,10 @@ def closeness(g: Graph, c: config.Closeness = config.Closeness(), p: DataFrame |
 def dependencies(g: Graph, p: DataFrame) -> DataFrame:
     """Rows (src, u, v, ratio): each arc on shortest paths from src, with the share of the
     shortest paths to v that come over u."""
-    steps = paths.steps_of(g, p)
-    sigma = p.select("src", F.col("dst"), "sigma")
-    steps = steps.join(sigma.withColumnsRenamed({"dst": "u", "sigma": "gu"}), ["src", "u"])
-    steps = steps.join(sigma.withColumnsRenamed({"dst": "v", "sigma": "gv"}), ["src", "v"])
-    return steps.select("src", "u", "v", (F.col("gu") / F.col("gv")).alias("ratio"))
+    a = g.arcs.where("src <> dst").select(F.col("src").alias("u"), F.col("dst").alias("v"), "weight")
+    start = p.select("src", F.col("dst").alias("u"), F.col("dist").alias("du"), F.col("sigma").alias("gu")).join(a, "u")
+    met = start.join(p.select("src", F.col("dst").alias("v"), F.col("dist").alias("dv"), F.col("sigma").alias("gv")), ["src", "v"])
+    return met.where(F.abs(F.col("du") + F.col("weight") - F.col("dv")) <= paths.EPS).select("src", "u", "v", (F.col("gu") / F.col("gv")).alias("ratio"))
 
 
 def accumulate(steps: DataFrame) -> DataFrame:
@@ -103,9 +102,11 @@ def _normalized(g: Graph, given: DataFrame | None, n: int) -> DataFrame:
     return mine.select("id", (F.col("value") / F.lit(total) if total else F.lit(1.0 / n)).alias("p"))
 
 
-def page_rank(g: Graph, c: config.PageRank = config.PageRank()) -> DataFrame:
+def page_rank(g: Graph, c: config.PageRank | None = None) -> DataFrame:
     """Power iteration without weights and loops; stops when the sum of changes is under
-    n * tol. Settings out of range fall back to the defaults."""
+    n * tol. Settings out of range fall back to the defaults. Without settings up to 1,000
+    rounds are made."""
+    c = config.PageRank(max_iter=1000) if c is None else c
     alpha = c.alpha if 0 < c.alpha < 1 else 0.85
     rounds, tol = c.max_iter if c.max_iter > 0 else 100, c.tol if c.tol > 0 else 1e-6
     n = g.size()
@@ -120,12 +121,13 @@ def page_rank(g: Graph, c: config.PageRank = config.PageRank()) -> DataFrame:
     hang = _normalized(g, c.dangling, n).withColumnRenamed("p", "hang") if c.dangling is not None else jump.select("id", F.col("jump").alias("hang"))
     base = stash(jump.join(hang, "id").join(degrees.select(F.col("src").alias("id"), F.lit(True).alias("has")), "id", "left").select("id", "jump", "hang", F.col("has").isNull().alias("dangling")))
     rank = base.select("id", "jump", "hang", "dangling", F.lit(1.0 / n).alias("r"), F.lit(0.0).alias("before"))
+    lost = base.where("dangling").count() / n
     for _ in range(rounds):
-        lost = rank.agg(F.sum(F.when(F.col("dangling"), F.col("r")))).first()[0] or 0.0
         given = a.join(rank.select(F.col("id").alias("src"), "r"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(alpha * F.col("r") / F.col("k")).alias("got"))
         new = (1 - alpha) * F.col("jump") + F.lit(alpha * lost) * F.col("hang") + F.coalesce("got", F.lit(0.0))
         rank = stash(rank.join(given, "id", "left").select("id", "jump", "hang", "dangling", new.alias("r"), F.col("r").alias("before")))
-        if rank.agg(F.sum(F.abs(F.col("r") - F.col("before")))).first()[0] < n * tol:
+        change, lost = rank.agg(F.sum(F.abs(F.col("r") - F.col("before"))), F.coalesce(F.sum(F.when(F.col("dangling"), F.col("r"))), F.lit(0.0))).first()
+        if change < n * tol:
             break
     total = rank.agg(F.sum("r")).first()[0]
     return rank.select("id", (F.col("r") / F.lit(total) if total else F.col("r")).alias("value"))

@@ -167,38 +167,44 @@ def barabasi_albert(spark: SparkSession, n: int, m: int, directed: bool = False,
 
 def watts_strogatz(spark: SparkSession, n: int, k: int, beta: float, directed: bool = False, seed: int | None = None, weight: Weight | None = None) -> Graph:
     """A ring with arcs to the next k // 2 nodes, each moved with probability beta to a
-    uniform node that is no repeat and not itself. Moves that clash are drawn again, the
-    edge with the lowest number going first."""
+    uniform node that is no neighbour yet and not itself. An edge is there until it has
+    moved, so there are n * (k // 2) edges at any time; of moves that clash, that of the
+    edge with the lowest number is made, and the others are drawn again. What has found no
+    place in so many turns draws among the nodes that are free; an edge without any stays."""
     _need(0 <= k < n and 0 <= beta <= 1, "k from 0 to n - 1, beta from 0 to 1")
     seed = rng.resolve(seed)
     half = k // 2
     if not half:
         return _graph(spark.range(n), spark.range(0).select(F.col("id").alias("i"), F.col("id").alias("j")), directed, weight)
-    ring = spark.range(n).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(1), F.lit(half))).alias("s")).select("i", "s", ((F.col("i") + F.col("s")) % n).alias("j"))
-    ring = stash(ring.select("*", (rng.uniform(seed, "i", "s", F.lit("move")) < beta).alias("move")))
     pair = lambda i, j: [F.col(i).alias("a"), F.col(j).alias("b")] if directed else [F.least(i, j).alias("a"), F.greatest(i, j).alias("b")]
-    placed = ring.where("not move").select("i", "j", *pair("i", "j"))
-    open_ = ring.where("move").select("i", "s", "j")
-    turn, most = 0, 64
-    while not open_.isEmpty() and turn < most:
-        asked = open_.withColumn("t", F.floor(rng.uniform(seed, "i", "s", F.lit(turn)) * n)).select("*", *pair("i", "t"))
-        free = asked.where("i <> t").join(placed.select("a", "b"), ["a", "b"], "left_anti")
-        won = stash(free.withColumn("r", F.row_number().over(W.partitionBy("a", "b").orderBy("i", "s"))).where("r = 1").select("i", "s", "t", "a", "b"))
-        placed = stash(placed.unionByName(won.select("i", F.col("t").alias("j"), "a", "b")))
-        open_ = stash(open_.join(won.select("i", "s"), ["i", "s"], "left_anti"))
+    ring = spark.range(n).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(1), F.lit(half))).alias("s")).select("i", "s", ((F.col("i") + F.col("s")) % n).alias("j"))
+    edges = stash(ring.select("i", "s", "j", *pair("i", "j"), (rng.uniform(seed, "i", "s", F.lit("move")) < beta).alias("move")))
+    turn, most = 0, 16
+    while not edges.where("move").isEmpty():
+        asked = edges.where("move").select("i", "s")
+        if turn < most:
+            asked = asked.withColumn("t", F.floor(rng.uniform(seed, "i", "s", F.lit(turn)) * n))
+        else:
+            asked = asked.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+        free = asked.where("i <> t").select("*", *pair("i", "t")).join(edges.select("a", "b"), ["a", "b"], "left_anti")
+        if turn >= most:
+            free = free.withColumn("r", F.row_number().over(W.partitionBy("i", "s").orderBy(rng.uniform(seed, "i", "s", "t", F.lit(turn)), "t"))).where("r = 1").drop("r")
+        won = stash(free.withColumn("r", F.row_number().over(W.partitionBy("a", "b").orderBy("i", "s"))).where("r = 1").select("i", "s", "t", F.col("a").alias("a2"), F.col("b").alias("b2")))
+        if turn >= most and won.isEmpty():
+            break
+        met = edges.join(won, ["i", "s"], "left")
+        edges = stash(met.select("i", "s", F.coalesce("t", "j").alias("j"), F.coalesce("a2", "a").alias("a"), F.coalesce("b2", "b").alias("b"), (F.col("move") & F.col("t").isNull()).alias("move")))
         turn += 1
-    # What found no free node in all turns keeps its place on the ring if that is free.
-    rest = open_.select("i", "j", *pair("i", "j")).join(placed.select("a", "b"), ["a", "b"], "left_anti").dropDuplicates(["a", "b"])
-    return _graph(spark.range(n), placed.select("i", "j").unionByName(rest.select("i", "j")), directed, weight)
+    return _graph(spark.range(n), edges.select("i", "j"), directed, weight)
 
 
-def _ordered(df: DataFrame, *by: str) -> DataFrame:
+def ordered(df: DataFrame, *by: str) -> DataFrame:
     """df with a number `at` in order of by, from 0: counts of range partitions give each
     one its first number."""
-    parts = stash(df.repartitionByRange(*by).withColumn("part", F.spark_partition_id()))
-    counts = parts.groupBy("part").agg(F.count("*").alias("n"))
-    first = counts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("first"))  # a row per partition
-    return parts.join(F.broadcast(first), "part").withColumn("at", F.col("first") + F.row_number().over(W.partitionBy("part").orderBy(*by)) - 1).drop("part", "first")
+    parts = stash(df.repartitionByRange(*by).withColumn("in_part", F.spark_partition_id()))
+    counts = parts.groupBy("in_part").agg(F.count("*").alias("n"))
+    before = counts.select("in_part", (F.sum("n").over(W.orderBy("in_part")) - F.col("n")).alias("before_part"))  # a row per partition
+    return parts.join(F.broadcast(before), "in_part").withColumn("at", F.col("before_part") + F.row_number().over(W.partitionBy("in_part").orderBy(*by)) - 1).drop("in_part", "before_part")
 
 
 def random_regular(spark: SparkSession, n: int, k: int, directed: bool = False, seed: int | None = None, weight: Weight | None = None) -> Graph:
@@ -214,7 +220,7 @@ def random_regular(spark: SparkSession, n: int, k: int, directed: bool = False,
             left = open_.count()
             if not left:
                 return _graph(spark.range(n), placed, directed, weight)
-            mixed = _ordered(open_.withColumn("h", rng.uniform(seed + start, "stub", F.lit(turn))), "h", "stub")
+            mixed = ordered(open_.withColumn("h", rng.uniform(seed + start, "stub", F.lit(turn))), "h", "stub")
             met = mixed.groupBy(F.floor(F.col("at") / 2).alias("pair")).agg(F.min(F.struct("at", "node", "stub")).alias("x"), F.max(F.struct("at", "node", "stub")).alias("y"))
             met = met.select("pair", F.least("x.node", "y.node").alias("i"), F.greatest("x.node", "y.node").alias("j"), F.array("x.stub", "y.stub").alias("stubs"))
             good = met.where("i <> j").join(placed, ["i", "j"], "left_anti")

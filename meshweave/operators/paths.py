@@ -22,17 +22,20 @@ def _sources(g: Graph, sources: DataFrame | None) -> DataFrame:
 
 
 def breadth_first(g: Graph, sources: DataFrame | None = None) -> DataFrame:
-    """pairs of an unweighted graph, from all nodes or those in sources(id)."""
+    """pairs of an unweighted graph, from all nodes or those in sources(id). Without
+    directions a level's neighbours lie in it, in the one before or in the one after, so
+    only two levels are looked through for what was seen."""
     a = stash(g.arcs.where("src <> dst").select(F.col("src").alias("dst"), F.col("dst").alias("to")))
     seen = stash(_sources(g, sources).select("src", "dst", F.lit(0).alias("hops"), F.lit(1.0).alias("sigma")))
-    frontier, level = seen, 0
+    frontier, known, level = seen, seen, 0
     while True:
         level += 1
         ahead = frontier.join(a, "dst").groupBy("src", F.col("to").alias("dst")).agg(F.sum("sigma").alias("sigma"))
-        frontier = stash(ahead.join(seen.select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst", F.lit(level).alias("hops"), "sigma"))
+        last, frontier = frontier, stash(ahead.join(known.select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst", F.lit(level).alias("hops"), "sigma"))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        known = seen if g.directed else last.unionByName(frontier)
     return seen.select("src", "dst", F.col("hops").cast("double").alias("dist"), "hops", "sigma")
 
 

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import fields, is_dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshweave import config
+from meshweave.analyzer import Analyzer
 from meshweave.functions import rng
-from meshweave.graph import Graph, deserialize
+from meshweave.graph import Graph, GraphError, deserialize, node_rows
 from meshweave.operators import centrality, community, generators, paths, report, structure
 from meshweave.operators.bimap import Bimap
 from meshweave.plans import sql
+from meshweave.session import shared_dir, stash
 from meshweave.sources import files, tables
 from meshweave.streaming import propagation
 
@@ -304,13 +309,11 @@ def add_nodes_and_edges(spark: SparkSession, d: str) -> DataFrame:
     return g.add_nodes(more).add_edges(more.select(F.col("id").alias("src"), F.regexp_replace("id", "x", "").alias("dst"))).arcs
 
 
-@query(", p AS (SELECT src, dst, weight, row_number() OVER (ORDER BY src, dst) AS i FROM arcs WHERE src <> dst) SELECT a.i AS path_id, a.weight + b.weight AS total FROM p a JOIN arcs b ON b.src = a.dst AND b.dst = a.src", sql.NATIONS)
+@query("SELECT a.src || '>' || a.dst AS path_id, a.weight + b.weight AS total FROM arcs a JOIN arcs b ON b.src = a.dst AND b.dst = a.src WHERE a.src <> a.dst", sql.NATIONS)
 def path_totals(spark: SparkSession, d: str) -> DataFrame:
     """There and back over every arc but loops."""
     g = tables.nations(spark, d)
-    from pyspark.sql import Window as W
-
-    ways = g.arcs.where("src <> dst").select(F.row_number().over(W.orderBy("src", "dst")).cast("long").alias("path_id"), F.array("src", "dst", "src").alias("nodes"))
+    ways = g.arcs.where("src <> dst").select(F.concat_ws(">", "src", "dst").alias("path_id"), F.array("src", "dst", "src").alias("nodes"))
     return g.paths(ways).where("missing is null").select("path_id", "total")
 
 
@@ -321,6 +324,132 @@ def tags(spark: SparkSession, d: str) -> DataFrame:
     return g.node("3").select("id", F.col("tags")["name"].alias("name"), F.col("tags")["seen"].alias("seen"))
 
 
+FIRST = "(SELECT min((src, dst)) AS p FROM arcs)"
+
+
+@query(f"SELECT true AS has_node, false AS has_other, true AS has_edge, false AS has_far_edge, weight AS edge_weight, (SELECT count(*) FROM nodes) AS size, (SELECT count(*) FROM arcs) AS edge_count, true AS directed, true AS weighted FROM arcs, {FIRST} WHERE src = p[1] AND dst = p[2]", sql.NATIONS)
+def lookups(spark: SparkSession, d: str) -> DataFrame:
+    g = tables.nations(spark, d)
+    src, dst = g.arcs.agg(F.min(F.struct("src", "dst")).alias("p")).select("p.*").first()
+    row = (g.has_node(src), g.has_node("nowhere"), g.has_edge(src, dst), g.has_edge(src, "nowhere"), g.edge_weight(src, dst), g.size(), g.edge_count(), g.directed, g.weighted)
+    return spark.createDataFrame([row], "has_node boolean, has_other boolean, has_edge boolean, has_far_edge boolean, edge_weight double, size long, edge_count long, directed boolean, weighted boolean")
+
+
+@query("SELECT id FROM nodes", sql.SUPPLIERS)
+def node_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tables.suppliers(spark, d).node_ids()
+
+
+@query("SELECT id, 'Node(ID: ' || id || ', Edges: map[' || coalesce(string_agg(dst || ':' || weight::BIGINT, ' ' ORDER BY dst), '') || '])' AS text FROM nodes LEFT JOIN arcs ON src = id GROUP BY id", sql.NATIONS)
+def node_texts(spark: SparkSession, d: str) -> DataFrame:
+    return tables.nations(spark, d).node_texts()
+
+
+@query("SELECT sha256(text) AS hash FROM whole", sql.NATIONS + sql.TEXT[: sql.TEXT.index(" SELECT text, sha256")])
+def graph_hash(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(tables.nations(spark, d).hash(),)], "hash string")
+
+
+@query("SELECT n_name AS tag, true AS has_tag, false AS has_other FROM nation WHERE n_nationkey = 3")
+def tag_lookups(spark: SparkSession, d: str) -> DataFrame:
+    nodes = tables.table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.create_map(F.lit("name"), F.col("n_name")).alias("tags"))
+    g = Graph(nodes, tables.nations(spark, d).arcs, True, True)
+    return spark.createDataFrame([(g.tag("3", "name"), g.has_tag("3", "name"), g.has_tag("3", "other"))], "tag string, has_tag boolean, has_other boolean")
+
+
+@query("SELECT 0::BIGINT AS nodes, 0::BIGINT AS arcs, true AS directed, true AS weighted")
+def freed(spark: SparkSession, d: str) -> DataFrame:
+    g = tables.nations(spark, d).free()
+    return spark.createDataFrame([(g.size(), g.edge_count(), g.directed, g.weighted)], "nodes long, arcs long, directed boolean, weighted boolean")
+
+
+#: Of the rules of the data model: what breaks one, as (nodes, edges, directed, weighted).
+BROKEN = {
+    "a node twice": (["a", "a"], [], True, False),
+    "an end that is no node": (["a"], [("a", "b")], True, False),
+    "a weight of 0": (["a", "b"], [("a", "b", 0.0)], True, True),
+    "a weight of an unweighted graph": (["a", "b"], [("a", "b", 2.0)], True, False),
+    "a loop without directions": (["a"], [("a", "a")], False, False),
+    "an edge twice": (["a", "b"], [("a", "b"), ("a", "b")], True, False),
+    "an edge both ways without directions": (["a", "b"], [("a", "b"), ("b", "a")], False, False),
+    "no rule": (["a", "b"], [("a", "b")], False, False),
+}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{name}', {str(name != 'no rule').lower()})" for name in BROKEN) + ") t(rule, refused)")
+def broken_rules(spark: SparkSession, d: str) -> DataFrame:
+    def refused(nodes: list, edges: list, directed: bool, weighted: bool) -> bool:
+        kind = "src string, dst string" + (", weight double" if edges and len(edges[0]) == 3 or weighted else "")
+        try:
+            Graph.of(node_rows(spark, nodes), spark.createDataFrame(edges, kind), directed, weighted)
+        except GraphError:
+            return True
+        return False
+
+    return spark.createDataFrame([(name, refused(*case)) for name, case in BROKEN.items()], "rule string, refused boolean")
+
+
+@query("SELECT src, dst, dist, hops, sigma FROM pairs", sql.NATIONS + sql.WEIGHTED_PAIRS)
+def analyzer_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The kept pair table, made anew after the cache was cleared."""
+    a = Analyzer(tables.nations(spark, d))
+    before = a.pairs()
+    if a.pairs() is not before:
+        raise GraphError("the pair table is not kept")
+    a.clear_cache()
+    return a.pairs()
+
+
+def _fields(prefix: str, c: object) -> list[tuple[str, str]]:
+    return [x for f in fields(c) for x in (_fields(f"{f.name}.", getattr(c, f.name)) if is_dataclass(getattr(c, f.name)) else [(prefix + f.name, str(getattr(c, f.name)).lower())])]
+
+
+@query("""SELECT * FROM (VALUES ('degree.mode', 'total'), ('closeness.wf_improved', 'true'), ('closeness.reverse', 'false'), ('betweenness.normalized', 'true'), ('edge_betweenness.normalized', 'true'),
+('page_rank.alpha', '0.85'), ('page_rank.max_iter', '100'), ('page_rank.tol', '1e-06'), ('page_rank.personalization', 'none'), ('page_rank.dangling', 'none'), ('page_rank.reverse', 'false'),
+('eigenvector.max_iter', '100'), ('eigenvector.tol', '1e-06'), ('eigenvector.start', 'none'), ('eigenvector.reverse', 'false'), ('assortativity.mode', 'projected'), ('assortativity.ignore_loops', 'true'), ('modularity.partition', 'none')) t(name, value)""")
+def default_settings(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame(_fields("", config.Config()), "name string, value string")
+
+
+def _inline(text: str) -> str:
+    """A tail of common tables and a SELECT, as a subquery."""
+    return f"(WITH RECURSIVE {text.lstrip(', ')})" if text.startswith(",") else f"({text})"
+
+
+def _rows(metric: str, text: str, other: str = "NULL::VARCHAR", value: str = "value", key: str = "id") -> str:
+    return f"SELECT '{metric}' AS metric, {key} AS id, {other} AS other, {value} AS value FROM {_inline(text)}"
+
+
+BY_REST = sql.MODULARITY.replace("SELECT n_nationkey::VARCHAR AS id, n_regionkey AS c FROM nation", "SELECT id, id::BIGINT % 4 AS c FROM nodes")
+WHOLE = {"key": "NULL::VARCHAR"}
+SUITE = [
+    _rows("degree_centrality", sql.degree("total")),
+    _rows("closeness_centrality", sql.closeness("dst", True)),
+    _rows("betweenness_centrality", sql.betweenness(True)),
+    _rows("edge_betweenness_centrality", sql.edge_betweenness(True), "dst", key="src"),
+    _rows("eigenvector_centrality", sql.eigenvector(10)),
+    _rows("page_rank", sql.page_rank(10, 0.85)),
+    _rows("clustering_coefficient", sql.CLUSTERING_DIRECTED),
+    _rows("clustering_coefficient", sql.CLUSTERING_DIRECTED.replace("SELECT id, round(", "SELECT round(avg(").replace(" END, 9) AS value", " END), 9) AS value"), **WHOLE),
+    _rows("degree_assortativity_coefficient", sql.assortativity("out", "in", True), **WHOLE),
+    _rows("modularity", BY_REST, **WHOLE),
+    _rows("diameter", sql.DIAMETER, value="hops::DOUBLE", **WHOLE),
+    _rows("diameter_weight", sql.DIAMETER, value="weight", **WHOLE),
+    _rows("shortest_paths", "SELECT src, dst, dist FROM pairs", "dst", "dist", "src"),
+]
+
+
+@query(" UNION ALL ".join(SUITE), sql.USERS + sql.PAIRS)
+def metrics_suite(spark: SparkSession, d: str) -> DataFrame:
+    """Every metric of one graph, through a sink and back."""
+    g = tables.users(spark, d)
+    rest = g.nodes.select("id", (F.col("id").cast("long") % 4).cast("int").alias("community"))
+    settings = config.Config(page_rank=config.PageRank(max_iter=10, tol=TINY), eigenvector=config.Eigenvector(max_iter=10, tol=TINY), modularity=config.Modularity(rest))
+    path = f"{shared_dir(spark)}/metrics-{uuid.uuid4().hex}"
+    files.write_metrics(rounded(Analyzer(g, settings).metrics()), path)
+    return files.read_metrics(spark, path)
+
+
 # ---- generators
 
 
@@ -388,6 +517,97 @@ def variates(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(500).select(i.alias("id"), F.round(rng.exponential(1, i, rate=2.0), 9).alias("exponential"), F.round(rng.pareto(1, i, least=3.0, alpha=2.5), 9).alias("pareto"), F.round(rng.log_normal(1, i, mu=4.6, sigma=0.5), 6).alias("log_normal"))
 
 
+def _shape(g: Graph, least: int = 0) -> DataFrame:
+    """One row of counts: nodes, edges, loops, edges that occur twice, nodes of fewer than
+    `least` neighbours."""
+    e = _ends(g).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+    n = e.agg(F.count("*").alias("edges"), F.count_if(F.col("a") == F.col("b")).alias("loops"), (F.count("*") - F.count_distinct("a", "b")).alias("twice"))
+    few = g.degrees().agg(F.count("*").alias("nodes"), F.count_if(F.col("degree") < least).alias("few"))
+    return n.crossJoin(few).select(*[F.col(c).cast("long").alias(c) for c in ("nodes", "edges", "loops", "twice", "few")])  # a row each
+
+
+def _shape_sql(nodes: int, edges: int) -> str:
+    return f"SELECT {nodes}::BIGINT AS nodes, {edges}::BIGINT AS edges, 0::BIGINT AS loops, 0::BIGINT AS twice, 0::BIGINT AS few"
+
+
+@query(_shape_sql(500, 3 + 497 * 3))
+def barabasi_albert_shape(spark: SparkSession, d: str) -> DataFrame:
+    return _shape(generators.barabasi_albert(spark, 500, 3, seed=11), least=3)
+
+
+@query(_shape_sql(500, 2500))
+def watts_strogatz_shape(spark: SparkSession, d: str) -> DataFrame:
+    return _shape(generators.watts_strogatz(spark, 500, 10, 0.1, seed=12), least=1)
+
+
+@query(_shape_sql(30, 30 * 14))
+def watts_strogatz_dense(spark: SparkSession, d: str) -> DataFrame:
+    return _shape(generators.watts_strogatz(spark, 30, 28, 0.5, seed=12), least=1)
+
+
+@query("SELECT i::VARCHAR AS id, 6::BIGINT AS degree FROM range(200) t(i)")
+def random_regular_degrees(spark: SparkSession, d: str) -> DataFrame:
+    return generators.random_regular(spark, 200, 6, seed=13).degrees()
+
+
+@query("SELECT (SELECT count(*) FROM nodes) AS nodes, true AS numbered, true AS settled", sql.SUPPLIERS)
+def greedy_communities_shape(spark: SparkSession, d: str) -> DataFrame:
+    """Whether communities are numbered from 0 and no merge of two would gain."""
+    g = tables.suppliers(spark, d)
+    label = stash(community.rounds(g))
+    e = structure.projected(g).join(label.withColumnsRenamed({"id": "u", "community": "cu"}), "u").join(label.withColumnsRenamed({"id": "v", "community": "cv"}), "v")
+    m = e.count()
+    ends = e.select(F.explode(F.array("cu", "cv")).alias("c")).groupBy("c").agg(F.count("*").alias("a"))
+    between = e.where("cu <> cv").groupBy(F.least("cu", "cv").alias("x"), F.greatest("cu", "cv").alias("y")).agg(F.count("*").alias("e"))
+    gain = between.join(ends.withColumnsRenamed({"c": "x", "a": "ax"}), "x").join(ends.withColumnsRenamed({"c": "y", "a": "ay"}), "y").where(F.lit(2 * m) * F.col("e") > F.col("ax") * F.col("ay"))
+    row = label.agg(F.count("*").alias("nodes"), ((F.min("community") == 0) & (F.max("community") + 1 == F.count_distinct("community"))).alias("numbered"))
+    return row.withColumn("settled", F.lit(gain.isEmpty()))
+
+
+def _edges(model: str, text: str) -> str:
+    return f"SELECT '{model}' AS model, src, dst FROM ({text})"
+
+
+DISPATCHED = {
+    "grid": ({"rows": 20, "cols": 30, "torus": False}, sql.GRID.format(rows=20, cols=30, right="y < 29", down="x < 19")),
+    "triangle_hex": ({"edge": 6}, sql.HEX.format(e=5)),
+    "erdos_renyi": ({"n": 300, "p": 0.05}, _canonical(sql.erdos_renyi(300, 0.05, 7, False))),
+    "random_geometric": ({"n": 400, "k": 12.0}, _canonical(sql.points(400, 7) + " SELECT i::VARCHAR AS src, j::VARCHAR AS dst FROM d WHERE d <= sqrt(12.0::DOUBLE / (pi() * 399))")),
+    "waxman": ({"n": 200, "alpha": 0.6, "beta": 0.3}, _canonical(sql.points(200, 7) + f" SELECT i::VARCHAR AS src, j::VARCHAR AS dst FROM d WHERE {sql.uniform(7, 'i', 'j')} < 0.6 * exp(-d / (0.3 * (SELECT max(d) FROM d)))")),
+}
+#: Models and settings that the dispatcher refuses.
+REFUSED = [("erdos_renyi", {"n": 10}), ("random_geometric", {"n": 10, "r": 0.1, "k": 2.0}), ("no_such_model", {})]
+
+
+@query(" UNION ALL ".join([_edges(m, text) for m, (_, text) in DISPATCHED.items()] + [f"SELECT '{m}', 'refused', NULL" for m, _ in REFUSED]))
+def standard_models(spark: SparkSession, d: str) -> DataFrame:
+    made = [_ends(generators.standard(spark, m, params, seed=7)).select(F.lit(m).alias("model"), "src", "dst") for m, (params, _) in DISPATCHED.items()]
+    refused = []
+    for m, params in REFUSED:
+        try:
+            generators.standard(spark, m, params, seed=7)
+        except GraphError:
+            refused.append((m, "refused", None))
+    return reduce(DataFrame.unionByName, [*made, spark.createDataFrame(refused, "model string, src string, dst string")])
+
+
+@query("SELECT k, n, round(sqrt(k / (pi() * (n - 1))), 12) AS r FROM (VALUES (20.0::DOUBLE, 1000::BIGINT), (4.5::DOUBLE, 50::BIGINT)) t(k, n)")
+def radius_for_degree(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame([(k, n, round(generators.radius_for_degree(k, n), 12)) for k, n in ((20.0, 1000), (4.5, 50))], "k double, n long, r double")
+
+
+@query("SELECT i::VARCHAR AS id, round(5 + 2 * sqrt(-2 * ln(1 - " + sql.uniform(2, "i", "'u'") + ")) * cos(2 * pi() * " + sql.uniform(2, "i", "'v'") + "), 6) AS normal, round(-1 + 4 * " + sql.uniform(2, "i") + ", 9) AS between_, (SELECT count(*) FROM range(1, 11) t(k) WHERE " + sql.uniform(2, "i", "k") + " < 0.3) AS binomial, (SELECT count(*) FROM (SELECT sum(exp(-2.5) * pow(2.5, k) / factorial(k::INTEGER)::DOUBLE) OVER (ORDER BY k) AS upto FROM range(0, 30) t(k)) WHERE upto <= " + sql.uniform(2, "i") + ") AS poisson FROM range(500) t(i)")
+def more_variates(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("id").cast("string")
+    return spark.range(500).select(
+        i.alias("id"),
+        F.round(rng.normal(2, i, mean=5.0, deviation=2.0), 6).alias("normal"),
+        F.round(rng.between(2, i, low=-1.0, high=3.0), 9).alias("between_"),
+        rng.binomial(2, i, n=10, p=0.3).cast("long").alias("binomial"),
+        rng.poisson(2, i, mean=2.5).cast("long").alias("poisson"),
+    )
+
+
 # ---- propagation
 
 

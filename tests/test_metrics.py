@@ -132,3 +132,29 @@ def test_bimap(spark):
     rows = lambda x: spark.createDataFrame(x, "key string, value string")
     b = Bimap.empty(spark).insert(rows([("Apple", "5"), ("Banana", "4"), ("Orange", "3")])).insert(rows([("Cake", "4")])).remove_key("Orange")
     assert b.by_key("Banana") is None and b.by_value("4") == "Cake" and b.by_value("3") is None and b.by_key("Apple") == "5"
+
+
+def test_metrics_as_one_document(spark):
+    import json
+
+    from meshweave.analyzer import METRICS, Analyzer
+    from meshweave.graph import Graph, GraphError, node_rows
+    from meshweave.sources import files
+
+    g = Graph.of(node_rows(spark, ["a", 'b"', "c"]), spark.createDataFrame([("a", 'b"'), ('b"', "c")], "src string, dst string"), False, False)
+    rows = Analyzer(g).metrics()
+    got = json.loads(files.metrics_document(rows).first()["json"])
+    assert set(got) == set(METRICS)
+    assert got["diameter"] == 2 and got["shortest_paths"]["a"] == {"a": 0, 'b"': 1, "c": 2}
+    assert got["betweenness_centrality"] == {"a": 0, 'b"': 1, "c": 0}
+    assert got["clustering_coefficient"] == {"average": 0, "local": {"a": 0, 'b"': 0, "c": 0}}
+    assert set(got["edge_betweenness_centrality"]["a"]) == {'b"'}
+    with pytest.raises(GraphError):
+        files.metrics_document(rows, most=5)
+
+
+def test_page_rank_without_settings_goes_on_to_its_limit(spark):
+    from meshweave.operators import centrality
+
+    g = Graph.of(node_rows(spark, "abc"), spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "src string, dst string"), True, False)
+    assert all(abs(r["value"] - 1 / 3) < 1e-9 for r in centrality.page_rank(g).collect())
