@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or, where it is unset (one machine), a temporary folder that
-    is set for the session."""
+    is set for the session. On a cluster it has to be set."""
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         got = tempfile.mkdtemp(prefix="meshweave-")
         spark.conf.set("spark.checkpoint.dir", got)
     return got
@@ -25,11 +27,11 @@ def stash(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
