@@ -17,7 +17,7 @@ from meshweave.llm import bpe, common, jaccard_join, language_id, line_dedup, mi
 
 #: Least share of a text's n-grams that its language must have.
 LEAST_SCORE = 0.2
-#: Rows of an id and a count that are broadcast; more are joined by a shuffle.
+#: Rows of an id and a count, 16 MB, that are broadcast; more are joined by a shuffle.
 BROADCAST = 1_000_000
 
 
@@ -50,15 +50,19 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     twice = _checked(joined.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"))
     single = kept.join(twice, "doc_id", "left_anti").select(*docs.columns)
-    return single.unionByName(kept.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    # Of rows that share an id, the one whose text, then other columns, sort first.
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    first = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("row"))
+    return single.unionByName(first.select(*[F.col("doc_id") if c == "doc_id" else F.col("row")[c].alias(c) for c in docs.columns]))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats documents as often as the mixture takes them. Rows that share an id share
     its copies, rounded up."""
     taken = mixing.mix(docs).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("epoch") == 0).alias("rows"))
-    copies = _checked(taken.select(F.col("doc_id").alias("__id"), F.ceil(F.col("n") / F.greatest("rows", F.lit(1))).cast("int").alias("__n")))
-    return docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+    copies = _checked(taken.select(F.col("doc_id").alias("id"), F.ceil(F.col("n") / F.greatest("rows", F.lit(1))).cast("int").alias("copies")))
+    rows = docs.select(F.struct(*docs.columns).alias("row")).join(copies, F.col("row.doc_id").eqNullSafe(F.col("id")))
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ source that holds a third of all rows is worked on in as many parts as it has bi
 
 Defined cases: a document counts as max(1, words) tokens, so null and empty texts count
 as 1. A null source is a source of its own. Repeated rows are documents of their own,
-taken together in the order. An empty table gives an empty result. Columns other than
+taken together in the order, those that share an id by length and a hash of their text. An empty table gives an empty result. Columns other than
 those named are passed through.
 """
 
@@ -107,7 +107,7 @@ def mix(docs: DataFrame, entropy: float = 0.95, repeats: float = 4.0, budget: in
     document, its block of the stream and its place there. A document is taken while its
     source's budget isn't used up, so a source's last document may pass it."""
     name = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit(""))
-    sized = stash(docs.select(F.col(key).alias("id"), F.col(source).alias("source"), name.alias("key"), F.greatest(word_count(F.col(text)), F.lit(1)).alias("tokens")), "mix-sized")
+    sized = stash(docs.select(F.col(key).alias("id"), F.col(source).alias("source"), name.alias("key"), F.greatest(word_count(F.col(text)), F.lit(1)).alias("tokens"), F.xxhash64(F.col(text)).alias("th")), "mix-sized")
     budgets, given, _ = weights(sized, entropy, repeats, budget)
     blocks = max(1, -(-given // block_tokens))
     total, limit = F.col("total"), F.col("budget")
@@ -119,7 +119,7 @@ def mix(docs: DataFrame, entropy: float = 0.95, repeats: float = 4.0, budget: in
     parts = parts.withColumn("before_part", F.sum("m").over(W.partitionBy("key", "epoch").orderBy("part")) - F.col("m")).drop("m")
     bins = bins.withColumn("before", F.sum("n").over(W.partitionBy("key", "epoch", "part").orderBy("bin")) - F.col("n")).join(parts, ["key", "epoch", "part"])
     bins = bins.select(*where, (F.col("before") + F.col("before_part")).alias("before"))
-    inside = F.sum("tokens").over(W.partitionBy(*where).orderBy("h", "id").rowsBetween(W.unboundedPreceding, 0)) - F.col("tokens")
+    inside = F.sum("tokens").over(W.partitionBy(*where).orderBy("h", "id", "tokens", "th").rowsBetween(W.unboundedPreceding, 0)) - F.col("tokens")
     placed = copies.withColumn("inside", inside).join(bins, where).withColumn("start", F.col("epoch") * total + F.col("before") + F.col("inside"))
     taken = placed.where(F.col("start") < limit).withColumn("block", F.floor(F.col("start") / limit * blocks))
     taken = taken.withColumn("position", F.row_number().over(W.partitionBy("block").orderBy(_hash(F.lit(seed), "epoch", "id", F.lit("block")), "key", "epoch", "start")).cast("long"))

@@ -37,10 +37,10 @@ from meshweave.llm.common import pieces, stash
 
 LENGTH = 200
 M = 32
-HOT, HOT_BYTES = 2048, 1 << 20
+HOT, HOT_BYTES = 2048, 1 << 22
 SHARD = 1 << 22  # bytes sorted at once
 CHUNK = 1 << 19
-BROADCAST = 1_000_000
+BROADCAST = 1_000_000  # places in texts, 24 bytes each, that are broadcast; more are joined by a shuffle
 B1, B2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 
