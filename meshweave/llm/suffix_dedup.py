@@ -36,7 +36,7 @@ from meshweave.llm import induced_sort
 from meshweave.llm.common import pieces, stash
 
 LENGTH = 200
-M = 32
+M = 64
 HOT, HOT_BYTES = 2048, 1 << 22
 SHARD = 1 << 22  # bytes sorted at once
 CHUNK = 1 << 19
