@@ -705,12 +705,12 @@ def _residual(px: np.ndarray, mode: int) -> np.ndarray:
     return ((p - guess) & 255).astype(np.uint8)
 
 
-def _slope(x: np.ndarray, y: np.ndarray) -> int:
-    """How y follows x, in 32nds, both as signed bytes; 0 without a trend."""
-    x, y = x.view(np.int8).ravel().astype(np.float32), y.view(np.int8).ravel().astype(np.float32)
+def _slopes(x: np.ndarray, ys: list[np.ndarray]) -> list[int]:
+    """How each y follows x, in 32nds, all as signed bytes; 0 without a trend."""
+    x = x.view(np.int8).astype(np.float32)
     x -= x.mean()
     spread = float((x * x).sum())
-    return int(np.clip(np.round(32 * float((x * y).sum()) / spread), -128, 127)) if spread else 0
+    return [int(np.clip(np.round(32 * float((x * y.view(np.int8)).sum()) / spread), -128, 127)) if spread else 0 for y in ys]
 
 
 def _palette(out: Writer, argb: np.ndarray, colours: np.ndarray, index: np.ndarray) -> np.ndarray:
@@ -733,23 +733,24 @@ def _decorrelated(out: Writer, px: np.ndarray) -> np.ndarray:
     smaller; gives what is left as pixels."""
     blocks = (-(-px.shape[0] // 512), -(-px.shape[1] // 512))
     alpha, best = np.uint32(0xFF000000), _samples(px)
-    green = px[..., 1]
-    to_red, to_blue = _slope(green, px[..., 2]), _slope(green, px[..., 0])
-    signed = green.view(np.int8).astype(np.int32)
-    spared = np.stack([px[..., 0] - green, green, px[..., 2] - green], -1)
-    crossed = np.stack([px[..., 0] - ((to_blue * signed) >> 5), green, px[..., 2] - ((to_red * signed) >> 5)], -1).astype(np.uint8) if abs(to_red) + abs(to_blue) > 4 else None
-    if (size := _samples(spared)) < best:
-        best, px = size, spared
+    blue, green, red = (np.ascontiguousarray(px[..., i]) for i in range(3))
+    to_red, to_blue = _slopes(green, [red, blue])
+    of_green = np.bincount(green.ravel(), minlength=256)
+    if (size := _bits(of_green) + _bits(np.bincount(np.concatenate([blue - green, red - green]).ravel(), minlength=256))) < best:
+        best, px = size, np.stack([blue - green, green, red - green], -1)
         out.put(1, 1)
         out.put(2, 2)
-    elif crossed is not None and (size := _samples(crossed) + 120) < best:
-        best, px = size, crossed
-        out.put(1, 1)
-        out.put(1, 2)
-        out.put(7, 3)
-        out.image(np.full(blocks, (to_blue & 255) << 8 | (to_red & 255), np.uint32))
+    elif abs(to_red) + abs(to_blue) > 4:
+        signed = green.view(np.int8).astype(np.int32)
+        crossed = np.stack([blue - ((to_blue * signed) >> 5), green, red - ((to_red * signed) >> 5)], -1).astype(np.uint8)
+        if (size := _samples(crossed) + 120) < best:
+            best, px = size, crossed
+            out.put(1, 1)
+            out.put(1, 2)
+            out.put(7, 3)
+            out.image(np.full(blocks, (to_blue & 255) << 8 | (to_red & 255), np.uint32))
     # Where not even the pixel to the left tells of the next one, no neighbour is tried.
-    if _bits(np.bincount((green[:, 1:] - green[:, :-1]).ravel(), minlength=256)) < _bits(np.bincount(green.ravel(), minlength=256)):
+    if _bits(np.bincount((green[:, 1:] - green[:, :-1]).ravel(), minlength=256)) < _bits(of_green):
         size, mode = min((_samples(_residual(px, m)) + 100, m) for m in (1, 2, 7, 12))
         if size < best:
             px, alpha = _residual(px, mode), np.uint32(0)
