@@ -10,7 +10,7 @@ of codes are read pixel by pixel.
 
 The encoder looks for repeated runs of three pixels and more, for pixels that a colour
 cache would hold, and for the transform under which its estimate of the size is least;
-whatever saves nothing is left out. Its prefix codes have up to 12 bits.
+whatever saves nothing is left out. Its prefix codes have up to 11 bits.
 
 Defined cases: an image has at least one pixel and at most 16,384 each way. What is no
 lossless WebP image, ends too early or refers outside of itself raises ValueError. Files
@@ -34,7 +34,7 @@ SIDE = 1 << 14
 #: Distance codes up to 120: neighbours by distance, then by row and column.
 NEAR = sorted(((dx, dy) for dy in range(8) for dx in range(-7, 9) if dy or dx > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, -p[1], -p[0]))
 
-LONGEST = 12  # bits of a prefix code that is written
+LONGEST = 11  # bits of a prefix code that is written
 CACHE = 6  # bits of the colour cache that is written, at most
 AHEAD = 1 << 16  # bits of a stream that are looked at together
 SLACK = 96  # more bits than any pixel or reference takes
@@ -463,7 +463,8 @@ def _lengths(counts: np.ndarray, limit: int = LONGEST) -> np.ndarray:
     if len(used) < 3:
         out[used] = 1
         return out
-    share = counts[used] / counts.sum() + 2.0 ** (1 - limit)
+    some = counts[used]
+    share = np.maximum(some / some.sum(), 2.0 ** (1 - limit))
     ideal = np.log2(share.sum() / share)
     sizes = np.maximum(np.ceil(ideal - 1e-9), 1).astype(np.int64)
     order = np.argsort(ideal - sizes).tolist()
@@ -627,8 +628,9 @@ class Writer:
             length_prefix, length_more, length_bits = _prefixes(length)
             far_prefix, far_more, far_bits = _prefixes(value)
         plain = kind == 0
-        greens = np.bincount(px[plain, 1], minlength=280)
-        rest = np.bincount(px[plain][:, [0, 2]].ravel(), minlength=256)
+        left = px[plain]
+        greens = np.bincount(left[:, 1], minlength=280)
+        rest = np.bincount(left[:, 0], minlength=256) + np.bincount(left[:, 2], minlength=256)
         if copies:
             greens += np.bincount(256 + length_prefix, minlength=280)
         cache_bits = min(CACHE, max(1, int(n).bit_length() - 2)) if n > 32 else 0
@@ -636,10 +638,11 @@ class Writer:
             keys, held = _cached(argb, cache_bits)
             hit = plain & held
             miss = plain & ~held
-            greens_ = np.concatenate([np.bincount(px[miss, 1], minlength=256), greens[256:280], np.bincount(keys[hit], minlength=1 << cache_bits)])
-            rest_ = np.bincount(px[miss][:, [0, 2]].ravel(), minlength=256)
-            if hit.any() and _bits(greens_) + _bits(rest_) < _bits(greens) + _bits(rest):
-                greens, rest, plain = greens_, rest_, miss
+            left_ = px[miss]
+            greens_ = np.concatenate([np.bincount(left_[:, 1], minlength=256), greens[256:280], np.bincount(keys[hit], minlength=1 << cache_bits)])
+            rest_ = np.bincount(left_[:, 0], minlength=256) + np.bincount(left_[:, 2], minlength=256)
+            if len(left_) < len(left) and _bits(greens_) + _bits(rest_) < _bits(greens) + _bits(rest):
+                greens, rest, plain, left = greens_, rest_, miss, left_
                 kind[hit] = 3
             else:
                 cache_bits = 0
@@ -650,7 +653,8 @@ class Writer:
             self.put(0, 1)
         # Red and blue have one code for both: samples of a text are alike in all channels.
         green, other = _lengths(greens), _lengths(rest)
-        alpha = _lengths(np.bincount(px[plain, 3], minlength=256))
+        opacity = np.bincount(left[:, 3], minlength=256)
+        alpha = _lengths(opacity) if np.count_nonzero(opacity) > 1 else (opacity > 0).astype(np.int64)
         far = _lengths(np.bincount(far_prefix, minlength=40) if copies else np.zeros(40, np.int64))
         said = _said(other)
         for part in (_said(green), said, said, _said(alpha), _said(far)):
@@ -659,16 +663,16 @@ class Writer:
         green_code, other_code, alpha_code, far_code = (_codes(x) for x in (green, other, alpha, far))
         green, other, alpha, far = (x if np.count_nonzero(x) > 1 else np.zeros_like(x) for x in (green, other, alpha, far))
         values, sizes = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        g, r, b, a = (px[plain, i] for i in (1, 2, 0, 3))
-        v, k = green_code[g], green[g].copy()
-        for code, size, plane in ((other_code, other, r), (other_code, other, b), (alpha_code, alpha, a)):
-            v |= code[plane] << k
-            k += size[plane]
+        v, k = green_code[left[:, 1]], green[left[:, 1]]
+        for code, size, plane in ((other_code, other, 2), (other_code, other, 0), (alpha_code, alpha, 3)):
+            if size.any():
+                v |= code[left[:, plane]] << k
+                k += size[left[:, plane]]
         values[plain], sizes[plain] = v, k
         if cache_bits:
             values[kind == 3], sizes[kind == 3] = green_code[280 + keys[kind == 3]], green[280 + keys[kind == 3]]
         if copies:
-            v, k = green_code[256 + length_prefix], green[256 + length_prefix].copy()
+            v, k = green_code[256 + length_prefix], green[256 + length_prefix]
             for x, size in ((length_more, length_bits), (far_code[far_prefix], far[far_prefix]), (far_more, far_bits)):
                 v |= x << k
                 k += size
@@ -731,11 +735,11 @@ def _palette(out: Writer, argb: np.ndarray, colours: np.ndarray, index: np.ndarr
 def _decorrelated(out: Writer, px: np.ndarray) -> np.ndarray:
     """Writes subtract-green or cross-colour, and a predictor, where they make the samples
     smaller; gives what is left as pixels."""
-    blocks = (-(-px.shape[0] // 512), -(-px.shape[1] // 512))
-    alpha, best = np.uint32(0xFF000000), _samples(px)
+    blocks, alpha = (-(-px.shape[0] // 512), -(-px.shape[1] // 512)), np.uint32(0xFF000000)
     blue, green, red = (np.ascontiguousarray(px[..., i]) for i in range(3))
     to_red, to_blue = _slopes(green, [red, blue])
     of_green = np.bincount(green.ravel(), minlength=256)
+    best = _bits(of_green) + _bits(np.bincount(blue.ravel(), minlength=256) + np.bincount(red.ravel(), minlength=256))
     if (size := _bits(of_green) + _bits(np.bincount(np.concatenate([blue - green, red - green]).ravel(), minlength=256))) < best:
         best, px = size, np.stack([blue - green, green, red - green], -1)
         out.put(1, 1)
