@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshweave.llm import bpe, chat, common, jaccard_join, language_id, license_scan, line_dedup, media, mixing, quality, suffix_dedup
+from meshweave.llm import bpe, chat, common, divergence, jaccard_join, language_id, license_scan, line_dedup, media, mixing, quality, quality_crf, suffix_dedup, whitening
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,3 +68,17 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(common.table(spark, sf_dir, "documents"), with_bytes=False)
+
+
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    model = quality_crf.train(docs.where(F.col("doc_id").isNotNull() & ~language_id.held_out()), labels)
+    return quality_crf.score(docs, model).select("doc_id", language_id.held_out().alias("held_out"), "score", "predicted")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(common.table(spark, sf_dir, "embeddings"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(common.table(spark, sf_dir, "documents"))
