@@ -8,11 +8,14 @@ short and lost executors cost one round.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshweave.graph import Graph, GraphError
-from meshweave.session import stash
+from meshweave.operators import bits
+from meshweave.session import observed, stash
 
 EPS = 1e-9  # distances closer than this tie
 
@@ -21,43 +24,58 @@ def _sources(g: Graph, sources: DataFrame | None) -> DataFrame:
     return (g.nodes if sources is None else sources).select(F.col("id").alias("src"), F.col("id").alias("dst"))
 
 
-def breadth_first(g: Graph, sources: DataFrame | None = None) -> DataFrame:
-    """pairs of an unweighted graph, from all nodes or those in sources(id). Without
-    directions a level's neighbours lie in it, in the one before or in the one after, so
-    only two levels are looked through for what was seen."""
+def levels(g: Graph, sources: DataFrame | None = None) -> list[DataFrame]:
+    """Rows (src, dst, sigma) of an unweighted graph for each distance from 0, from all
+    nodes or those in sources(id). Without directions a level's neighbours lie in it, in
+    the one before or in the one after, so only two levels are looked through for what was
+    seen. A level and the count of its rows are one job."""
     a = stash(g.arcs.where("src <> dst").select(F.col("src").alias("dst"), F.col("dst").alias("to")))
-    seen = stash(_sources(g, sources).select("src", "dst", F.lit(0).alias("hops"), F.lit(1.0).alias("sigma")))
-    frontier, known, level = seen, seen, 0
-    while True:
-        level += 1
+    rows = F.count("*").alias("rows")
+    frontier, found = observed(_sources(g, sources).select("src", "dst", F.lit(1.0).alias("sigma")), rows)
+    out: list[DataFrame] = []
+    while found["rows"]:
+        out.append(frontier)
+        known = out if g.directed else out[-2:]
+        before = reduce(DataFrame.unionByName, [x.select("src", "dst") for x in known])
         ahead = frontier.join(a, "dst").groupBy("src", F.col("to").alias("dst")).agg(F.sum("sigma").alias("sigma"))
-        last, frontier = frontier, stash(ahead.join(known.select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst", F.lit(level).alias("hops"), "sigma"))
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-        known = seen if g.directed else last.unionByName(frontier)
-    return seen.select("src", "dst", F.col("hops").cast("double").alias("dist"), "hops", "sigma")
+        frontier, found = observed(ahead.join(before, ["src", "dst"], "left_anti").select("src", "dst", "sigma"), rows)
+    return out
 
 
-def relaxed(g: Graph, sources: DataFrame | None = None) -> DataFrame:
+def breadth_first(g: Graph, sources: DataFrame | None = None) -> DataFrame:
+    """pairs of an unweighted graph, from all nodes or those in sources(id)."""
+    parts = [x.select("src", "dst", F.lit(float(n)).alias("dist"), F.lit(n).alias("hops"), "sigma") for n, x in enumerate(levels(g, sources))]
+    return reduce(DataFrame.unionByName, parts) if parts else _sources(g, sources).select("src", "dst", F.lit(0.0).alias("dist"), F.lit(0).alias("hops"), F.lit(1.0).alias("sigma"))
+
+
+def relaxed(g: Graph, sources: DataFrame | None = None, target: str | None = None) -> DataFrame:
     """Rows (src, dst, dist) of a weighted graph: distances are lowered, from those that
-    the round before lowered, until none falls."""
+    the round before lowered, until none falls. With a target, distances over that of the
+    target are not followed, nor of use."""
     a = stash(g.arcs.where("src <> dst").select(F.col("src").alias("dst"), F.col("dst").alias("to"), "weight"))
     best = stash(_sources(g, sources).withColumn("dist", F.lit(0.0)))
-    fresh = best
+    fresh, limit = best, None
+    end = F.min(F.when(F.col("dst") == F.lit(target), F.col("dist"))).alias("end")
     while True:
-        reached = fresh.join(a, "dst").groupBy("src", F.col("to").alias("dst")).agg(F.min(F.col("dist") + F.col("weight")).alias("d2"))
-        fresh = stash(reached.join(best, ["src", "dst"], "left").where("dist is null or d2 < dist").select("src", "dst", F.col("d2").alias("dist")))
-        if fresh.isEmpty():
+        near = fresh if limit is None else fresh.where(F.col("dist") < F.lit(limit + EPS))
+        reached = near.join(a, "dst").groupBy("src", F.col("to").alias("dst")).agg(F.min(F.col("dist") + F.col("weight")).alias("d2"))
+        fresh, found = observed(reached.join(best, ["src", "dst"], "left").where("dist is null or d2 < dist").select("src", "dst", F.col("d2").alias("dist")), F.count("*").alias("rows"), end)
+        if not found["rows"]:
             return best
+        if found["end"] is not None:
+            limit = found["end"]
         best = stash(best.unionByName(fresh).groupBy("src", "dst").agg(F.min("dist").alias("dist")))
 
 
+def _tellable(g: Graph) -> None:
+    if g.weighted and not g.arcs.where(F.col("weight") <= EPS).isEmpty():
+        raise GraphError(f"weights over {EPS} are needed to tell shortest paths apart")
+
+
 def weighted(g: Graph, sources: DataFrame | None = None) -> DataFrame:
     """pairs of a weighted graph. Ties are told within EPS, so weights must exceed it."""
-    if not g.arcs.where(F.col("weight") <= EPS).isEmpty():
-        raise GraphError(f"weights over {EPS} are needed to tell shortest paths apart")
-    best = stash(relaxed(g, sources))
+    _tellable(g)
+    best = relaxed(g, sources)
     steps = stash(steps_of(g, best))
     walks = stash(best.where("src = dst").select("src", "dst", F.lit(0).alias("hops"), F.lit(1.0).alias("n")))
     every = walks
@@ -83,27 +101,61 @@ def pairs(g: Graph, sources: DataFrame | None = None) -> DataFrame:
     return weighted(g, sources) if g.weighted else breadth_first(g, sources)
 
 
-def shortest_paths(g: Graph, src: str, dst: str, known: DataFrame | None = None) -> DataFrame:
-    """Rows (nodes array<string>, total) of all shortest paths from src to dst, found by
-    going back over their arcs. known: pairs of the graph, if there are some already."""
+def shortest_paths(g: Graph, src: str, dst: str) -> DataFrame:
+    """Rows (nodes array<string>, total) of all shortest paths from src to dst. No other
+    pair is looked at: without weights the search goes from both ends until it meets, with
+    weights from src as far as dst is."""
     g._need(src)
-    p = known if known is not None else pairs(g, g.nodes.where(F.col("id") == src))
-    p = p.where(F.col("src") == src)
+    if not g.weighted:
+        return _from_both_ends(g, src, dst)
+    _tellable(g)
+    p = stash(relaxed(g, g.nodes.where(F.col("id") == src), dst))
     end = p.where(F.col("dst") == dst).select("dist").take(1)
     if not end:
         raise GraphError(f"no path from {src} to {dst}")
+    p = p.where(F.col("dist") <= F.lit(end[0][0] + EPS))
     back = stash(steps_of(g, p).select(F.col("v").alias("head"), "u"))
-    spark = g.nodes.sparkSession
-    live = spark.createDataFrame([(dst, [dst])], "head string, nodes array<string>")
+    live = g.nodes.sparkSession.createDataFrame([(dst, [dst])], "head string, nodes array<string>")
     done = live.where(F.col("head") == src)
     while True:
-        live = stash(live.where(F.col("head") != src).join(back, "head").select(F.col("u").alias("head"), F.array_prepend("nodes", F.col("u")).alias("nodes")))
-        if live.isEmpty():
+        live, found = observed(live.where(F.col("head") != src).join(back, "head").select(F.col("u").alias("head"), F.array_prepend("nodes", F.col("u")).alias("nodes")), F.count("*").alias("rows"))
+        if not found["rows"]:
             break
         done = done.unionByName(live.where(F.col("head") == src))
     return done.select("nodes", F.lit(end[0][0]).alias("total"))
 
 
+def _from_both_ends(g: Graph, src: str, dst: str) -> DataFrame:
+    """The smaller of two frontiers goes on by a level, until one holds nodes of the other:
+    all shortest paths then pass those, and are read off the levels on either side."""
+    arcs = stash(g.arcs.where("src <> dst").select("src", "dst"))
+    seed = lambda x: stash(g.nodes.where(F.col("id") == x).select("id"))
+    ahead, behind = [seed(src)], [seed(dst)]
+    seen, sizes = {0: ahead[0], 1: behind[0]}, [1, behind[0].count()]
+    meet = ahead[0].join(behind[0], "id")
+    met = src == dst
+    while not met:
+        way = 0 if sizes[0] <= sizes[1] else 1
+        side, ends = (ahead, ("src", "dst")) if way == 0 else (behind, ("dst", "src"))
+        reached = arcs.join(side[-1].withColumnRenamed("id", ends[0]), ends[0], "left_semi").select(F.col(ends[1]).alias("id")).distinct()
+        other = (behind if way == 0 else ahead)[-1].withColumn("hit", F.lit(True))
+        new = reached.join(seen[way], "id", "left_anti").join(other, "id", "left")
+        level, found = observed(new, F.count("*").alias("rows"), F.count("hit").alias("hits"))
+        if not found["rows"]:
+            raise GraphError(f"no path from {src} to {dst}")
+        side.append(level.select("id"))
+        seen[way], sizes[way] = seen[way].unionByName(side[-1]), found["rows"]
+        met, meet = found["hits"] > 0, level.where("hit").select("id")
+    live = meet.select(F.col("id").alias("first"), F.col("id").alias("last"), F.array("id").alias("nodes"))
+    for level in reversed(ahead[:-1]):
+        steps = arcs.join(level.withColumnRenamed("id", "src"), "src", "left_semi").select("src", F.col("dst").alias("first"))
+        live = stash(live.join(steps, "first").select(F.col("src").alias("first"), "last", F.array_prepend("nodes", F.col("src")).alias("nodes")))
+    for level in reversed(behind[:-1]):
+        steps = arcs.join(level.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("last"), F.col("dst").alias("next"))
+        live = stash(live.join(steps, "last").select("first", F.col("next").alias("last"), F.array_append("nodes", F.col("next")).alias("nodes")))
+    return live.select("nodes", F.lit(float(len(ahead) + len(behind) - 2)).alias("total"))
+
+
 def diameter(p: DataFrame) -> DataFrame:
     """One row (hops, weight): the longest distance between reachable pairs, and the
     fewest hops of a pair at it; zeros where there is none. p: pairs of the graph."""
@@ -111,6 +163,14 @@ def diameter(p: DataFrame) -> DataFrame:
     return top.select(F.coalesce(-F.col("m.h"), F.lit(0)).cast("long").alias("hops"), F.coalesce("m.dist", F.lit(0.0)).alias("weight"))
 
 
+def diameter_of(g: Graph) -> DataFrame:
+    """The row of diameter() without a table of pairs where there are no weights."""
+    if g.weighted:
+        return diameter(pairs(g))
+    longest = bits.diameter(g)[0]
+    return g.nodes.sparkSession.range(1).select(F.lit(longest).cast("long").alias("hops"), F.lit(float(longest)).alias("weight"))
+
+
 def components(g: Graph) -> DataFrame:
     """Rows (id, component): weakly connected, named by the smallest id. Labels spread to
     neighbours and then jump to their own label's, so rounds are few."""

@@ -79,12 +79,12 @@ def all_pairs_weighted(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql.DIAMETER, sql.SUPPLIERS + sql.PAIRS)
 def diameter(spark: SparkSession, d: str) -> DataFrame:
-    return paths.diameter(paths.pairs(tables.suppliers(spark, d)))
+    return paths.diameter_of(tables.suppliers(spark, d))
 
 
 @query(sql.DIAMETER, sql.NATIONS + sql.WEIGHTED_PAIRS)
 def diameter_weighted(spark: SparkSession, d: str) -> DataFrame:
-    return paths.diameter(paths.pairs(tables.nations(spark, d)))
+    return paths.diameter_of(tables.nations(spark, d))
 
 
 @query(""", ends AS (SELECT min(id) AS s, max(id) AS t FROM nodes),
