@@ -31,7 +31,7 @@ def test_sql(spark, sf, name):
 
 
 def test_all_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 14))
 
 
 @pytest.fixture(scope="module")
@@ -40,23 +40,29 @@ def odd(spark, tmp_path_factory):
     awkward(spark).repartition(3).write.parquet(f"{folder}/documents.parquet")
     turns = [(1, 0, "system", "s"), (1, 1, "user", None), (1, 2, "assistant", "</turn>&lt; <turn>"), (1, 2, "assistant", "again"), (2, 0, None, "x"), (3, 0, "system", "alone"), (4, 0, "assistant", ""), (5, None, "us\ner", "y " * 700), (5, 3, "assistant", "z " * 900)]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    marks = [(1, 1, "x"), (1, 1, "x"), (2, 1, "x"), (3, 0, "x"), (4, 0, "x"), (5, None, "x"), (6, 2, "x"), (None, 1, "x"), (9, 0, "x"), (77, 1, "x")]
+    spark.createDataFrame(marks, "doc_id long, quality int, text string").write.parquet(f"{folder}/labels.parquet")
+    nan, inf = float("nan"), float("inf")
+    given = [(1, [0.5, 1.0, -0.25]), (1, [0.5, 1.0, -0.25]), (2, [1.5, 0.0, 0.25]), (None, [0.0, 2.0, 0.125]), (3, None), (4, [1.0, None, 2.0]), (5, [nan, 0.0, 0.0]), (6, [0.0, inf, 0.0]), (7, []), (8, [1.0]), (9, [-1.0, 0.001, 3.0]), (10, [-0.0, 0.7, 0.1])]
+    spark.createDataFrame([(i, v, "x", 0) for i, v in given], "vec_id long, embedding array<float>, x string, d int").write.parquet(f"{folder}/embeddings.parquet")
     return str(folder)
 
 
-ROWS = {"op3": 11, "op4": 11, "op5": 11, "op6": 11, "op7": 11, "op9": 11, "op10": 11}
+ROWS = {"op3": 11, "op4": 11, "op5": 11, "op6": 11, "op7": 11, "op9": 11, "op10": 11, "op11": 11, "op12": 18}
 
 
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_awkward_rows(spark, odd, name):
     rows = registry.queries()[name](spark, odd).collect()
-    if name.split("_")[0] in ROWS:
-        assert len(rows) == 11
+    assert len(rows) == ROWS.get(name.split("_")[0], len(rows))
 
 
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_empty_tables(spark, tmp_path, name):
     awkward(spark).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert registry.queries()[name](spark, str(tmp_path)).count() == (1 if name == "op2_chat" else 0)
 
 
