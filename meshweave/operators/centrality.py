@@ -151,15 +151,22 @@ def _normalized(g: Graph, given: DataFrame | None, n: int) -> DataFrame:
     return mine.select("id", (F.col("value") / F.lit(total) if total else F.lit(1.0 / n)).alias("p"))
 
 
+def in_range(c: config.PageRank | None) -> tuple[float, int, float]:
+    """alpha, most rounds and tolerance: those of c, or, for each that is missing or out of
+    range, what holds without settings."""
+    if c is None:
+        return 0.85, 1000, 1e-6
+    return c.alpha if 0 < c.alpha < 1 else 0.85, c.max_iter if c.max_iter > 0 else 1000, c.tol if c.tol > 0 else 1e-6
+
+
 def page_rank(g: Graph, c: config.PageRank | None = None) -> DataFrame:
     """Power iteration without weights and loops; stops when the sum of changes is under
     n * tol. Settings out of range fall back to what holds without settings: 1,000 rounds,
     0.85 and 1e-6. Arcs and ranks lie in buckets of the node that arcs start from, so a
     round is one job with one exchange, that of the shares given to each node; what the
     next round needs of all ranks is observed while they are written."""
-    c = config.PageRank(max_iter=1000) if c is None else c
-    alpha = c.alpha if 0 < c.alpha < 1 else 0.85
-    rounds, tol = c.max_iter if c.max_iter > 0 else 1000, c.tol if c.tol > 0 else 1e-6
+    alpha, rounds, tol = in_range(c)
+    c = c or config.PageRank()
     n = g.size()
     if not n:
         return g.nodes.select("id", F.lit(0.0).alias("value"))

@@ -14,7 +14,7 @@ from meshweave import config
 from meshweave.analyzer import Analyzer
 from meshweave.functions import rng
 from meshweave.graph import Graph, GraphError, deserialize, node_rows
-from meshweave.operators import centrality, community, generators, paths, report, structure
+from meshweave.operators import bits, centrality, community, generators, paths, report, structure
 from meshweave.operators.bimap import Bimap
 from meshweave.plans import sql
 from meshweave.session import shared_dir, stash
@@ -233,10 +233,14 @@ def modularity(spark: SparkSession, d: str) -> DataFrame:
     return rounded(structure.modularity(tables.nations(spark, d), regions))
 
 
-@query()
+@query(sql.GREEDY, sql.SUPPLIERS)
 def greedy_communities(spark: SparkSession, d: str) -> DataFrame:
-    """Of suppliers, all mutual best merges of a round at once."""
-    return community.rounds(tables.suppliers(spark, d))
+    return community.greedy(tables.suppliers(spark, d))
+
+
+@query("SELECT src, dst, hops::BIGINT AS dist FROM pairs", sql.USERS + sql.PAIRS)
+def path_lengths(spark: SparkSession, d: str) -> DataFrame:
+    return bits.lengths(tables.users(spark, d))
 
 
 @query(", reach AS (SELECT id, id AS c FROM nodes UNION SELECT r.id, x.t FROM reach r JOIN (SELECT src AS s, dst AS t FROM arcs UNION SELECT dst, src FROM arcs) x ON x.s = r.c) SELECT id, min(c) AS component FROM reach GROUP BY id", sql.SUPPLIERS)

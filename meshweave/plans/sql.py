@@ -142,3 +142,17 @@ walk AS (
 timed AS (SELECT id, t + p AS s FROM first JOIN proc USING (id)),
 sends AS (SELECT src, dst, u.s, u.s + l AS arrive FROM lat JOIN timed u ON u.id = src WHERE NOT EXISTS (SELECT 1 FROM lat b JOIN timed v ON v.id = b.src WHERE b.src = lat.dst AND b.dst = lat.src AND v.s + b.l <= u.s))
 """
+
+#: One merge a step: that of the largest gain, of equal ones of the smallest pair.
+GREEDY = """, e AS (SELECT DISTINCT least(src, dst) AS u, greatest(src, dst) AS v FROM arcs WHERE src <> dst),
+deg AS (SELECT id, count(*) AS k FROM (SELECT u AS id FROM e UNION ALL SELECT v FROM e) GROUP BY id), m AS (SELECT count(*) AS m FROM e),
+rec AS (
+  SELECT 0 AS step, id, id AS c FROM nodes
+  UNION ALL
+  SELECT step + 1, id, CASE WHEN c = b[3] THEN b[2] ELSE c END FROM rec, (
+    SELECT min(ROW(s.a * t.a - 2 * m * e, x, y)) AS b FROM m,
+      (SELECT least(p.c, q.c) AS x, greatest(p.c, q.c) AS y, count(*) AS e FROM e JOIN rec p ON p.id = u JOIN rec q ON q.id = v WHERE p.c <> q.c GROUP BY 1, 2)
+      JOIN (SELECT c, sum(k) AS a FROM rec JOIN deg USING (id) GROUP BY c) s ON s.c = x JOIN (SELECT c, sum(k) AS a FROM rec JOIN deg USING (id) GROUP BY c) t ON t.c = y
+    WHERE 2 * m * e - s.a * t.a > 2e-12 * m * m
+  ) WHERE b IS NOT NULL
+) SELECT id, (dense_rank() OVER (ORDER BY c) - 1)::INTEGER AS community FROM rec WHERE step = (SELECT max(step) FROM rec)"""
