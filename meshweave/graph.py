@@ -7,6 +7,7 @@ order as strings. A Graph never changes: operations give a new one.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
 
@@ -18,6 +19,8 @@ from meshweave.session import stash
 
 NODES = "id string, tags map<string,string>"
 ARCS = "src string, dst string, weight double"
+DIGITS = 3  # hex digits of the finest digests: 4,096 parts
+SIDE = 256  # of a tile
 JSON = "nodes map<string,map<string,double>>, directed boolean, weighted boolean"
 
 
@@ -78,7 +81,9 @@ class Graph:
     @classmethod
     def from_matrix(cls, rows: DataFrame, directed: bool, weighted: bool) -> Graph:
         """From rows (id, cells array<double>) of a square matrix, in order of id; 0 is no arc."""
-        order = rows.select("id", F.row_number().over(W.orderBy("id")).alias("i"))  # the size of a matrix' side
+        from meshweave.operators.generators import ordered
+
+        order = ordered(rows.select("id"), "id").select("id", (F.col("at") + 1).alias("i"))
         cells = rows.select(F.col("id").alias("src"), F.posexplode("cells").alias("j", "weight")).where("weight <> 0")
         arcs = cells.join(order.select(F.col("id").alias("dst"), (F.col("i") - 1).alias("j")), "j").select("src", "dst", F.col("weight") if weighted else F.lit(1.0).alias("weight"))
         return cls(rows.select("id", F.create_map().cast("map<string,string>").alias("tags")), arcs, directed, weighted).checked()
@@ -264,12 +269,72 @@ class Graph:
         """Hex SHA-256 of the text dump: flags, nodes, arcs and weights, but no tags."""
         return self.text().select(F.sha2("text", 256)).first()[0]
 
+    def digests(self, digits: int = DIGITS) -> list[DataFrame]:
+        """A tree of digests, from the leaves to the root: rows (prefix, digest) for
+        prefixes of `digits`, `digits` - 1, .. 0 hex digits. A leaf is the SHA-256 of a node
+        or an arc with its weight; a digest is that of the sorted ones under its prefix, so
+        leaves are dealt evenly and no row grows with the graph if digits do."""
+        node = F.concat(F.lit("n"), F.length("id"), F.lit(":"), "id")
+        arc = F.concat(F.lit("a"), F.length("src"), F.lit(":"), "src", F.length("dst"), F.lit(":"), "dst", number_text(F.col("weight")))
+        leaves = self.nodes.select(F.sha2(node, 256).alias("digest")).unionByName(self.arcs.select(F.sha2(arc, 256).alias("digest")))
+        level, out = leaves.withColumn("prefix", F.substr("digest", F.lit(1), F.lit(digits))), []
+        for k in range(digits, -1, -1):
+            joined = F.array_join(F.array_sort(F.collect_list(F.concat("prefix", "digest"))), "")
+            level = level.groupBy(F.substr("prefix", F.lit(1), F.lit(k)).alias("at")).agg(F.sha2(joined, 256).alias("digest")).select(F.col("at").alias("prefix"), "digest")
+            out.append(level)
+        return out
+
+    def fingerprint(self, digits: int = DIGITS) -> str:
+        """Hex digest of flags, nodes, arcs and weights, without the graph in one row. Equal
+        for equal graphs, whoever made them and however they are partitioned."""
+        root = self.digests(digits)[-1].first()
+        flags = f"{str(self.directed).lower()},{str(self.weighted).lower()},"
+        return hashlib.sha256((flags + (root["digest"] if root else "")).encode()).hexdigest()
+
+    def changes(self, other: Graph, digits: int = DIGITS) -> DataFrame:
+        """Rows (kind, src, dst, mine, other) of nodes and arcs that only one graph has, or
+        of which weights differ. Only those parts of both are compared whose digests differ."""
+        mine, theirs = self.digests(digits)[0], other.digests(digits)[0].withColumnRenamed("digest", "d2")
+        parts = mine.join(theirs, "prefix", "full").where(~F.col("digest").eqNullSafe(F.col("d2"))).select("prefix")
+
+        def rows(g: Graph, name: str) -> DataFrame:
+            node = F.concat(F.lit("n"), F.length("id"), F.lit(":"), "id")
+            arc = F.concat(F.lit("a"), F.length("src"), F.lit(":"), "src", F.length("dst"), F.lit(":"), "dst", number_text(F.col("weight")))
+            every = g.nodes.select(F.lit("node").alias("kind"), F.col("id").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(1.0).alias(name), F.sha2(node, 256).alias("h"))
+            every = every.unionByName(g.arcs.select(F.lit("arc").alias("kind"), "src", "dst", F.col("weight").alias(name), F.sha2(arc, 256).alias("h")))
+            return every.join(parts, F.substr("h", F.lit(1), F.lit(digits)) == F.col("prefix"), "left_semi").drop("h")
+
+        a, b = rows(self, "mine").alias("a"), rows(other, "other").alias("b")
+        same = (F.col("a.kind") == F.col("b.kind")) & (F.col("a.src") == F.col("b.src")) & F.col("a.dst").eqNullSafe(F.col("b.dst"))
+        met = a.join(b, same, "full").where(~F.col("mine").eqNullSafe(F.col("other")))
+        return met.select(F.coalesce("a.kind", "b.kind").alias("kind"), F.coalesce("a.src", "b.src").alias("src"), F.coalesce("a.dst", "b.dst").alias("dst"), "mine", "other")
+
+    def _numbered(self) -> DataFrame:
+        """Rows (id, at): nodes in order of ids, from 0."""
+        from meshweave.operators.generators import ordered
+
+        return stash(ordered(self.nodes.select("id"), "id").select("id", "at"))
+
     def matrix(self) -> DataFrame:
-        """Rows (id, cells array<double>) of the dense matrix, cells in order of ids."""
-        ids = self.nodes.select("id")
-        pairs = ids.select(F.col("id").alias("src")).crossJoin(ids.select(F.col("id").alias("dst")))  # a dense matrix has all pairs
-        full = pairs.join(self.arcs, ["src", "dst"], "left").groupBy("src").agg(F.array_sort(F.collect_list(F.struct("dst", F.coalesce("weight", F.lit(0.0)).alias("w")))).alias("c"))
-        return full.select(F.col("src").alias("id"), F.transform("c", lambda x: x["w"]).alias("cells"))
+        """Rows (id, cells array<double>) of the dense matrix, cells in order of ids. Arcs
+        are gathered by row, and the rest of a row is zeros."""
+        at, n = self._numbered(), self.size()
+        cells = self.arcs.join(at.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("at", "weight"))).alias("w"))
+        every = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.try_element_at("w", i.cast("long")), F.lit(0.0)))
+        return at.select("id").join(cells, "id", "left").select("id", every.alias("cells"))
+
+    def tiles(self, side: int = SIDE) -> tuple[DataFrame, DataFrame]:
+        """The matrix in square tiles, and the order of its nodes (id, at). A row (i, j,
+        starts, columns, weights) is tile i, j in compressed rows: row r has the columns and
+        weights from starts[r] to starts[r + 1]. Tiles without arcs have no row, and none
+        holds more than side * side weights, whatever the degrees."""
+        at = self._numbered()
+        ends = self.arcs.join(at.select(F.col("id").alias("src"), F.col("at").alias("a")), "src").join(at.select(F.col("id").alias("dst"), F.col("at").alias("b")), "dst")
+        cut = lambda c: (F.floor(F.col(c) / side).cast("long"), (F.col(c) % side).cast("int"))
+        (i, r), (j, c) = cut("a"), cut("b")
+        cells = ends.select(i.alias("i"), j.alias("j"), F.struct(r.alias("r"), c.alias("c"), "weight").alias("x")).groupBy("i", "j").agg(F.array_sort(F.collect_list("x")).alias("x"))
+        counts = F.transform(F.sequence(F.lit(0), F.lit(side)), lambda k: F.size(F.filter("x", lambda y: y["r"] < k)))
+        return cells.select("i", "j", counts.alias("starts"), F.transform("x", lambda y: y["c"]).alias("columns"), F.transform("x", lambda y: y["weight"]).alias("weights")), at
 
     def serialize(self) -> DataFrame:
         """One row (json) of nodes with their arcs, and the flags; no tags."""
@@ -280,6 +345,15 @@ class Graph:
         whole = nodes.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("id", F.map_entries("out").alias("e"))))).alias("m")).select(F.transform_values("m", lambda _, v: F.map_from_entries(v)).alias("nodes"))
         return whole.select(F.to_json(F.struct("nodes", F.lit(self.directed).alias("directed"), F.lit(self.weighted).alias("weighted"))).alias("json"))
 
+    @classmethod
+    def from_tiles(cls, tiles: DataFrame, order: DataFrame, directed: bool, weighted: bool, side: int = SIDE) -> Graph:
+        """From what tiles() gives."""
+        row = F.inline(F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda r: F.struct(r.alias("r"), F.get("starts", r).alias("lo"), F.get("starts", r + 1).alias("hi"))))
+        rows = tiles.select("i", "j", "columns", "weights", row).where("hi > lo")
+        cells = rows.select((F.col("i") * side + F.col("r")).alias("a"), "j", F.inline(F.arrays_zip(F.slice("columns", F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("c"), F.slice("weights", F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("weight"))))
+        arcs = cells.select("a", (F.col("j") * side + F.col("c")).alias("b"), "weight").join(order.select(F.col("id").alias("src"), F.col("at").alias("a")), "a").join(order.select(F.col("id").alias("dst"), F.col("at").alias("b")), "b")
+        return cls(order.select("id", F.create_map().cast("map<string,string>").alias("tags")), arcs.select("src", "dst", "weight"), directed, weighted)
+
     def free(self) -> Graph:
         """An empty graph with the same flags."""
         return Graph.empty(self.nodes.sparkSession, self.directed, self.weighted)

@@ -18,6 +18,7 @@ from meshweave.operators import bits
 from meshweave.session import observed, stash
 
 EPS = 1e-9  # distances closer than this tie
+BROADCAST = 100_000  # changed arcs, two ids and a weight each; more are joined by a shuffle
 
 
 def _sources(g: Graph, sources: DataFrame | None) -> DataFrame:
@@ -101,6 +102,24 @@ def pairs(g: Graph, sources: DataFrame | None = None) -> DataFrame:
     return weighted(g, sources) if g.weighted else breadth_first(g, sources)
 
 
+def repaired(p: DataFrame, before: Graph, after: Graph) -> tuple[DataFrame, DataFrame]:
+    """pairs of `after`, from p, those of `before`, and the sources (id) that were searched
+    anew: those from which an arc that went lay on a shortest path, or from which an arc
+    that came would be on one, and new nodes. All others keep their rows."""
+    _tellable(after)
+    old, new = (g.arcs.where("src <> dst").select(F.col("src").alias("u"), F.col("dst").alias("v"), "weight") for g in (before, after))
+    gone, come = (stash(x.join(y.withColumnRenamed("weight", "w2"), ["u", "v"], "left").where("w2 is null or w2 <> weight").drop("w2")) for x, y in ((old, new), (new, old)))
+    near = p.select(F.col("src").alias("id"), F.col("dst").alias("u"), F.col("dist").alias("du"))
+    end = p.select(F.col("src").alias("id"), F.col("dst").alias("v"), F.col("dist").alias("dv"))
+    out, into = (near.join(F.broadcast(x) if x.limit(BROADCAST + 1).count() <= BROADCAST else x, "u").join(end, ["id", "v"], "left") for x in (gone, come))
+    over = F.col("du") + F.col("weight") - F.col("dv")
+    fresh = after.nodes.select("id").join(before.nodes.select("id"), "id", "left_anti")
+    hit = out.where(F.abs(over) <= EPS).select("id").unionByName(into.where(F.col("dv").isNull() | (over <= EPS)).select("id")).unionByName(fresh)
+    hit = stash(hit.distinct().join(after.nodes.select("id"), "id", "left_semi"))
+    left = p.join(hit.withColumnRenamed("id", "src"), "src", "left_anti").join(after.nodes.select(F.col("id").alias("src")), "src", "left_semi")
+    return stash(left.select("src", "dst", "dist", "hops", "sigma").unionByName(pairs(after, hit))), hit
+
+
 def shortest_paths(g: Graph, src: str, dst: str) -> DataFrame:
     """Rows (nodes array<string>, total) of all shortest paths from src to dst. No other
     pair is looked at: without weights the search goes from both ends until it meets, with

@@ -454,6 +454,88 @@ def metrics_suite(spark: SparkSession, d: str) -> DataFrame:
     return files.read_metrics(spark, path)
 
 
+DOCUMENT = "betweenness_centrality closeness_centrality degree_centrality eigenvector_centrality page_rank".split()
+DOCUMENT_TYPE = ", ".join([*[f"{m} map<string, double>" for m in DOCUMENT], *[f"{m} map<string, map<string, double>>" for m in ("shortest_paths", "edge_betweenness_centrality")], *[f"{m} double" for m in ("degree_assortativity_coefficient", "diameter", "diameter_weight", "modularity")], "clustering_coefficient struct<global: double, average: double, local: map<string, double>>"])
+PLAIN = sql.NATIONS.replace("count(*)::DOUBLE AS weight", "1.0::DOUBLE AS weight").replace("GROUP BY 1, 2", "WHERE (s_nationkey + c_nationkey) % 3 <> 0 GROUP BY 1, 2")
+CLUSTER = {k: f"SELECT metric || '.{k}' AS metric, id, other, value FROM ({SUITE[n]})" for k, n in (("local", 6), ("global", 7), ("average", 7))}
+
+
+@query(" UNION ALL ".join([*CLUSTER.values(), *[s for n, s in enumerate(SUITE) if n not in (6, 7)]]), PLAIN + sql.PAIRS)
+def metrics_document(spark: SparkSession, d: str) -> DataFrame:
+    """Every metric of one graph as one JSON document in files, read back from it."""
+    weighted = tables.nations(spark, d)
+    g = Graph(weighted.nodes, stash(weighted.arcs.where((F.col("src").cast("long") + F.col("dst").cast("long")) % 3 != 0).withColumn("weight", F.lit(1.0))), True, False)
+    rest = g.nodes.select("id", (F.col("id").cast("long") % 4).cast("int").alias("community"))
+    settings = config.Config(page_rank=config.PageRank(max_iter=10, tol=TINY), eigenvector=config.Eigenvector(max_iter=10, tol=TINY), modularity=config.Modularity(rest))
+    path = f"{shared_dir(spark)}/document-{uuid.uuid4().hex}"
+    files.write_metrics_document(stash(rounded(Analyzer(g, settings).metrics())), path)
+    parts = spark.read.text(path, wholetext=True).select(F.struct(F.input_file_name().alias("file"), "value").alias("part"))
+    whole = parts.agg(F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda x: x["value"]), "").alias("json")).select(F.from_json("json", DOCUMENT_TYPE).alias("m")).select("m.*")
+    none, rows = F.lit(None).cast("string"), []
+    cluster = F.col("clustering_coefficient")
+    for m, c in [*[(m, F.col(m)) for m in DOCUMENT], ("clustering_coefficient.local", cluster["local"])]:
+        rows.append(whole.select(F.explode(c).alias("id", "value")).select(F.lit(m).alias("metric"), "id", none.alias("other"), "value"))
+    for m in ("shortest_paths", "edge_betweenness_centrality"):
+        rows.append(whole.select(F.explode(m).alias("id", "to")).select("id", F.explode("to").alias("other", "value")).select(F.lit(m).alias("metric"), "id", "other", "value"))
+    for m, c in [*[(m, F.col(m)) for m in ("degree_assortativity_coefficient", "diameter", "diameter_weight", "modularity")], *[(f"clustering_coefficient.{k}", cluster[k]) for k in ("global", "average")]]:
+        rows.append(whole.select(F.lit(m).alias("metric"), none.alias("id"), none.alias("other"), c.alias("value")))
+    return reduce(DataFrame.unionByName, rows)
+
+
+# ---- forms in parts
+
+
+TREE = """, l4 AS (SELECT sha256('n' || length(id) || ':' || id) AS d FROM nodes UNION ALL SELECT sha256('a' || length(src) || ':' || src || length(dst) || ':' || dst || weight::BIGINT) FROM arcs),
+l3 AS (SELECT substr(d, 1, 3) AS p, sha256(string_agg(substr(d, 1, 3) || d, '' ORDER BY d)) AS d FROM l4 GROUP BY 1),
+l2 AS (SELECT substr(p, 1, 2) AS p, sha256(string_agg(p || d, '' ORDER BY p)) AS d FROM l3 GROUP BY 1), l1 AS (SELECT substr(p, 1, 1) AS p, sha256(string_agg(p || d, '' ORDER BY p)) AS d FROM l2 GROUP BY 1),
+l0 AS (SELECT '' AS p, sha256(string_agg(p || d, '' ORDER BY p)) AS d FROM l1)
+SELECT p AS prefix, d AS digest FROM l3 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l0"""
+
+
+@query(TREE, sql.SUPPLIERS)
+def digests(spark: SparkSession, d: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables.suppliers(spark, d).digests(3))
+
+
+@query("SELECT 'arc' AS kind, src, dst, weight AS mine, NULL::DOUBLE AS other FROM arcs WHERE (src::BIGINT + dst::BIGINT) % 5 = 0 UNION ALL SELECT 'node', id || 'x', NULL, NULL, 1.0 FROM nodes WHERE id::BIGINT % 9 = 0", sql.SUPPLIERS)
+def changes(spark: SparkSession, d: str) -> DataFrame:
+    """What a graph and a changed one differ in, found by their digests."""
+    g = tables.suppliers(spark, d)
+    gone = g.arcs.where((F.col("src").cast("long") + F.col("dst").cast("long")) % 5 == 0).where("src < dst")
+    more = g.nodes.where(F.col("id").cast("long") % 9 == 0).select(F.concat("id", F.lit("x")).alias("id"))
+    return g.changes(g.remove_edges(gone.select("src", "dst")).add_nodes(more))
+
+
+TILES = """, place AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS n FROM nodes),
+c AS (SELECT a.n // 16 AS i, b.n // 16 AS j, a.n % 16 AS r, b.n % 16 AS c, weight FROM arcs JOIN place a ON a.id = src JOIN place b ON b.id = dst)
+SELECT i, j, starts, columns, weights FROM (SELECT i, j, string_agg(n::VARCHAR, ' ' ORDER BY k) AS starts FROM (SELECT t.i, t.j, k, count(c.r) AS n FROM (SELECT DISTINCT i, j FROM c) t CROSS JOIN range(17) x(k) LEFT JOIN c ON c.i = t.i AND c.j = t.j AND c.r < k GROUP BY ALL) GROUP BY i, j)
+JOIN (SELECT i, j, string_agg(c::VARCHAR, ' ' ORDER BY r, c) AS columns, string_agg(weight::BIGINT::VARCHAR, ' ' ORDER BY r, c) AS weights FROM c GROUP BY i, j) USING (i, j)"""
+
+
+@query(TILES, sql.SUPPLIERS)
+def matrix_tiles(spark: SparkSession, d: str) -> DataFrame:
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("long").cast("string")), " ").alias(c)
+    return tables.suppliers(spark, d).tiles(16)[0].select("i", "j", text("starts"), text("columns"), text("weights"))
+
+
+@query("SELECT src, dst, weight FROM arcs", sql.NATIONS)
+def tiles_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    return Graph.from_tiles(*tables.nations(spark, d).tiles(7), True, True, 7).arcs
+
+
+@query("SELECT src, dst, dist, hops, sigma FROM pairs", sql.SUPPLIERS.replace("arcs AS (SELECT src", "every AS (SELECT src", 1).replace("sup_every", "sup_arcs") + ", arcs AS (SELECT * FROM every WHERE (src::BIGINT * dst::BIGINT) % 23 <> 0 UNION SELECT a.id, b.id, 1.0::DOUBLE FROM nodes a JOIN nodes b ON abs(a.id::BIGINT - b.id::BIGINT) = 37 WHERE greatest(a.id::BIGINT, b.id::BIGINT) % 11 = 0)" + sql.PAIRS)
+def pairs_after_changes(spark: SparkSession, d: str) -> DataFrame:
+    """The pair table of a graph of which edges went and came, repaired."""
+    g = tables.suppliers(spark, d)
+    a = Analyzer(g)
+    a.pairs()
+    number = lambda c: F.col(c).cast("long")
+    left = g.arcs.where((number("src") * number("dst")) % 23 != 0)
+    new = g.nodes.select(F.col("id").alias("src"), (number("id") - 37).cast("string").alias("dst")).where(number("src") % 11 == 0).join(g.nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
+    both = new.select("src", "dst").unionByName(new.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).join(left, ["src", "dst"], "left_anti").withColumn("weight", F.lit(1.0))
+    return a.after(Graph(g.nodes, stash(left.unionByName(both)), False, False)).pairs()
+
+
 # ---- generators
 
 

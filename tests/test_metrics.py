@@ -147,7 +147,7 @@ def test_metrics_as_one_document(spark):
     assert set(got) == set(METRICS)
     assert got["diameter"] == 2 and got["shortest_paths"]["a"] == {"a": 0, 'b"': 1, "c": 2}
     assert got["betweenness_centrality"] == {"a": 0, 'b"': 1, "c": 0}
-    assert got["clustering_coefficient"] == {"average": 0, "local": {"a": 0, 'b"': 0, "c": 0}}
+    assert got["clustering_coefficient"] == {"global": 0, "average": 0, "local": {"a": 0, 'b"': 0, "c": 0}}
     assert set(got["edge_betweenness_centrality"]["a"]) == {'b"'}
     with pytest.raises(GraphError):
         files.metrics_document(rows, most=5)
