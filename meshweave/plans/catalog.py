@@ -518,6 +518,21 @@ def matrix_tiles(spark: SparkSession, d: str) -> DataFrame:
     return tables.suppliers(spark, d).tiles(16)[0].select("i", "j", text("starts"), text("columns"), text("weights"))
 
 
+LAYOUTS = ("current", "lines", "array", "object")
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS layout, src, dst, weight FROM arcs" for name in LAYOUTS), sql.SUPPLIERS)
+def graph_logs(spark: SparkSession, d: str) -> DataFrame:
+    """One graph written in each layout of graph logs and read back from the files."""
+    g, folder = tables.suppliers(spark, d), f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}"
+    files.write_json(g, f"{folder}/current")
+    lines = stash(files.write_legacy(g).select(F.split("text", "\n").alias("x")))
+    text = {"lines": F.array_join("x", "\n"), "array": F.concat(F.lit("["), F.array_join("x", ","), F.lit("]")), "object": F.concat(F.lit('{"V":'), F.col("x")[0], F.lit(',"E":'), F.col("x")[1], F.lit(',"bidirectional":'), F.col("x")[2], F.lit("}"))}
+    for name, c in text.items():
+        lines.select(c).write.text(f"{folder}/{name}")
+    return reduce(DataFrame.unionByName, [files.read_json(spark, f"{folder}/{name}").arcs.select(F.lit(name).alias("layout"), "src", "dst", "weight") for name in LAYOUTS])
+
+
 @query("SELECT src, dst, weight FROM arcs", sql.NATIONS)
 def tiles_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return Graph.from_tiles(*tables.nations(spark, d).tiles(7), True, True, 7).arcs
