@@ -49,23 +49,45 @@ def breadth_first(g: Graph, sources: DataFrame | None = None) -> DataFrame:
     return reduce(DataFrame.unionByName, parts) if parts else _sources(g, sources).select("src", "dst", F.lit(0.0).alias("dist"), F.lit(0).alias("hops"), F.lit(1.0).alias("sigma"))
 
 
-def relaxed(g: Graph, sources: DataFrame | None = None, target: str | None = None) -> DataFrame:
-    """Rows (src, dst, dist) of a weighted graph: distances are lowered, from those that
-    the round before lowered, until none falls. With a target, distances over that of the
-    target are not followed, nor of use."""
+DONE, HEAVY, LIGHT = 0, 1, 2  # what is left to do of a distance: nothing, its heavy arcs, all arcs
+
+
+def relaxed(g: Graph, sources: DataFrame | None = None, target: str | None = None, delta: float | None = None, counts: list[int] | None = None) -> DataFrame:
+    """Rows (src, dst, dist) of a weighted graph by delta-stepping: of the distances whose
+    arcs are still to be followed, those within `delta` of the least are taken, first along
+    arcs lighter than delta until none of them falls any more, then along the others once.
+    So what lies far waits until it is nearly final, and is followed once rather than with
+    each fall. A round is one join, one aggregate and one job. delta: by default the mean
+    weight; infinite, all that fell in a round is followed in the next. With a target,
+    distances of its own and more are not followed, nor of use. counts: gets the number of
+    distances followed in each round, at the cost of a job."""
     a = stash(g.arcs.where("src <> dst").select(F.col("src").alias("dst"), F.col("dst").alias("to"), "weight"))
-    best = stash(_sources(g, sources).withColumn("dist", F.lit(0.0)))
-    fresh, limit = best, None
+    if delta is None:
+        delta = a.agg(F.avg("weight")).first()[0] or 1.0
+    heavy = not a.where(F.col("weight") >= F.lit(delta)).isEmpty()
+    least = [F.min(F.when(F.col("left") == k, F.col("dist"))).alias(name) for k, name in ((HEAVY, "heavy"), (LIGHT, "light"))]
     end = F.min(F.when(F.col("dst") == F.lit(target), F.col("dist"))).alias("end")
+    best, found = observed(_sources(g, sources).select("src", "dst", F.lit(0.0).alias("dist"), F.lit(LIGHT).alias("left")), *least, end)
+    limit = delta
     while True:
-        near = fresh if limit is None else fresh.where(F.col("dist") < F.lit(limit + EPS))
-        reached = near.join(a, "dst").groupBy("src", F.col("to").alias("dst")).agg(F.min(F.col("dist") + F.col("weight")).alias("d2"))
-        fresh, found = observed(reached.join(best, ["src", "dst"], "left").where("dist is null or d2 < dist").select("src", "dst", F.col("d2").alias("dist")), F.count("*").alias("rows"), end)
-        if not found["rows"]:
-            return best
+        low = min((x for x in (found["heavy"], found["light"]) if x is not None), default=None)
+        if low is None or (found["end"] is not None and low >= found["end"]):
+            return best.select("src", "dst", "dist")
+        if low >= limit:
+            limit = low + delta
         if found["end"] is not None:
-            limit = found["end"]
-        best = stash(best.unionByName(fresh).groupBy("src", "dst").agg(F.min("dist").alias("dist")))
+            limit = min(limit, found["end"])
+        light = found["light"] is not None and found["light"] < limit
+        kind, then = (LIGHT, HEAVY if heavy else DONE) if light else (HEAVY, DONE)
+        taken = (F.col("left") == kind) & (F.col("dist") < F.lit(limit))
+        if counts is not None:
+            counts.append(best.where(taken).count())
+        arcs = a.where((F.col("weight") < F.lit(delta)) if light else (F.col("weight") >= F.lit(delta)))
+        reached = best.where(taken).join(arcs, "dst").select("src", F.col("to").alias("dst"), (F.col("dist") + F.col("weight")).alias("dist"), F.lit(LIGHT).alias("left"))
+        kept = best.withColumn("left", F.when(taken, F.lit(then)).otherwise(F.col("left")))
+        # Of equal distances the one that was there stays, with less or as much left to do.
+        both = reached.unionByName(kept).groupBy("src", "dst").agg(F.min(F.struct("dist", "left")).alias("x"))
+        best, found = observed(both.select("src", "dst", "x.dist", "x.left"), *least, end)
 
 
 def _tellable(g: Graph) -> None:

@@ -19,7 +19,7 @@ from meshweave.operators.bimap import Bimap
 from meshweave.plans import sql
 from meshweave.session import shared_dir, stash
 from meshweave.sources import files, tables
-from meshweave.streaming import propagation
+from meshweave.streaming import live, propagation
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -775,6 +775,20 @@ def bimap(spark: SparkSession, d: str) -> DataFrame:
     return Bimap(rows).insert(spark.createDataFrame([("Cake", "1")], "key string, value string")).remove_value("2").pairs
 
 
+DAY = 86_400_000
+SILENCES = f"""WITH log AS (SELECT event_type AS content, user_id::VARCHAR AS id, props->>'$.k' AS sender, ts FROM events),
+cut AS (SELECT *, coalesce(epoch_ms(ts) - epoch_ms(lag(ts) OVER (PARTITION BY content, id ORDER BY ts, sender)) > {DAY}, true) AS fresh FROM log),
+numbered AS (SELECT *, sum(fresh::INTEGER) OVER (PARTITION BY content, id ORDER BY ts, sender) AS n FROM cut)
+SELECT content, id, min(ts) AS began, max(ts) AS ended, arg_min(sender, (ts, sender)) AS first_from, count(*) AS receptions, count(DISTINCT sender) - 1 AS duplicates
+FROM numbered GROUP BY content, id, n HAVING epoch_ms(max(ts)) + {DAY} < (SELECT epoch_ms(max(ts)) - 3600000 FROM log)"""
+
+
+@query(SILENCES)
+def reception_episodes(spark: SparkSession, d: str) -> DataFrame:
+    """First receptions and duplicates of each peer and content, as the events stream by."""
+    return live.drained(live.episodes(live.receptions(spark, d), DAY / 1000, "1 hour")).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("began", "ended")})
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_rank(spark, sf_dir)
 

@@ -201,3 +201,18 @@ def test_a_window_stops_where_the_outside_may_be_better():
                 between = moved
         order = sorted(set(got.values()))
         assert {n: order.index(c) for n, c in got.items()} == want
+
+
+def test_delta_stepping(spark):
+    """A long path beside long arcs: what is far waits, and is followed less often."""
+    n = 9
+    edges = [(f"p{i}", f"p{i + 1}", 1.0) for i in range(n)] + [("p0", f"p{i}", 3.0 * i) for i in range(2, n + 1)] + [(f"p{i}", f"q{i}", 0.5) for i in range(n + 1)]
+    g = graph(spark, edges, directed=True)
+    start = g.nodes.where("id = 'p0'")
+    found, followed = {}, {}
+    for delta in (1.5, None, float("inf")):
+        followed[delta] = []
+        found[delta] = {r["dst"]: r["dist"] for r in paths.relaxed(g, start, delta=delta, counts=followed[delta]).collect()}
+    want = {f"p{i}": float(i) for i in range(n + 1)} | {f"q{i}": i + 0.5 for i in range(n + 1)}
+    assert all(f == want for f in found.values())
+    assert sum(followed[1.5]) < sum(followed[float("inf")])
