@@ -99,7 +99,7 @@ def lines_of(texts: list[str | None]) -> Lines:
         grams = shingles.mix(shingles.mix(words[:-2]) + words[1:-1]) + words[2:]
         windows[:-2] = _again(shingles.mix(grams) + shingles.mix(text[:-2])) & (text[:-2] == text[2:])
     # A line again: the same words as an earlier line of the text.
-    sums = np.concatenate([[0], np.cumsum(shingles.mix(words), dtype=np.uint64)]).astype(np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(shingles.mix(words), dtype=np.uint64)])
     whole = sums[at[1:]] - sums[at[:-1]]
     again = _again(shingles.mix(whole) + shingles.mix(owner)) & (size > 0)
     chars = seen / many

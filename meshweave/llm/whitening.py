@@ -56,7 +56,7 @@ class Moments:
     def add(self, block: np.ndarray) -> None:
         """Rank-one updates, a row at a time."""
         if block.dtype.kind == "i":
-            whole = block if abs(block).max(initial=0) * len(block) < 2**62 else block.astype(object)
+            whole = block if _size(block) * len(block) < 2**62 else block.astype(object)
             self.sums = [a + int(b) for a, b in zip(self.sums, whole.sum(axis=0), strict=True)]
         n, mean, scatter, step = self.n, self.mean, self.scatter, np.empty_like(self.scatter)
         for row in block.astype(float):
@@ -87,6 +87,11 @@ class Moments:
         return cls(row["n"], [int(s) for s in row["sums"]], np.array(row["mean"], float), np.array(row["scatter"], float).reshape(d, d))
 
 
+def _size(x: np.ndarray) -> int:
+    """Of the largest entry, as a whole number of any size."""
+    return max(int(x.max(initial=0)), -int(x.min(initial=0)))
+
+
 def _block(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), d)
 
@@ -208,7 +213,7 @@ def whiten(rows: DataFrame, vector: str = "embedding", key: str = "vec_id", most
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 4096):
             x, m = _block(batch.column("x"), d), batch.num_rows
-            reach = n * int(abs(x).max(initial=0)) + max(map(abs, sums))
+            reach = n * _size(x) + max(map(abs, sums))
             exact = x if d * reach * reach < 2**63 else x.astype(object)
             off = n * exact - np.array(sums, exact.dtype)
             deviation = [v if v < 2**63 else None for v in map(int, (off * off).sum(axis=1))]
