@@ -222,10 +222,9 @@ def components(g: Graph) -> DataFrame:
         near = both.join(label.select(F.col("id").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("c2"))
         lower = label.join(near, "id", "left").select("id", "component", F.least("component", F.coalesce("c2", "component")).alias("c"))
         jump = lower.join(label.select(F.col("id").alias("c"), F.col("component").alias("c3")), "c").select("id", "component", F.least("c", "c3").alias("c"))
-        new = stash(jump)
-        done = new.where("c <> component").isEmpty()
+        new, found = observed(jump, F.count_if(F.col("c") != F.col("component")).alias("lowered"))
         label = new.select("id", F.col("c").alias("component"))
-        if done:
+        if not found["lowered"]:
             return label
 
 
