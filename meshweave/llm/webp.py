@@ -23,6 +23,7 @@ import struct
 from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
+from math import ceil, log2
 
 import numpy as np
 
@@ -50,6 +51,11 @@ def _reversed(width: int) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=16)
+def _turned(width: int) -> list[int]:
+    return _reversed(width).tolist()
+
+
 class Bits:
     """Reads bits, lowest first."""
 
@@ -91,8 +97,8 @@ class Code:
         spans = 1 << (width - sizes)
         if spans.sum() != 1 << width:
             raise ValueError("a prefix code is not complete")
-        turned = _reversed(width)
-        return cls(width, np.repeat(used[by], spans)[turned].astype(np.int32), np.repeat(sizes, spans)[turned].astype(np.int32))
+        table = np.repeat(used[by] << 4 | sizes, spans).astype(np.int32)[_reversed(width)]
+        return cls(width, table >> 4, table & 15)
 
     def next(self, bits: Bits) -> int:
         i = bits.peek(self.width)
@@ -101,6 +107,13 @@ class Code:
         return int(self.symbols[i])
 
 
+@lru_cache(maxsize=4096)
+def _code_of_lengths(lengths: tuple[int, ...]) -> tuple[list[int], list[int], int]:
+    """Symbols and lengths by the next bits, and how many bits, of a code for code lengths."""
+    code = Code.of(lengths)
+    return code.symbols.tolist(), code.lengths.tolist(), (1 << code.width) - 1
+
+
 def _read_code(bits: Bits, alphabet: int) -> Code:
     lengths = [0] * alphabet
     if bits.read(1):
@@ -110,11 +123,15 @@ def _read_code(bits: Bits, alphabet: int) -> Code:
             lengths[bits.read(8)] = 1
         return Code.of(lengths)
     of_lengths = [0] * 19
-    for s in CODE_LENGTH_ORDER[: 4 + bits.read(4)]:
-        of_lengths[s] = bits.read(3)
-    code = Code.of(of_lengths)
+    told = 4 + bits.read(4)
+    ahead = int.from_bytes(bits.data[bits.at >> 3 : (bits.at >> 3) + 9], "little") >> (bits.at & 7)
+    for s in CODE_LENGTH_ORDER[:told]:
+        of_lengths[s] = ahead & 7
+        ahead >>= 3
+    bits.at += 3 * told
+    bits.check()
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
-    symbols, sizes, mask = code.symbols.tolist(), code.lengths.tolist(), (1 << code.width) - 1
+    symbols, sizes, mask = _code_of_lengths(tuple(of_lengths))
     i, before, at, data = 0, 8, bits.at, bits.data
     while i < alphabet and left:
         left -= 1
@@ -172,9 +189,14 @@ def _values(prefix: np.ndarray, ahead: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.where(prefix < 4, prefix, ((2 + (prefix & 1)) << extra) + (ahead & ((1 << extra) - 1))) + 1, extra
 
 
+@lru_cache(maxsize=16)
+def _near_places(w: int) -> np.ndarray:
+    return np.array([0, *(max(1, dx + dy * w) for dx, dy in NEAR)])
+
+
 def _back(distance: np.ndarray, w: int) -> np.ndarray:
     """Pixels to go back, from distance values."""
-    near = np.array([0, *(max(1, dx + dy * w) for dx, dy in NEAR)])
+    near = _near_places(w)
     return np.where(distance <= 120, near[np.minimum(distance, 120)], distance - 120)
 
 
@@ -187,7 +209,7 @@ def _stream(bits: Bits, codes: list[Code], cache_bits: int, w: int, n: int, used
     raw = np.frombuffer(bits.data, np.uint8)
     most = n * sum(c.width for c in codes[:4]) + SLACK
     green, red, blue, alpha, far = codes
-    others, both = (red, blue, alpha), green.symbols << 4 | green.lengths
+    others, both = (red, blue, alpha), (green.symbols << 4 | green.lengths).astype(np.intp)
     copies, hits, done = [], [], 0
     while done < n:
         base = bits.at >> 3
@@ -196,9 +218,9 @@ def _stream(bits: Bits, codes: list[Code], cache_bits: int, w: int, n: int, used
         got = raw[base : base + len(part)]
         part[: len(got)] = got
         words = part[:-3] | part[1:-2] << np.uint32(8) | part[2:-1] << np.uint32(16) | part[3:] << np.uint32(24)
-        ahead = (words[:, None] >> np.arange(8, dtype=np.uint32)).ravel().view(np.int32) & 0x1FFFFFF  # the bits that are right
+        ahead = (words[:, None] >> np.arange(8, dtype=np.uint32)).ravel().astype(np.intp) & 0x1FFFFFF  # the bits that are right
         entry = both[ahead & ((1 << green.width) - 1)]
-        ends = np.arange(span + 8, dtype=np.int32) + (entry[: span + 8] & 15)
+        ends = np.arange(span + 8) + (entry[: span + 8] & 15)
         steps = [c.lengths[ahead & ((1 << c.width) - 1)] if c.width else None for c in (red, alpha)]
         steps.insert(1, steps[0] if blue is red else blue.lengths[ahead & ((1 << blue.width) - 1)] if blue.width else None)
         following = ends.copy()
@@ -216,13 +238,21 @@ def _stream(bits: Bits, codes: list[Code], cache_bits: int, w: int, n: int, used
             place += far.lengths[key]
             distance, extra = _values(far.symbols[key], ahead[place])
             following[q] = place + extra
-        after, p, seen, left = memoryview(following), bits.at & 7, [], n - done
-        for _ in range(left):
+        # Steps of eight pixels are walked; tables of four, two and one tell what lies between.
+        jumps, left = [np.append(np.minimum(following[:span], span), span)], n - done
+        while len(jumps) < 4:
+            jumps.append(jumps[-1][jumps[-1]])
+        after, p, seen = memoryview(jumps.pop()), bits.at & 7, []
+        for _ in range(-(-left // 8)):
             if p >= span:
                 break
             seen.append(p)
             p = after[p]
-        seen = np.array(seen, np.int64)
+        seen = np.array(seen, np.intp)
+        for jump in reversed(jumps):
+            seen = np.stack([seen, jump[seen]], 1).ravel()
+        seen = seen[: min(left, int(np.searchsorted(seen, span)))]
+        p = int(following[seen[-1]])
         kind, took = entry[seen] >> 4, np.ones(len(seen), np.int64)
         far_back = np.flatnonzero((kind >= 256) & (kind < 280))
         copied = np.searchsorted(q, seen[far_back])
@@ -463,19 +493,21 @@ def _lengths(counts: np.ndarray, limit: int = LONGEST) -> np.ndarray:
     if len(used) < 3:
         out[used] = 1
         return out
-    some = counts[used]
-    share = np.maximum(some / some.sum(), 2.0 ** (1 - limit))
-    ideal = np.log2(share.sum() / share)
-    sizes = np.maximum(np.ceil(ideal - 1e-9), 1).astype(np.int64)
-    order = np.argsort(ideal - sizes).tolist()
-    units = (1 << (limit - sizes)).tolist()
+    some = counts[used].tolist()  # few symbols: plain numbers cost less than arrays
+    total, least = sum(some), 2.0 ** (1 - limit)
+    share = [max(c / total, least) for c in some]
+    whole = sum(share)
+    ideal = [log2(whole / s) for s in share]
+    sizes = [max(ceil(i - 1e-9), 1) for i in ideal]
+    order = sorted(range(len(some)), key=lambda i: ideal[i] - sizes[i])
+    units = [1 << (limit - s) for s in sizes]
     free = (1 << limit) - sum(units)
     while free:
         for i in order:
             if units[i] <= free:
                 free -= units[i]
                 units[i] *= 2
-    out[used] = limit - np.log2(units).astype(np.int64)
+    out[used] = [limit + 1 - u.bit_length() for u in units]
     return out
 
 
@@ -485,21 +517,40 @@ def _codes(sizes: np.ndarray) -> np.ndarray:
     used = np.flatnonzero(sizes)
     if len(used) < 2:
         return out
-    by = used[np.argsort(sizes[used], kind="stable")]
-    width = int(sizes.max())
-    spans = 1 << (width - sizes[by])
-    out[by] = _reversed(width)[np.cumsum(spans) - spans]
+    some = sizes[used].tolist()
+    width, at, codes = max(some), 0, [0] * len(some)
+    turned = _turned(width)
+    for i in sorted(range(len(some)), key=some.__getitem__):
+        codes[i] = turned[at]
+        at += 1 << (width - some[i])
+    out[used] = codes
     return out
 
 
-def _bits(counts: np.ndarray) -> float:
-    """About the size of symbols with these counts, and of their code."""
-    c = counts[counts > 0]
-    return float((c * np.log2(c.sum() / c)).sum()) + 5 * len(c) if len(c) > 1 else 20.0
+def _bits(*counts: np.ndarray) -> list[float]:
+    """About the sizes of symbols with these counts, and of their codes."""
+    c = np.concatenate(counts).astype(np.float64)
+    starts = np.cumsum([0, *(len(x) for x in counts[:-1])])
+    kinds, total, saved = (np.add.reduceat(x, starts) for x in ((c > 0).astype(np.float64), c, c * np.log2(np.maximum(c, 1))))
+    return np.where(kinds > 1, total * np.log2(np.maximum(total, 1)) - saved + 5 * kinds, 20.0).tolist()
+
 
+def _count(plane: np.ndarray, least: int = 256) -> np.ndarray:
+    return np.bincount(plane.ravel(), minlength=least)
 
-def _prefixes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def _prefixes(values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of lengths or distances: prefix, further bits, and how many they are."""
+    small = _small_prefixes()
+    return tuple(x[values] for x in small) if values.max() < len(small[0]) else _prefixes_of(values)
+
+
+@lru_cache(maxsize=1)
+def _small_prefixes() -> tuple[np.ndarray, ...]:
+    return _prefixes_of(np.maximum(np.arange(1 << 14), 1))
+
+
+def _prefixes_of(values: np.ndarray) -> tuple[np.ndarray, ...]:
     v = values - 1
     top = np.floor(np.log2(np.maximum(v, 1))).astype(np.int64)
     extra = np.where(v < 4, 0, top - 1)
@@ -600,12 +651,14 @@ class Writer:
     def bytes(self) -> bytes:
         self.array(np.zeros(0, np.uint64), np.zeros(0, np.int64))
         values, sizes = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        out = []
-        for i in range(0, len(values), AHEAD):  # a part at a time bounds what is expanded
-            v, n = values[i : i + AHEAD], sizes[i : i + AHEAD]
-            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            out.append(((np.repeat(v, n) >> place.astype(np.uint64)) & np.uint64(1)).astype(np.uint8))
-        return np.packbits(np.concatenate(out), bitorder="little").tobytes()
+        ends = np.cumsum(sizes)
+        start, whole, half = ends - sizes, int(ends[-1]), np.uint64(32)
+        words, shift, low = np.zeros((whole >> 5) + 4, np.uint64), (start & 31).astype(np.uint64), np.uint64(0xFFFFFFFF)
+        for i, part in enumerate((values & low, values >> half)):  # no two share a bit, so sums are unions
+            moved = part << shift
+            np.add.at(words, (start >> 5) + i, moved & low)
+            np.add.at(words, (start >> 5) + i + 1, moved >> half)
+        return words.astype("<u4").tobytes()[: (whole + 7) >> 3]
 
     def code(self, sizes: np.ndarray) -> None:
         """Writes a code by its lengths."""
@@ -627,25 +680,23 @@ class Writer:
             value = np.array([near.get(b, b + 120) for b in back.tolist()])
             length_prefix, length_more, length_bits = _prefixes(length)
             far_prefix, far_more, far_bits = _prefixes(value)
+        blue, left, red, opacity = px.T.astype(np.intp)  # left: green
         plain = kind == 0
-        left = px[plain]
-        greens = np.bincount(left[:, 1], minlength=280)
-        rest = np.bincount(left[:, 0], minlength=256) + np.bincount(left[:, 2], minlength=256)
-        if copies:
-            greens += np.bincount(256 + length_prefix, minlength=280)
+        lengths = _count(length_prefix, 24) if copies else np.zeros(24, np.int64)
+        greens, rest = np.concatenate([_count(left[plain]), lengths]), _count(blue[plain]) + _count(red[plain])
         cache_bits = min(CACHE, max(1, int(n).bit_length() - 2)) if n > 32 else 0
         if cache_bits:
             keys, held = _cached(argb, cache_bits)
-            hit = plain & held
-            miss = plain & ~held
-            left_ = px[miss]
-            greens_ = np.concatenate([np.bincount(left_[:, 1], minlength=256), greens[256:280], np.bincount(keys[hit], minlength=1 << cache_bits)])
-            rest_ = np.bincount(left_[:, 0], minlength=256) + np.bincount(left_[:, 2], minlength=256)
-            if len(left_) < len(left) and _bits(greens_) + _bits(rest_) < _bits(greens) + _bits(rest):
-                greens, rest, plain, left = greens_, rest_, miss, left_
+            hit, miss = plain & held, plain & ~held
+            greens_ = np.concatenate([_count(left[miss]), lengths, _count(keys[hit], 1 << cache_bits)])
+            rest_ = _count(blue[miss]) + _count(red[miss])
+            sizes = _bits(greens_, rest_, greens, rest)
+            if hit.any() and sizes[0] + sizes[1] < sizes[2] + sizes[3]:
+                greens, rest, plain = greens_, rest_, miss
                 kind[hit] = 3
             else:
                 cache_bits = 0
+        blue, left, red, opacity = blue[plain], left[plain], red[plain], opacity[plain]
         self.put(int(cache_bits > 0), 1)
         if cache_bits:
             self.put(cache_bits, 4)
@@ -653,8 +704,8 @@ class Writer:
             self.put(0, 1)
         # Red and blue have one code for both: samples of a text are alike in all channels.
         green, other = _lengths(greens), _lengths(rest)
-        opacity = np.bincount(left[:, 3], minlength=256)
-        alpha = _lengths(opacity) if np.count_nonzero(opacity) > 1 else (opacity > 0).astype(np.int64)
+        of_alpha = _count(opacity)
+        alpha = _lengths(of_alpha) if np.count_nonzero(of_alpha) > 1 else (of_alpha > 0).astype(np.int64)
         far = _lengths(np.bincount(far_prefix, minlength=40) if copies else np.zeros(40, np.int64))
         said = _said(other)
         for part in (_said(green), said, said, _said(alpha), _said(far)):
@@ -663,11 +714,11 @@ class Writer:
         green_code, other_code, alpha_code, far_code = (_codes(x) for x in (green, other, alpha, far))
         green, other, alpha, far = (x if np.count_nonzero(x) > 1 else np.zeros_like(x) for x in (green, other, alpha, far))
         values, sizes = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        v, k = green_code[left[:, 1]], green[left[:, 1]]
-        for code, size, plane in ((other_code, other, 2), (other_code, other, 0), (alpha_code, alpha, 3)):
+        v, k = green_code[left], green[left]
+        for code, size, plane in ((other_code, other, red), (other_code, other, blue), (alpha_code, alpha, opacity)):
             if size.any():
-                v |= code[left[:, plane]] << k
-                k += size[left[:, plane]]
+                v |= code[plane] << k
+                k += size[plane]
         values[plain], sizes[plain] = v, k
         if cache_bits:
             values[kind == 3], sizes[kind == 3] = green_code[280 + keys[kind == 3]], green[280 + keys[kind == 3]]
@@ -695,7 +746,7 @@ def _argb(px: np.ndarray) -> np.ndarray:
 
 def _samples(px: np.ndarray) -> float:
     """About the size of the three channels of px (h, w, 3), in bits, without references."""
-    return _bits(np.bincount(px[..., 1].ravel(), minlength=256)) + _bits(np.bincount(px[..., [0, 2]].ravel(), minlength=256))
+    return sum(_bits(_count(px[..., 1]), _count(px[..., [0, 2]])))
 
 
 def _residual(px: np.ndarray, mode: int) -> np.ndarray:
@@ -738,9 +789,10 @@ def _decorrelated(out: Writer, px: np.ndarray) -> np.ndarray:
     blocks, alpha = (-(-px.shape[0] // 512), -(-px.shape[1] // 512)), np.uint32(0xFF000000)
     blue, green, red = (np.ascontiguousarray(px[..., i]) for i in range(3))
     to_red, to_blue = _slopes(green, [red, blue])
-    of_green = np.bincount(green.ravel(), minlength=256)
-    best = _bits(of_green) + _bits(np.bincount(blue.ravel(), minlength=256) + np.bincount(red.ravel(), minlength=256))
-    if (size := _bits(of_green) + _bits(np.bincount(np.concatenate([blue - green, red - green]).ravel(), minlength=256))) < best:
+    less = _count(blue - green) + _count(red - green)
+    of_green, of_rest, of_less, of_next = _bits(_count(green), _count(blue) + _count(red), less, _count(green[:, 1:] - green[:, :-1]))
+    best = of_green + of_rest
+    if (size := of_green + of_less) < best:
         best, px = size, np.stack([blue - green, green, red - green], -1)
         out.put(1, 1)
         out.put(2, 2)
@@ -754,7 +806,7 @@ def _decorrelated(out: Writer, px: np.ndarray) -> np.ndarray:
             out.put(7, 3)
             out.image(np.full(blocks, (to_blue & 255) << 8 | (to_red & 255), np.uint32))
     # Where not even the pixel to the left tells of the next one, no neighbour is tried.
-    if _bits(np.bincount((green[:, 1:] - green[:, :-1]).ravel(), minlength=256)) < _bits(of_green):
+    if of_next < of_green:
         size, mode = min((_samples(_residual(px, m)) + 100, m) for m in (1, 2, 7, 12))
         if size < best:
             px, alpha = _residual(px, mode), np.uint32(0)
@@ -774,10 +826,9 @@ def encode(rgb: np.ndarray) -> bytes:
     out.put(h - 1, 14)
     out.put(0, 4)
     argb = _argb(px) | np.uint32(0xFF000000)
-    colours, index = np.unique(argb[:2], return_inverse=True)
-    if len(colours) <= 16 and h > 2:
-        colours, index = np.unique(argb, return_inverse=True)
-    argb = _palette(out, argb, colours, index) if len(colours) <= 16 else _decorrelated(out, px)
+    few = len(np.unique(argb[:2])) <= 16
+    colours, index = np.unique(argb, return_inverse=True) if few else (None, None)
+    argb = _palette(out, argb, colours, index) if few and len(colours) <= 16 else _decorrelated(out, px)
     out.put(0, 1)
     out.image(argb, True)
     return container(out.bytes())
