@@ -19,8 +19,8 @@ The edit bound is 0 or 1. With one deletion, all lines of a group are within the
 each other, so that each need only meet the earliest; with more deletions they are not, and
 every pair of a group would have to be made.
 
-Defined cases: null text stays null. Blank lines always stay, as do lines under
-`min_chars` characters, which is off by default. One edit is much of a short line (any two
+Defined cases: null text stays null. Blank lines (of the six ASCII white-space characters
+alone) always stay, as do lines under `min_chars` characters, which is off by default. One edit is much of a short line (any two
 lines of one character are near), hence `near_chars`. Of equal positions (rows that repeat
 an id) none is earlier, so repeated rows of a document keep or lose the same lines. Null
 ids come first. An empty table gives an empty result. All columns are passed through,
@@ -40,6 +40,7 @@ from pyspark.sql import Window as W
 
 from meshweave.llm.common import stash
 
+WHITE = " \t\n\x0b\x0c\r"
 PIECES = 4
 STEP = 4  # piece lengths are multiples of this
 LEAST = PIECES * STEP + 1
@@ -48,7 +49,7 @@ LEAST = PIECES * STEP + 1
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """Rows (id, th, at, line) of the lines that take part."""
     line = F.col("line")
-    return docs.select("id", "th", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).where((F.length(line) >= min_chars) & (F.trim(line) != ""))
+    return docs.select("id", "th", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).where((F.length(line) >= min_chars) & (F.trim(line, F.lit(WHITE)) != ""))
 
 
 def _piece_size(n):  # noqa: ANN001, ANN202
@@ -104,7 +105,7 @@ def variants(line: str, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.nd
     return (h ^ (h >> np.uint64(29))).view(np.int64), np.concatenate([[-1], at]).astype(np.int32)
 
 
-def removed_lines(docs: DataFrame, min_chars: int = 1, max_edits: int = 1, near_chars: int = 20) -> DataFrame:
+def removed_lines(docs: DataFrame, min_chars: int = 1, max_edits: int = 1, near_chars: int = 10) -> DataFrame:
     """Rows (id, th, at, near) of the lines to remove, from rows (id, th, text)."""
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
@@ -163,7 +164,7 @@ def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     return near.select("k1", "k2", "first", F.lit(True).alias("near")).distinct()
 
 
-def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", min_chars: int = 1, max_edits: int = 1, counts: bool = False, near_chars: int = 20) -> DataFrame:
+def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", min_chars: int = 1, max_edits: int = 1, counts: bool = False, near_chars: int = 10) -> DataFrame:
     """docs with the removed lines gone from text; with counts, also n_lines, n_exact and
     n_near, long (a line that is both counts as near)."""
     used = docs.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text")).where("text is not null")

@@ -9,11 +9,13 @@ groups lean on what is known of larger ones, large groups on themselves, without
 from which on it changes. Thresholds are quantiles and their distances, nothing else; a
 join gives each document those of its group.
 
-A share's threshold is high = q90 + reach * max(q90 - q50, q95 - q90), and a document is
-over it if its count exceeds what that share of its words (or lines) gives by more than
-`reach` times the root of it, the spread of a count (at least 1): one repeated line in a
-short text is no finding. Mean word length has the same threshold and one below, as it is
-no count, without the second part.
+A share's threshold is high = q90 + reach * max(q90 - q50, q95 - q90), or the sketch's mean
+where that is more (of findings that few documents have, both quantiles are 0). A document
+is over it if its count is more than chance gives: where that share of its words (or lines)
+gives m, a count of n > m is at most exp(-(n ln(n / m) - n + m)) likely, and has to be less
+so than a normal value `reach` spreads away, exp(-reach^2 / 2). One repeated line in a short
+text so is a finding only where such lines are very rare, six of twelve are one anywhere.
+Mean word length has the same threshold and one below, as it is no count, without the rest.
 
 Defined cases: null text has no words and fails the base rule. Null languages and
 sources form groups of their own. Ties lie in the same bucket. Repeated rows each count.
@@ -120,11 +122,18 @@ def thresholds(feats: DataFrame, prior: int = PRIOR, reach: float = REACH) -> Da
     # A group has as many rows as its sketch has buckets: bounded by the doubles' range.
     upto = merged.withColumn("upto", F.sum("n").over(W.partitionBy(*group).orderBy("bucket"))).withColumn("total", F.sum("n").over(W.partitionBy(*group)))
     q = lambda percent: F.min(F.when(100 * F.col("upto") >= percent * F.col("total"), _middle(F.col("bucket"))))
-    cut = upto.groupBy(*group).agg(*[q(p).alias(f"q{p}") for p in (5, 10, 50, 90, 95)])
+    # Rounded, as the sum of doubles depends on their order.
+    mean = F.round(F.sum(F.col("n").cast("double") * _middle(F.col("bucket"))) / F.max("total").cast("double"), 9)
+    cut = upto.groupBy(*group).agg(*[q(p).alias(f"q{p}") for p in (5, 10, 50, 90, 95)], mean.alias("mean"))
     low = F.col("q10") - reach * F.greatest(F.col("q50") - F.col("q10"), F.col("q10") - F.col("q5"))
     high = F.col("q90") + reach * F.greatest(F.col("q90") - F.col("q50"), F.col("q95") - F.col("q90"))
     two_sided = F.col("feature").isin(*[f for f, (_, _, counted) in FEATURES.items() if not counted])
-    return cut.select(*group, F.when(two_sided, low).alias("low"), high.alias("high"))
+    return cut.select(*group, F.when(two_sided, low).alias("low"), F.when(two_sided, high).otherwise(F.greatest(high, "mean")).alias("high"))
+
+
+def _over(n: Column, m: Column, reach: float) -> Column:
+    """Whether n is more findings than chance gives where m are to be expected."""
+    return (n > m) & ((m <= 0) | (n * F.ln(n / m) - n + m > reach * reach / 2))
 
 
 def verdicts(feats: DataFrame, prior: int = PRIOR, reach: float = REACH) -> DataFrame:
@@ -137,6 +146,6 @@ def verdicts(feats: DataFrame, prior: int = PRIOR, reach: float = REACH) -> Data
     for f, (a, b, counted) in FEATURES.items():
         low, high, n, of = F.col(f"cut.{f}_low"), F.col(f"cut.{f}_high"), F.col(a), F.col(b)
         # Quantiles are right within a bucket, so the bucket of a threshold still passes.
-        fits = fits & (n <= high * of + reach * F.sqrt(F.greatest(high * of, F.lit(1.0))) if counted else (n / of).between(low / GAMMA, high * GAMMA))
+        fits = fits & (~_over(n, high * of, reach) if counted else (n / of).between(low / GAMMA, high * GAMMA))
     failed = base_failed()
     return out.select(*feats.columns, failed.alias("base_failed"), F.when(failed, False).otherwise(F.coalesce(fits, F.lit(True))).alias("kept"))

@@ -70,13 +70,13 @@ taken AS (SELECT *, CAST(floor(CAST(start AS DOUBLE) / budget * blocks) AS BIGIN
 SELECT doc_id, source, tokens, epoch, block, row_number() OVER (PARTITION BY block ORDER BY hb, key, epoch, start) AS position FROM taken
 """
 
-#: Lines of twenty characters or more can be near: an edit leaves their first or last eight as they are.
+#: Lines of ten characters or more can be near: an edit leaves their first or last four as they are, of nineteen or more eight.
 ORACLES["op6_line_dedup"] = r"""
 WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
 lines AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM split),
-firsts AS (SELECT line, min((doc_id, pos)) AS f1 FROM lines WHERE trim(line) <> '' GROUP BY line),
-able AS (SELECT * FROM firsts WHERE length(line) >= 20),
-ends AS (SELECT *, 'l' || left(line, 8) AS e FROM able UNION ALL SELECT *, 'r' || right(line, 8) AS e FROM able),
+firsts AS (SELECT line, min((doc_id, pos)) AS f1 FROM lines WHERE regexp_matches(line, '[^ \t\n\v\f\r]') GROUP BY line),
+able AS (SELECT firsts.*, k FROM firsts, (VALUES (4), (8)) v(k) WHERE CASE WHEN k = 8 THEN length(line) >= 19 ELSE length(line) BETWEEN 10 AND 20 END),
+ends AS (SELECT *, k || 'l' || left(line, k) AS e FROM able UNION ALL SELECT *, k || 'r' || right(line, k) AS e FROM able),
 near AS (SELECT DISTINCT a.line FROM ends a JOIN ends b USING (e) WHERE b.f1 < a.f1 AND abs(length(a.line) - length(b.line)) <= 1 AND levenshtein(a.line, b.line) <= 1),
 judged AS (
   SELECT l.doc_id, l.pos, l.line, f.line IS NOT NULL AND n.line IS NULL AND (l.doc_id, l.pos) > f.f1 AS exact, n.line IS NOT NULL AS near
@@ -138,10 +138,10 @@ blend AS (
   SELECT lang, source, feature, bucket, CAST(sum(n) AS DECIMAL(24, 6)) AS n
   FROM (SELECT * FROM fine UNION ALL SELECT g.lang, g.source, g.feature, p.bucket, {_LENT} FROM (SELECT DISTINCT lang, source, feature FROM fine) g JOIN lang_total p ON g.feature = p.feature AND g.lang IS NOT DISTINCT FROM p.lang) GROUP BY ALL
 ), summed AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, feature ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lang, source, feature) AS total, CASE WHEN bucket = -100000 THEN 0 ELSE pow({quality.GAMMA}::DOUBLE, bucket) * (2 / {1 + quality.GAMMA}::DOUBLE) END AS middle FROM blend),
-quantiles AS (SELECT lang, source, feature, {_QUANTILES} FROM summed GROUP BY ALL),
-cut AS (SELECT lang, source, feature, q10 - {quality.REACH} * greatest(q50 - q10, q10 - q5) AS low, q90 + {quality.REACH} * greatest(q90 - q50, q95 - q90) AS high FROM quantiles),
+quantiles AS (SELECT lang, source, feature, {_QUANTILES}, round(sum(CAST(n AS DOUBLE) * middle) / CAST(any_value(total) AS DOUBLE), 9) AS mean FROM summed GROUP BY ALL),
+cut AS (SELECT lang, source, feature, mean, q10 - {quality.REACH} * greatest(q50 - q10, q10 - q5) AS low, q90 + {quality.REACH} * greatest(q90 - q50, q95 - q90) AS high FROM quantiles),
 verdict AS (
-  SELECT r.doc_id, bool_and(CASE WHEN counted THEN a <= high * b + {quality.REACH} * sqrt(greatest(high * b, 1.0::DOUBLE)) ELSE v BETWEEN low / {quality.GAMMA}::DOUBLE AND high * {quality.GAMMA}::DOUBLE END) AS fits
+  SELECT r.doc_id, bool_and(CASE WHEN counted THEN a <= greatest(high, mean) * b OR (greatest(high, mean) * b > 0 AND a * ln(a / (greatest(high, mean) * b)) - a + greatest(high, mean) * b <= {quality.REACH**2 / 2}::DOUBLE) ELSE v BETWEEN low / {quality.GAMMA}::DOUBLE AND high * {quality.GAMMA}::DOUBLE END) AS fits
   FROM ratios r JOIN cut c ON c.feature = r.feature AND c.lang IS NOT DISTINCT FROM r.lang AND c.source IS NOT DISTINCT FROM r.source GROUP BY r.doc_id
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(fits, true) AS kept FROM judged LEFT JOIN verdict USING (doc_id)

@@ -124,9 +124,11 @@ def _plain_kept(docs):
             upto = list(itertools.accumulate(w for _, w in group))
             q5, q10, q50, q90, q95 = (next(v for (v, _), u in zip(group, upto, strict=True) if u >= p * upto[-1] - 1e-5) for p in (0.05, 0.1, 0.5, 0.9, 0.95))
             low, high = q10 - 3 * max(q50 - q10, q10 - q5), q90 + 3 * max(q90 - q50, q95 - q90)
+            share = max(high, round(sum(v * w for v, w in group) / upto[-1], 9))
             for i, (a, b, x) in feats.items():
                 n, of = x[f]
-                if (a, b) == (lang, source) and (n > high * of + 3 * max(high * of, 1) ** 0.5 if counted else not low / quality.GAMMA <= n / of <= high * quality.GAMMA):
+                m = share * of
+                if (a, b) == (lang, source) and (n > m and (not m or n * math.log(n / m) - n + m > 4.5) if counted else not low / quality.GAMMA <= n / of <= high * quality.GAMMA):
                     kept[i] = False
     return kept
 
@@ -169,6 +171,17 @@ def test_quality_rules_reject_planted_junk(spark):
     assert quality.verdicts(many).where("doc_id >= 2000 and kept").count() == 0
 
 
+def test_documents_of_repeated_lines_go_where_few_lines_repeat(spark):
+    # One line in twelve repeats in a document of 30, as in web text; a third of all lines in junk.
+    made = [(i, 12, int(i % 30 == 0)) for i in range(900)] + [(1000 + i, 12, 4) for i in range(9)] + [(2000, 10, 3), (2001, 40, 13)]
+    cols = "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in (*quality.BASE, "n_lines"))
+    feats = spark.createDataFrame([(i, "en", "s", 100, 500, 0, dup, 0, lines) for i, lines, dup in made], cols)
+    cut = quality.thresholds(feats).where("feature = 'dup_line_share'").first()
+    assert 0 < cut["high"] < 0.01
+    gone = {r["doc_id"] for r in quality.verdicts(feats).where("not kept").collect()}
+    assert gone == {*range(1000, 1009), 2000, 2001}
+
+
 def test_quality_shrinkage(spark):
     # A source of a few odd documents leans on its language, one of many on itself.
     def rows(source, n, length):
@@ -226,6 +239,15 @@ def test_near_lines(spark):
     assert (out[3]["text"], out[3]["n_near"], out[3]["n_exact"]) == ("short", 1, 1) and out[1]["n_near"] == 0
 
 
+def test_short_near_lines_and_lines_of_white_space(spark):
+    crlf = "one line\r\n\r\nanother line\r\n\t\r\n\r\nthe last line\r\n\t\r"
+    rows = [(1, "Read more about us\nnine char"), (2, "Read more about uS\nnine_char"), (3, crlf), (4, "12 4567890\n12 456789"), (5, "12 456789a\n \u00a0\n \u00a0")]
+    out = {r["doc_id"]: r for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), counts=True).collect()}
+    assert (out[2]["text"], out[2]["n_near"]) == ("nine_char", 1)  # nine characters are under near_chars
+    assert (out[3]["text"], out[3]["n_exact"]) == (crlf, 0)
+    assert out[4]["n_near"] == 0 and (out[5]["n_near"], out[5]["n_exact"]) == (1, 1)  # a no-break space is none of the six
+
+
 @pytest.mark.parametrize("edits", [0, 1])
 def test_short_lines_by_brute_force(spark, edits):
     import random
