@@ -11,8 +11,10 @@ Within a shingle's list of groups no all-pairs join is made. Each group is first
 against the best-supported group that it shares most with, which joins up copies of one
 text in as many comparisons as there are copies. Lists that then lie in one component are
 done: their further links would change nothing. Only between different components are
-all pairs that pass the bounds verified, so no link that matters is lost. The bounds come
-from the prefix shingles that a pair shares and from bits of its whole sets.
+all pairs that pass the bounds verified, so no link that matters is lost. A group whose
+members lie in several components is paired with itself, too, whether or not its prefix
+meets another. The bounds come from the prefix shingles that a pair shares and from bits
+of its whole sets.
 
 Defined cases: null or empty text, or text without words, has an empty set and links with
 nothing. Fewer words than a shingle make one shingle. Equal sets are linked. Rows that
@@ -201,17 +203,19 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", n: int = 4, p
     left, right = (placed.select("token", *[F.col(c).alias(c + side) for c in cols]) for side in "ab")
     lacks = lambda x, y: sum((F.bit_count(F.col(f"m{j}{x}").bitwiseAND(F.bitwise_not(f"m{j}{y}"))) for j in range(MASKS)), F.lit(0))
     most = F.least(F.col("ka") - lacks("a", "b"), F.col("kb") - lacks("b", "a"), F.least("ia", "ib") + F.least(F.col("ka") - F.col("ia"), F.col("kb") - F.col("ib")))
-    # Groups of several components meet others and themselves, whatever their smallest one.
+    # Groups of several components meet others, whatever their smallest one.
     apart = (F.col("ca") != F.col("cb")) | (F.col("c2a") != F.col("c2b")) | (F.col("ca") != F.col("c2a"))
     alone = lambda x, y: sum((F.bit_count(F.col(f"e{j}{x}").bitwiseAND(F.bitwise_not(f"s{j}{y}"))) for j in range(WHOLE)), F.lit(0))
     able = _bounds(most, F.col("na"), F.col("nb"), percent) & (F.least(F.col("na") - alone("a", "b"), F.col("nb") - alone("b", "a")) >= _needed(F.col("na"), F.col("nb"), percent))
-    met = left.join(right, "token").where((F.col("ga") <= F.col("gb")) & apart & able & ((F.col("ga") != F.col("gb")) | (F.col("ca") != F.col("c2a"))))
+    met = left.join(right, "token").where((F.col("ga") < F.col("gb")) & apart & able)
     met = met.groupBy("ga", "na", "gb", "nb").agg(F.count("*").alias("shared")).where(_bounds(F.col("shared"), F.col("na"), F.col("nb"), percent))
+    # They also meet themselves, even if no other group has a shingle of their prefix.
+    split = of.where("c <> c2").select(F.col("g").alias("ga"), F.col("g").alias("gb"))
     side = lambda x, key: member.select(F.col("g").alias(f"g{x}"), F.col("node").alias(key), F.col("c").alias(f"c{x}"), F.col("n").alias(f"n{x}"), *[F.col(c).alias(f"{c}{x}") for c in own_bits])
     # Bits of the members' own sets are weighed while groups are expanded.
     lone = lambda x, y: sum((F.bit_count(F.col(f"{c}{x}").bitwiseAND(F.bitwise_not(f"{c}{y}"))) for c in own_bits), F.lit(0))
     close = F.least(F.col("na") - lone("a", "b"), F.col("nb") - lone("b", "a")) >= _needed(F.col("na"), F.col("nb"), percent)
-    rest = met.select("ga", "gb").join(side("a", "node"), "ga").join(side("b", "lead"), "gb").where((F.col("ca") != F.col("cb")) & close).select("node", "lead")
+    rest = met.select("ga", "gb").unionByName(split).join(side("a", "node"), "ga").join(side("b", "lead"), "gb").where((F.col("ca") != F.col("cb")) & close).select("node", "lead")
     more = stash(verify(docs, rest, n, percent), "more")
     if not more.isEmpty():
         found = components(links.unionByName(more))
