@@ -1,8 +1,8 @@
 """Media columns: texts as payloads of lossless WebP images, written, read back, described.
 
 A payload fills rows of 64 pixels of three samples; one of more than 16,384 rows takes
-several images. Every step works on one text at a time, so memory follows the longest
-text, not the batch.
+several images. Texts are written one at a time and read in groups of bounded bytes, so
+memory follows the longest text, not the batch.
 
 Defined cases: a null text is an empty payload, padded like any other. Equal texts give
 equal media. Repeated rows repeat. An empty table gives an empty result. Other columns
@@ -25,6 +25,7 @@ from meshweave.llm import webp
 ROW = 64  # pixels
 UNIT = 3 * ROW  # bytes
 BLANK = b" "
+TOGETHER, TOGETHER_BYTES = 600, 1 << 20  # rows and bytes of files that are read together
 
 
 def payload(text: str | None) -> tuple[int, bytes]:
@@ -44,6 +45,25 @@ def load(files: list[bytes]) -> np.ndarray:
     return np.concatenate([webp.decode(f)[..., :3] for f in files])
 
 
+def load_all(stored: list[list[bytes]]) -> Iterator[np.ndarray]:
+    """load() of several payloads, of which small ones are read side by side."""
+    images = iter(webp.decode_all([f for files in stored for f in files]))
+    for files in stored:
+        yield np.concatenate([next(images)[..., :3] for _ in files])
+
+
+def together(media: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of whole rows, of at most TOGETHER rows and about TOGETHER_BYTES each."""
+    start = size = 0
+    for i, files in enumerate(media):
+        size += sum(len(f.as_buffer()) for f in files)
+        if size >= TOGETHER_BYTES or i + 1 - start == TOGETHER:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(media):
+        yield start, len(media)
+
+
 def describe(pixels: np.ndarray) -> str:
     """Width x height, mean of each channel, and a histogram of samples in 16 bins."""
     mean = pixels.reshape(-1, 3).mean(0)
@@ -72,8 +92,7 @@ def read(stored: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes"), pixel
     used = stored.select(*[F.col(c) for c in keep], F.col("media").alias("__media"))
     made = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", pixels binary" * pixels
 
-    def one(files: list[bytes]) -> tuple:
-        px = load(files)
+    def one(files: list[bytes], px: np.ndarray) -> tuple:
         data = px.tobytes()
         sha = hashlib.sha256()
         for f in files:
@@ -84,9 +103,10 @@ def read(stored: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes"), pixel
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
         names = [x.split(" ")[0] for x in made.split(", ")]
         for whole in batches:
-            for at in range(0, whole.num_rows, 128):
-                batch = whole.slice(at, 128)
-                rows = [one(m.as_py()) for m in batch.column("__media")]
+            for at, end in together(whole.column("__media")):
+                batch = whole.slice(at, end - at)
+                stored = batch.column("__media").to_pylist()
+                rows = list(map(one, stored, load_all(stored)))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)]], [*batch.schema.names[:-1], *names])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in used.schema.fields[:-1])

@@ -30,6 +30,7 @@ import numpy as np
 #: Fixed values of the format.
 CODE_LENGTH_ORDER = [17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15]
 ALPHABETS = (256 + 24, 256, 256, 256, 40)  # green and lengths, red, blue, alpha, distance
+MANY = ((2, 3), (3, 3), (7, 11))  # further bits and least number of code lengths from symbol 16 on
 HASH = 0x1E35A7BD
 SIDE = 1 << 14
 #: Distance codes up to 120: neighbours by distance, then by row and column.
@@ -39,6 +40,9 @@ LONGEST = 11  # bits of a prefix code that is written
 CACHE = 6  # bits of the colour cache that is written, at most
 AHEAD = 1 << 16  # bits of a stream that are looked at together
 SLACK = 96  # more bits than any pixel or reference takes
+PADDING = 16  # bytes after a stream that a pixel beyond its end may be read from
+HIT, REFERENCE = 1 << 48, 1 << 49  # marks of table entries
+LANE, LANES = 3000, 56  # pixels of an image read along with others, at most; bits of a pixel
 COPY, FARTHEST = 4096, (1 << 20) - 120  # pixels of a reference, and to go back, at most
 
 
@@ -87,11 +91,15 @@ class Code:
 
     @classmethod
     def of(cls, lengths: list[int]) -> Code:
-        sizes = np.array(lengths)
-        used = np.flatnonzero(sizes)
+        used = [s for s, n in enumerate(lengths) if n]
+        return cls.of_used(used, [lengths[s] for s in used])
+
+    @classmethod
+    def of_used(cls, used: list[int], sizes: list[int]) -> Code:
+        """The code of the symbols used, ascending, with these lengths."""
         if len(used) < 2:
-            return cls(0, (used if len(used) else np.zeros(1)).astype(np.int32), np.zeros(1, np.int32))
-        sizes = sizes[used]
+            return cls(0, np.array(used or [0], np.int32), np.zeros(1, np.int32))
+        used, sizes = np.array(used), np.array(sizes)
         by, width = np.argsort(sizes, kind="stable"), int(sizes.max())
         sizes = sizes[by]
         spans = 1 << (width - sizes)
@@ -115,8 +123,8 @@ def _code_of_lengths(lengths: tuple[int, ...]) -> tuple[list[int], list[int], in
 
 
 def _read_code(bits: Bits, alphabet: int) -> Code:
-    lengths = [0] * alphabet
     if bits.read(1):
+        lengths = [0] * alphabet
         two, wide = bits.read(1), bits.read(1)
         lengths[bits.read(8 if wide else 1)] = 1
         if two:
@@ -132,28 +140,35 @@ def _read_code(bits: Bits, alphabet: int) -> Code:
     bits.check()
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
     symbols, sizes, mask = _code_of_lengths(tuple(of_lengths))
-    i, before, at, data = 0, 8, bits.at, bits.data
+    i, before, at, data, had = 0, 8, bits.at, bits.data, 0
+    used, widths = [], []
     while i < alphabet and left:
         left -= 1
-        ahead = int.from_bytes(data[at >> 3 : (at >> 3) + 4], "little") >> (at & 7)
+        if had < 14:  # no symbol and what follows it takes more
+            ahead, had = int.from_bytes(data[at >> 3 : (at >> 3) + 8], "little") >> (at & 7), 57
         s, n = symbols[ahead & mask], sizes[ahead & mask]
-        at += n
         if s < 16:
-            lengths[i] = s
-            before = s or before
+            if s:
+                used.append(i)
+                widths.append(s)
+                before = s
             i += 1
-            continue
-        extra, least = ((2, 3), (3, 3), (7, 11))[s - 16]
-        times = least + (ahead >> n & ((1 << extra) - 1))
-        at += extra
-        if s == 16:
-            lengths[i : i + times] = [before] * times
-        i += times
+        else:
+            extra, least = MANY[s - 16]
+            times = least + (ahead >> n & ((1 << extra) - 1))
+            n += extra
+            if s == 16:
+                used += range(i, i + times)
+                widths += [before] * times
+            i += times
+        ahead >>= n
+        at += n
+        had -= n
     bits.at = at
     bits.check()
     if i > alphabet:
         raise ValueError("too many code lengths")
-    return Code.of(lengths)
+    return Code.of_used(used, widths)
 
 
 def _read_codes(bits: Bits, cached: int) -> list[Code]:
@@ -285,6 +300,90 @@ def _stream(bits: Bits, codes: list[Code], cache_bits: int, w: int, n: int, used
     return _placed(px, copies, hits, cache_bits)
 
 
+def _streams(jobs: list[tuple[Bits, list[Code], int, int, int]], used: Counter) -> list[np.ndarray]:
+    """_stream() of several images, given as (bits, codes, bits of the cache, width, pixels):
+    each step reads a symbol, or the four of a pixel, of every image.
+
+    An entry of a table has bits of a pixel from bit 8 on, and how many bits it takes below,
+    so the sum of a pixel's entries has the pixel, and how many bits it takes."""
+    flat, tables, before, at = [], [], [], 0
+    for bits, codes, *_ in jobs:
+        before.append(8 * at)
+        flat.append(bits.data + bytes(PADDING))
+        at += len(flat[-1])
+        for c, shift in zip(codes[:4], (16, 24, 8, 32), strict=True):
+            tables.append((c.symbols.astype(np.int64) << shift) | c.lengths)
+        kind = codes[0].symbols
+        tables[-4] += HIT * (kind >= 280) + REFERENCE * ((kind >= 256) & (kind < 280))
+    words = np.ascontiguousarray(np.ndarray(at, "<i8", b"".join([*flat, bytes(8)]), 0, (1,)))  # 64 bits from each byte on
+    sizes = np.array([len(t) for t in tables])
+    begin, mask = (x.reshape(-1, 4).T.copy() for x in (np.cumsum(sizes) - sizes, sizes - 1))
+    table, transparent, first = np.concatenate(tables), bool(mask[3].any()), [j[0].at for j in jobs]
+    opaque = [0 if m else int(table[b]) for m, b in zip(mask[3].tolist(), begin[3].tolist(), strict=True)]
+    p, until = np.array([b + j[0].at for b, j in zip(before, jobs, strict=True)]), np.array([j[4] for j in jobs])
+    lanes, step, further_bits, copies = np.arange(len(jobs)), 0, [0] * len(jobs), [[] for _ in jobs]
+    log = np.empty((int(until.max()), len(jobs)), np.int64)
+    while len(lanes):
+        # What has ended is read on, to no effect, until a twelfth of the images have.
+        stop = max(int(np.partition(until[lanes], len(lanes) // 12)[len(lanes) // 12]), step + 1)
+        rows, start, places = np.empty((stop - step, len(lanes)), np.int64), step, lanes.tolist()
+        (green, red, blue, alpha), (by_green, by_red, by_blue, by_alpha) = begin[:, lanes], mask[:, lanes]
+        while step < stop:
+            ahead = words.take(p >> 3, mode="clip")
+            ahead >>= p & 7
+            entry = table[(ahead & by_green) + green]
+            ahead >>= entry & 15
+            more = table[(ahead & by_red) + red]
+            ahead >>= more & 15
+            last = table[(ahead & by_blue) + blue]
+            more += last
+            if transparent:
+                more += table[((ahead >> (last & 15)) & by_alpha) + alpha]
+            more *= entry < HIT
+            more += entry
+            rows[step - start] = more
+            p += more & 255
+            step += 1
+            if entry.max() >= REFERENCE:
+                for k in np.flatnonzero(entry >= REFERENCE).tolist():
+                    lane = places[k]
+                    if until[lane] < step:
+                        continue
+                    bits, codes, _, w, _ = jobs[lane]
+                    bits.at = at = int(p[k]) - before[lane]
+                    length = _value(bits, (int(entry[k]) >> 16 & 511) - 256)
+                    distance = _value(bits, codes[4].next(bits))
+                    further_bits[lane] += bits.at - at
+                    p[k] = bits.at + before[lane]
+                    copies[lane].append((step - 1, length, int(_near_places(w)[distance]) if distance <= 120 else distance - 120))
+                    until[lane] -= length - 1
+                    if until[lane] < step:
+                        raise ValueError("a reference leaves the image")
+        log[start:step, lanes] = rows
+        stay = until[lanes] > step
+        lanes, p = lanes[stay], p[stay]
+    log, out = np.ascontiguousarray(log.T), []
+    for lane, (bits, _, cache_bits, _, n) in enumerate(jobs):
+        said, where, copied = log[lane, : until[lane]], np.arange(until[lane]), []
+        bits.at = first[lane] + int((said & 255).sum()) + further_bits[lane]
+        bits.check()
+        if copies[lane]:
+            at, length, back = np.array(copies[lane]).T
+            gone = np.zeros(len(said), np.int64)
+            gone[at[at + 1 < len(said)] + 1] = length[at + 1 < len(said)] - 1
+            where += np.cumsum(gone)
+            copied = list(zip(where[at].tolist(), length.tolist(), back.tolist(), strict=True))
+        px = np.zeros(n, np.uint32)
+        px[where] = (said + opaque[lane]) >> 8
+        hit = np.flatnonzero(said >= HIT)
+        hit = hit[said[hit] < REFERENCE]
+        used["prefix-coded"] += 1
+        used["references"] += len(copied)
+        used["cache hits"] += len(hit)
+        out.append(_placed(px, copied, np.stack([where[hit], (said[hit] >> 16 & 4095) - 280]), cache_bits))
+    return out
+
+
 def _placed(px: np.ndarray, copies: list[tuple[int, int, int]], hits: np.ndarray, cache_bits: int) -> np.ndarray:
     """px with copies (place, length, pixels to go back) and cache hits (places, keys)."""
     n, cached = len(px), hits.shape[1] > 0
@@ -313,6 +412,12 @@ def _placed(px: np.ndarray, copies: list[tuple[int, int, int]], hits: np.ndarray
 
 def _image(bits: Bits, w: int, h: int, main: bool = False, used: Counter | None = None) -> np.ndarray:
     """ARGB pixels of an entropy-coded image."""
+    got = _begun(bits, w, h, main, used)
+    return got if isinstance(got, np.ndarray) else _stream(*got, Counter() if used is None else used)
+
+
+def _begun(bits: Bits, w: int, h: int, main: bool, used: Counter | None) -> np.ndarray | tuple:
+    """The pixels of an image with several groups of codes; else what _stream() needs."""
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
         raise ValueError("the colour cache is too large")
@@ -324,7 +429,7 @@ def _image(bits: Bits, w: int, h: int, main: bool = False, used: Counter | None
     codes = [_read_codes(bits, (1 << cache_bits) if cache_bits else 0) for _ in range(groups)]
     n = w * h
     if groups == 1:
-        return _stream(bits, codes[0], cache_bits, w, n, Counter() if used is None else used)
+        return bits, codes[0], cache_bits, w, n
     out, cache = [0] * n, [0] * (1 << cache_bits)
     across = -(-w // (1 << shift)) if shift else 1
     i = kept = 0
@@ -441,7 +546,20 @@ def _lossless(data: bytes) -> bytes:
 def decode(data: bytes, used: Counter | None = None) -> np.ndarray:
     """The image's samples: (height, width, 4) of red, green, blue, alpha. used counts the
     parts of the format that were met."""
+    return decode_all([data], used)[0]
+
+
+def decode_all(files: list[bytes], used: Counter | None = None) -> list[np.ndarray]:
+    """decode() of several files. Small images are read side by side."""
     used = Counter() if used is None else used
+    heads = [_head(f, used) for f in files]
+    small = [i for i, h in enumerate(heads) if isinstance(h[2], tuple) and h[2][4] <= LANE and sum(c.width for c in h[2][1][:4]) <= LANES]
+    pixels = dict(zip(small, _streams([heads[i][2] for i in small], used), strict=True)) if len(small) >= 8 else {}
+    return [_finished(*h[:2], pixels[i] if i in pixels else _stream(*h[2], used) if isinstance(h[2], tuple) else h[2], h[3], used) for i, h in enumerate(heads)]
+
+
+def _head(data: bytes, used: Counter) -> tuple[int, int, np.ndarray | tuple, list[tuple]]:
+    """Width and height of the coded image, its pixels or what they are read by, transforms."""
     bits = Bits(_lossless(data))
     width, height = bits.read(14) + 1, bits.read(14) + 1
     bits.read(1)
@@ -462,7 +580,14 @@ def decode(data: bytes, used: Counter | None = None) -> np.ndarray:
             pack = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
             steps.append((kind, w, pack, table))
             w = -(-w // (1 << pack))
-    px = _channels(_image(bits, w, height, True, used)).reshape(height, w, 4)
+    return w, height, _begun(bits, w, height, True, used), steps
+
+
+def _finished(w: int, height: int, argb: np.ndarray, steps: list[tuple], used: Counter) -> np.ndarray:
+    """The samples, with the transforms undone."""
+    if not steps:
+        return np.ascontiguousarray(argb, "<u4").view(np.uint8).reshape(height, w, 4)[..., [2, 1, 0, 3]]
+    px = _channels(argb).reshape(height, w, 4)
     for kind, w, shift, extra in reversed(steps):
         used[("predictor", "cross-colour", "subtract-green", "palette")[kind]] += 1
         if kind == 0:
@@ -529,10 +654,11 @@ def _codes(sizes: np.ndarray) -> np.ndarray:
 
 def _bits(*counts: np.ndarray) -> list[float]:
     """About the sizes of symbols with these counts, and of their codes."""
-    c = np.concatenate(counts).astype(np.float64)
-    starts = np.cumsum([0, *(len(x) for x in counts[:-1])])
-    kinds, total, saved = (np.add.reduceat(x, starts) for x in ((c > 0).astype(np.float64), c, c * np.log2(np.maximum(c, 1))))
-    return np.where(kinds > 1, total * np.log2(np.maximum(total, 1)) - saved + 5 * kinds, 20.0).tolist()
+    c = np.zeros((len(counts), max(map(len, counts))))
+    for row, x in zip(c, counts, strict=True):
+        row[: len(x)] = x
+    kinds, total, saved = (c > 0).sum(1).tolist(), c.sum(1).tolist(), (c * np.log2(np.maximum(c, 1))).sum(1).tolist()
+    return [t * log2(max(t, 1)) - s + 5 * k if k > 1 else 20.0 for k, t, s in zip(kinds, total, saved, strict=True)]
 
 
 def _count(plane: np.ndarray, least: int = 256) -> np.ndarray:
@@ -783,14 +909,21 @@ def _palette(out: Writer, argb: np.ndarray, colours: np.ndarray, index: np.ndarr
     return (index << (np.arange(per) * (8 >> pack))).sum(-1).astype(np.uint32) << np.uint32(8)
 
 
+_FOUR = np.array([[0], [256], [256], [512], [512], [768]], np.uint16)
+
+
 def _decorrelated(out: Writer, px: np.ndarray) -> np.ndarray:
     """Writes subtract-green or cross-colour, and a predictor, where they make the samples
     smaller; gives what is left as pixels."""
     blocks, alpha = (-(-px.shape[0] // 512), -(-px.shape[1] // 512)), np.uint32(0xFF000000)
     blue, green, red = (np.ascontiguousarray(px[..., i]) for i in range(3))
     to_red, to_blue = _slopes(green, [red, blue])
-    less = _count(blue - green) + _count(red - green)
-    of_green, of_rest, of_less, of_next = _bits(_count(green), _count(blue) + _count(red), less, _count(green[:, 1:] - green[:, :-1]))
+    # Four histograms in one: green, the others, the others less green, steps of green.
+    kinds = np.empty((6, green.size), np.uint16)
+    kinds[0], kinds[1], kinds[2] = green.ravel(), blue.ravel(), red.ravel()
+    kinds[3], kinds[4], kinds[5] = (blue - green).ravel(), (red - green).ravel(), np.diff(green.ravel(), prepend=green[0, 0])
+    kinds += _FOUR
+    of_green, of_rest, of_less, of_next = _bits(*np.bincount(kinds.ravel(), minlength=1024).reshape(4, 256))
     best = of_green + of_rest
     if (size := of_green + of_less) < best:
         best, px = size, np.stack([blue - green, green, red - green], -1)
