@@ -620,11 +620,12 @@ def _lengths(counts: np.ndarray, limit: int = LONGEST) -> np.ndarray:
         return out
     some = counts[used].tolist()  # few symbols: plain numbers cost less than arrays
     total, least = sum(some), 2.0 ** (1 - limit)
-    share = [max(c / total, least) for c in some]
+    floor = total * least
+    share = [c if c > floor else floor for c in some]
     whole = sum(share)
     ideal = [log2(whole / s) for s in share]
-    sizes = [max(ceil(i - 1e-9), 1) for i in ideal]
-    order = sorted(range(len(some)), key=lambda i: ideal[i] - sizes[i])
+    sizes = [ceil(i - 1e-9) or 1 for i in ideal]
+    order = np.argsort(np.array(ideal) - sizes, kind="stable").tolist() if len(some) > 24 else sorted(range(len(some)), key=[i - s for i, s in zip(ideal, sizes, strict=True)].__getitem__)
     units = [1 << (limit - s) for s in sizes]
     free = (1 << limit) - sum(units)
     while free:
@@ -890,8 +891,9 @@ def _slopes(x: np.ndarray, ys: list[np.ndarray]) -> list[int]:
     """How each y follows x, in 32nds, all as signed bytes; 0 without a trend."""
     x = x.view(np.int8).astype(np.float32)
     x -= x.mean()
-    spread = float((x * x).sum())
-    return [int(np.clip(np.round(32 * float((x * y.view(np.int8)).sum()) / spread), -128, 127)) if spread else 0 for y in ys]
+    x = x.ravel()
+    spread = float(x @ x)
+    return [max(-128, min(127, round(32 * float(x @ y.view(np.int8).ravel().astype(np.float32)) / spread))) if spread else 0 for y in ys]
 
 
 def _palette(out: Writer, argb: np.ndarray, colours: np.ndarray, index: np.ndarray) -> np.ndarray:
@@ -921,7 +923,8 @@ def _decorrelated(out: Writer, px: np.ndarray) -> np.ndarray:
     # Four histograms in one: green, the others, the others less green, steps of green.
     kinds = np.empty((6, green.size), np.uint16)
     kinds[0], kinds[1], kinds[2] = green.ravel(), blue.ravel(), red.ravel()
-    kinds[3], kinds[4], kinds[5] = (blue - green).ravel(), (red - green).ravel(), np.diff(green.ravel(), prepend=green[0, 0])
+    kinds[3], kinds[4], kinds[5] = (blue - green).ravel(), (red - green).ravel(), 0
+    kinds[5, 1:] = green.ravel()[1:] - green.ravel()[:-1]
     kinds += _FOUR
     of_green, of_rest, of_less, of_next = _bits(*np.bincount(kinds.ravel(), minlength=1024).reshape(4, 256))
     best = of_green + of_rest
@@ -959,7 +962,7 @@ def encode(rgb: np.ndarray) -> bytes:
     out.put(h - 1, 14)
     out.put(0, 4)
     argb = _argb(px) | np.uint32(0xFF000000)
-    few = len(np.unique(argb[:2])) <= 16
+    few = len(set(argb[:2].ravel().tolist())) <= 16
     colours, index = np.unique(argb, return_inverse=True) if few else (None, None)
     argb = _palette(out, argb, colours, index) if few and len(colours) <= 16 else _decorrelated(out, px)
     out.put(0, 1)

@@ -239,3 +239,31 @@ def test_null_empty_and_repeated(spark):
     rows = media.read(media.write(df)).collect()
     assert len(rows) == 3 and len({r["payload_sha256"] for r in rows}) == 1 and {r["payload_bytes"] for r in rows} == {192}
     assert media.read(media.write(df.limit(0))).count() == 0
+
+
+def test_images_read_side_by_side():
+    """Small images of texts, smooth ones, flat ones and large ones, against one at a time."""
+    rng = np.random.default_rng(7)
+    y, x = np.mgrid[0:20, 0:64]
+    slope = ((x * 3 + y * 2)[..., None] + rng.integers(0, 3, (20, 64, 3))) % 256
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9)).astype(np.uint8)) for _ in range(200)]
+    texts = [b" ".join(words[i] for i in rng.integers(0, 200, n)) for n in (1, 3, 40, 90, 300, 900, 4000, 40, 41, 42, 700)]
+    files = [f for t in texts for f in media.store(media.payload(t.decode())[1])] + [webp.encode(p.astype(np.uint8)) for p in (slope, np.zeros((9, 64, 3)), slope[:1])]
+    together, alone = Counter(), Counter()
+    got, want = webp.decode_all(files, together), [webp.decode(f, alone) for f in files]
+    assert all((a == b).all() and a.shape == b.shape for a, b in zip(got, want, strict=True))
+    assert together == alone and min(alone["references"], alone["cache hits"]) > 0
+    stream = files[4][21:]
+    for n in (len(stream) // 2, len(stream) - 9):
+        with pytest.raises(ValueError):
+            webp.decode_all(files[:5] + [webp.container(stream[:n])] + files[5:])
+
+
+def test_rows_read_together_are_bounded(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(media, "TOGETHER", 3)
+    monkeypatch.setattr(media, "TOGETHER_BYTES", 10)
+    rows = [[b"a"], [b"b" * 9, b"c"], [b"d"], [b"e"], [b"f"], [b"g"]]
+    assert list(media.together(pa.array(rows, pa.list_(pa.binary())))) == [(0, 2), (2, 5), (5, 6)]
+    assert list(media.together(pa.array([], pa.list_(pa.binary())))) == []
