@@ -700,10 +700,13 @@ def _repeats(argb: np.ndarray) -> list[tuple[int, int, int]]:
         return out
     a = argb.astype(np.uint64)
     key = (a[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (a[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (a[2:] * np.uint64(0x165667B19E3779F9))
-    by = np.argsort(key, kind="stable")
-    same = np.flatnonzero(key[by[1:]] == key[by[:-1]])
+    # Places in the low bits: sorting the keys sorts them, too. Runs are compared later.
+    width = np.uint64(n.bit_length())
+    key = np.sort((key >> width << width) | np.arange(n - 2, dtype=np.uint64))
+    same = np.flatnonzero((key[1:] ^ key[:-1]) >> width == 0)
     if not len(same):
         return out
+    by = (key & np.uint64((1 << n.bit_length()) - 1)).astype(np.int64)
     before = np.full(n, -1)
     before[by[same + 1]] = by[same]
     places = np.flatnonzero(before >= 0)
@@ -914,9 +917,10 @@ def _palette(out: Writer, argb: np.ndarray, colours: np.ndarray, index: np.ndarr
 _FOUR = np.array([[0], [256], [256], [512], [512], [768]], np.uint16)
 
 
-def _decorrelated(out: Writer, px: np.ndarray) -> np.ndarray:
+def _decorrelated(out: Writer, px: np.ndarray, argb: np.ndarray) -> np.ndarray:
     """Writes subtract-green or cross-colour, and a predictor, where they make the samples
-    smaller; gives what is left as pixels."""
+    smaller; gives what is left as pixels: argb, those of px, if nothing is written."""
+    whole = px
     blocks, alpha = (-(-px.shape[0] // 512), -(-px.shape[1] // 512)), np.uint32(0xFF000000)
     blue, green, red = (np.ascontiguousarray(px[..., i]) for i in range(3))
     to_red, to_blue = _slopes(green, [red, blue])
@@ -950,7 +954,7 @@ def _decorrelated(out: Writer, px: np.ndarray) -> np.ndarray:
             out.put(0, 2)
             out.put(7, 3)
             out.image(np.full(blocks, mode << 8, np.uint32))
-    return _argb(px) | alpha
+    return argb if px is whole else _argb(px) | alpha
 
 
 def encode(rgb: np.ndarray) -> bytes:
@@ -964,7 +968,7 @@ def encode(rgb: np.ndarray) -> bytes:
     argb = _argb(px) | np.uint32(0xFF000000)
     few = len(set(argb[:2].ravel().tolist())) <= 16
     colours, index = np.unique(argb, return_inverse=True) if few else (None, None)
-    argb = _palette(out, argb, colours, index) if few and len(colours) <= 16 else _decorrelated(out, px)
+    argb = _palette(out, argb, colours, index) if few and len(colours) <= 16 else _decorrelated(out, px, argb)
     out.put(0, 1)
     out.image(argb, True)
     return container(out.bytes())
