@@ -1,8 +1,8 @@
 """Media columns: texts as payloads of lossless WebP images, written, read back, described.
 
 A payload fills rows of 64 pixels of three samples; one of more than 16,384 rows takes
-several images. Texts are written one at a time and read in groups of bounded bytes, so
-memory follows the longest text, not the batch.
+several images. Texts are written and read in groups of bounded bytes, so memory follows
+the longest text, not the batch; what a text becomes does not depend on its group.
 
 Defined cases: a null text is an empty payload, padded like any other. Equal texts give
 equal media. Repeated rows repeat. An empty table gives an empty result. Other columns
@@ -13,10 +13,11 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,7 @@ ROW = 64  # pixels
 UNIT = 3 * ROW  # bytes
 BLANK = b" "
 TOGETHER, TOGETHER_BYTES = 600, 1 << 20  # rows and bytes of files that are read together
+WRITTEN_BYTES = 1 << 19  # of payloads that are written together, until they are as many
 
 
 def payload(text: str | None) -> tuple[int, bytes]:
@@ -36,8 +38,22 @@ def payload(text: str | None) -> tuple[int, bytes]:
 
 def store(data: bytes) -> list[bytes]:
     """Image files of a payload."""
-    rows = np.frombuffer(data, np.uint8).reshape(-1, ROW, 3)
-    return [webp.encode(rows[i : i + webp.SIDE]) for i in range(0, len(rows), webp.SIDE)]
+    return store_all([data])[0]
+
+
+def store_all(loads: list[bytes]) -> list[list[bytes]]:
+    """store() of several payloads, whose images are written side by side."""
+    images, of = [], []
+    for i, data in enumerate(loads):
+        rows = np.frombuffer(data, np.uint8).reshape(-1, ROW, 3)
+        for at in range(0, len(rows), webp.SIDE):
+            images.append(rows[at : at + webp.SIDE])
+            of.append(i)
+    out: list[list[bytes]] = [[] for _ in loads]
+    for at, end in spans([image.size for image in images], WRITTEN_BYTES):
+        for i, file in zip(of[at:end], webp.encode_all(images[at:end]), strict=True):
+            out[i].append(file)
+    return out
 
 
 def load(files: list[bytes]) -> np.ndarray:
@@ -54,14 +70,19 @@ def load_all(stored: list[list[bytes]]) -> Iterator[np.ndarray]:
 
 def together(media: pa.Array) -> Iterator[tuple[int, int]]:
     """Ranges of whole rows, of at most TOGETHER rows and about TOGETHER_BYTES each."""
-    start = size = 0
-    for i, files in enumerate(media):
-        size += sum(len(f.as_buffer()) for f in files)
-        if size >= TOGETHER_BYTES or i + 1 - start == TOGETHER:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(media):
-        yield start, len(media)
+    return spans((sum(len(f.as_buffer()) for f in files) for files in media), TOGETHER_BYTES)
+
+
+def spans(sizes: Iterable[int], least: int) -> Iterator[tuple[int, int]]:
+    """Ranges that end where their sizes reach least, or after TOGETHER of them."""
+    start, end, size = 0, 0, 0
+    for n in sizes:
+        end, size = end + 1, size + n
+        if size >= least or end - start == TOGETHER:
+            yield start, end
+            start, size = end, 0
+    if start < end:
+        yield start, end
 
 
 def describe(pixels: np.ndarray) -> str:
@@ -77,10 +98,11 @@ def write(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 128):
-                batch = whole.slice(at, 128)
+            sizes = pc.fill_null(pc.binary_length(whole.column("__text")), 0).to_pylist()
+            for at, end in spans((max(1, -(-n // UNIT)) * UNIT for n in sizes), WRITTEN_BYTES):
+                batch = whole.slice(at, end - at)
                 loads = [payload(t.as_py()) for t in batch.column("__text")]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([n for n, _ in loads], pa.int64()), pa.array([store(p) for _, p in loads], pa.list_(pa.binary()))], [*batch.schema.names[:-1], "n_bytes", "media"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([n for n, _ in loads], pa.int64()), pa.array(store_all([p for _, p in loads]), pa.list_(pa.binary()))], [*batch.schema.names[:-1], "n_bytes", "media"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in used.schema.fields[:-1])
     return used.mapInArrow(run, f"{fields}, n_bytes long, media array<binary>")

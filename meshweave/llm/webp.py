@@ -10,7 +10,8 @@ of codes are read pixel by pixel.
 
 The encoder looks for repeated runs of three pixels and more, for pixels that a colour
 cache would hold, and for the transform under which its estimate of the size is least;
-whatever saves nothing is left out. Its prefix codes have up to 11 bits.
+whatever saves nothing is left out. Its prefix codes have up to 11 bits. Images are written
+side by side: sorts, histograms, codes and bits are made for all of a group at once.
 
 Defined cases: an image has at least one pixel and at most 16,384 each way. What is no
 lossless WebP image, ends too early or refers outside of itself raises ValueError. Files
@@ -20,10 +21,11 @@ of the extended format are read if their image is lossless and not animated.
 from __future__ import annotations
 
 import struct
+from bisect import bisect_left
 from collections import Counter
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import lru_cache
-from math import ceil, log2
 
 import numpy as np
 
@@ -44,6 +46,8 @@ PADDING = 16  # bytes after a stream that a pixel beyond its end may be read fro
 HIT, REFERENCE = 1 << 48, 1 << 49  # marks of table entries
 LANE, LANES = 3000, 56  # pixels of an image read along with others, at most; bits of a pixel
 COPY, FARTHEST = 4096, (1 << 20) - 120  # pixels of a reference, and to go back, at most
+PLACE = np.uint64(21)  # bits of the place of a pixel among those that are written side by side
+WIDE = 280 + (1 << CACHE)  # symbols of a code that is written, at most
 
 
 @lru_cache(maxsize=16)
@@ -55,11 +59,6 @@ def _reversed(width: int) -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=16)
-def _turned(width: int) -> list[int]:
-    return _reversed(width).tolist()
-
-
 class Bits:
     """Reads bits, lowest first."""
 
@@ -609,57 +608,66 @@ def _finished(w: int, height: int, argb: np.ndarray, steps: list[tuple], used: C
     return px[..., [2, 1, 0, 3]].astype(np.uint8)
 
 
+def _width(values: np.ndarray) -> np.ndarray:
+    """How many bits numbers below 2^53 have."""
+    return np.frexp(values.astype(np.float64))[1].astype(np.int64)
+
+
+def _sums(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums, below 2^53, of the values of each row."""
+    return np.bincount(rows, values, n).astype(np.int64)
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of several ranges, one after another."""
+    return np.repeat(starts + sizes - np.cumsum(sizes), sizes) + np.arange(sizes.sum())
+
+
 def _lengths(counts: np.ndarray, limit: int = LONGEST) -> np.ndarray:
-    """Code lengths up to limit of the symbols with a count, of a complete code: those that
-    shares ask for, the shares of rare ones raised; what is left goes to those that were
-    rounded up most."""
-    out = np.zeros(len(counts), np.int64)
-    used = np.flatnonzero(counts)
-    if len(used) < 3:
-        out[used] = 1
-        return out
-    some = counts[used].tolist()  # few symbols: plain numbers cost less than arrays
-    total, least = sum(some), 2.0 ** (1 - limit)
-    floor = total * least
-    share = [c if c > floor else floor for c in some]
-    whole = sum(share)
-    ideal = [log2(whole / s) for s in share]
-    sizes = [ceil(i - 1e-9) or 1 for i in ideal]
-    order = np.argsort(np.array(ideal) - sizes, kind="stable").tolist() if len(some) > 24 else sorted(range(len(some)), key=[i - s for i, s in zip(ideal, sizes, strict=True)].__getitem__)
-    units = [1 << (limit - s) for s in sizes]
-    free = (1 << limit) - sum(units)
-    while free:
-        for i in order:
-            if units[i] <= free:
-                free -= units[i]
-                units[i] *= 2
-    out[used] = [limit + 1 - u.bit_length() for u in units]
+    """Code lengths up to limit of the symbols with a count, of a complete code for each row:
+    those that shares ask for, the shares of rare ones raised; what is left goes to those
+    that were rounded up most. In whole numbers, so what a row gets depends on it alone."""
+    rows, alphabet = counts.shape
+    out, used = np.zeros(counts.shape, np.int64), np.flatnonzero(counts)
+    row, kinds = used // alphabet, np.count_nonzero(counts, 1)
+    share = np.maximum(counts.ravel()[used] << (limit - 1), counts.sum(1)[row])
+    sizes = np.maximum(_width((_sums(row, share, rows)[row] - 1) // share), 1)
+    sizes[kinds[row] < 3] = 1
+    units = 1 << (limit - sizes)
+    free = np.where(kinds < 3, 0, (1 << limit) - _sums(row, units, rows))
+    order = np.lexsort((-(share << sizes), row))
+    # A lane for each row, its symbols in their order; what has no symbol never fits.
+    rank = np.arange(len(used)) - np.repeat(np.cumsum(kinds) - kinds, kinds)
+    lanes = np.full((int(kinds.max(initial=0)), rows), 2 << limit)
+    lanes[rank, row] = units[order]
+    while free.any():
+        for unit in lanes:
+            more = unit * (unit <= free)
+            free -= more
+            unit += more
+    units[order] = lanes[rank, row]
+    out.ravel()[used] = limit + 1 - _width(units)
     return out
 
 
 def _codes(sizes: np.ndarray) -> np.ndarray:
-    """Each symbol's code, its first bit lowest."""
-    out = np.zeros(len(sizes), np.int64)
-    used = np.flatnonzero(sizes)
-    if len(used) < 2:
-        return out
-    some = sizes[used].tolist()
-    width, at, codes = max(some), 0, [0] * len(some)
-    turned = _turned(width)
-    for i in sorted(range(len(some)), key=some.__getitem__):
-        codes[i] = turned[at]
-        at += 1 << (width - some[i])
-    out[used] = codes
+    """Each symbol's code, its first bit lowest, of the code of each row."""
+    rows, alphabet = sizes.shape
+    out, used = np.zeros(sizes.shape, np.int64), np.flatnonzero(sizes)
+    row, some = used // alphabet, sizes.ravel()[used]
+    spans = np.where(np.count_nonzero(sizes, 1)[row] > 1, (1 << LONGEST) >> some, 1 << LONGEST)
+    by = np.argsort((row << 4 | some).astype(np.uint16 if rows <= 1 << 12 else np.int64), kind="stable")
+    spans = spans[by]  # those of a row fill the code, so the next row begins at 0 again
+    out.ravel()[used[by]] = _reversed(LONGEST)[(np.cumsum(spans) - spans) & ((1 << LONGEST) - 1)]
     return out
 
 
-def _bits(*counts: np.ndarray) -> list[float]:
-    """About the sizes of symbols with these counts, and of their codes."""
-    c = np.zeros((len(counts), max(map(len, counts))))
-    for row, x in zip(c, counts, strict=True):
-        row[: len(x)] = x
-    kinds, total, saved = (c > 0).sum(1).tolist(), c.sum(1).tolist(), (c * np.log2(np.maximum(c, 1))).sum(1).tolist()
-    return [t * log2(max(t, 1)) - s + 5 * k if k > 1 else 20.0 for k, t, s in zip(kinds, total, saved, strict=True)]
+def _bits(counts: np.ndarray) -> np.ndarray:
+    """About the sizes of symbols with the counts of each row, and of their codes."""
+    used = np.flatnonzero(counts)
+    kinds, total, c = np.count_nonzero(counts, 1), counts.sum(1), counts.ravel()[used]
+    saved = np.bincount(used // counts.shape[1], c * np.log2(c), len(counts))
+    return np.where(kinds > 1, total * np.log2(np.maximum(total, 1)) - saved + 5 * kinds, 20.0)
 
 
 def _count(plane: np.ndarray, least: int = 256) -> np.ndarray:
@@ -669,7 +677,7 @@ def _count(plane: np.ndarray, least: int = 256) -> np.ndarray:
 def _prefixes(values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of lengths or distances: prefix, further bits, and how many they are."""
     small = _small_prefixes()
-    return tuple(x[values] for x in small) if values.max() < len(small[0]) else _prefixes_of(values)
+    return tuple(x[values] for x in small) if values.max(initial=0) < len(small[0]) else _prefixes_of(values)
 
 
 @lru_cache(maxsize=1)
@@ -685,81 +693,209 @@ def _prefixes_of(values: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 @lru_cache(maxsize=16)
-def _near_values(w: int) -> dict[int, int]:
-    out: dict[int, int] = {}
-    for i, (dx, dy) in enumerate(NEAR):
-        out.setdefault(max(1, dx + dy * w), i + 1)
+def _near_values(w: int) -> np.ndarray:
+    """Distance values by pixels to go back, as far as neighbours reach; 0 if none is there."""
+    out = np.zeros(8 * w + 9, np.int64)
+    for i, (dx, dy) in reversed(list(enumerate(NEAR))):
+        out[max(1, dx + dy * w)] = i + 1
     return out
 
 
-def _repeats(argb: np.ndarray) -> list[tuple[int, int, int]]:
-    """Runs of three pixels or more that are copies of earlier ones: (place, length,
-    pixels to go back), none overlapping another."""
-    n, out, at = len(argb), [], 0
+def _repeats(argb: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of three pixels or more that are copies of earlier ones of their image, of images
+    one after another: places, lengths, pixels to go back. None overlaps another."""
+    n, ends = len(argb), np.cumsum(sizes)
     if n < 4:
-        return out
+        return tuple(np.zeros((3, 0), np.int64))
     a = argb.astype(np.uint64)
     key = (a[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (a[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (a[2:] * np.uint64(0x165667B19E3779F9))
-    # Places in the low bits: sorting the keys sorts them, too. Runs are compared later.
-    width = np.uint64(n.bit_length())
-    key = np.sort((key >> width << width) | np.arange(n - 2, dtype=np.uint64))
-    same = np.flatnonzero((key[1:] ^ key[:-1]) >> width == 0)
-    if not len(same):
-        return out
-    by = (key & np.uint64((1 << n.bit_length()) - 1)).astype(np.int64)
+    # Places in the low bits: sorting the keys sorts them, too. Runs are compared later. As
+    # many bits for any number of images, so keys are alike whatever an image is written with.
+    key = np.sort((key >> PLACE << PLACE) | np.arange(n - 2, dtype=np.uint64))
+    same = np.flatnonzero((key[1:] ^ key[:-1]) >> PLACE == 0)
+    by = (key & np.uint64((1 << int(PLACE)) - 1)).astype(np.int64)
     before = np.full(n, -1)
     before[by[same + 1]] = by[same]
+    before[before < np.repeat(ends - sizes, sizes)] = -1
     places = np.flatnonzero(before >= 0)
-    for i, j in zip(places.tolist(), before[places].tolist(), strict=True):
-        if i < at or i - j > FARTHEST:
-            continue
-        length = 8
-        while True:
-            end = min(i + length, n)
-            differ = argb[i:end] != argb[j : j + end - i]
-            first = int(differ.argmax()) if end > i else 0
-            if differ[first] or end == n or length == COPY:
-                length = first if differ[first] else end - i
-                break
-            length = COPY if length == 64 else 64
+    before = before[places]
+    if n > FARTHEST:
+        near = places - before <= FARTHEST
+        places, before = places[near], before[near]
+    stop = ends[np.searchsorted(ends, places, "right")]
+    run, on, padded = np.zeros(len(places), np.int64), np.arange(len(places)), np.append(argb, np.uint32(0))
+    for d in range(8):
+        at = places[on] + d
+        on = on[(at < stop[on]) & (padded[at] == padded[before[on] + d])]
+        run[on] += 1
+    following = np.maximum(np.searchsorted(places, places + run), np.arange(len(places)) + 1).tolist()
+    place, run, taken, sizes, k = places.tolist(), run.tolist(), [], [], 0
+    while k < len(place):
+        length, at = run[k], k
+        k = following[k]
+        if length == 8:
+            i, j, end = place[at], int(before[at]), int(stop[at])
+            for most in (64, COPY):
+                upto = min(i + most, end)
+                differ = argb[i:upto] != argb[j : j + upto - i]
+                first = int(differ.argmax())
+                length = first if differ[first] else upto - i
+                if differ[first] or upto == end:
+                    break
+            k = bisect_left(place, i + length, at + 1)
         if length >= 3:
-            out.append((i, length, i - j))
-            at = i + length
-    return out
-
-
-def _cached(argb: np.ndarray, cache_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each pixel its key, and whether the cache holds it then."""
-    keys = ((argb * np.uint32(HASH)) >> np.uint32(32 - cache_bits)).astype(np.uint16)
-    by = np.argsort(keys, kind="stable")
-    held = np.zeros(len(argb), bool)
-    held[by[1:]] = (keys[by[1:]] == keys[by[:-1]]) & (argb[by[1:]] == argb[by[:-1]])
-    return keys.astype(np.int64), held
-
-
-def _said(sizes: np.ndarray) -> list[tuple[int, int]]:
-    """A code, given by its lengths, as (value, bits)."""
-    used = np.flatnonzero(sizes).tolist()
-    if len(used) < 3 and all(s < 256 for s in used):
-        used = used or [0]
-        return [(1, 1), (len(used) - 1, 1), (1, 1), *((s, 8) for s in used)]
-    said, at = [], 0  # (symbol, further bits, how many)
-    for s, n in zip([*used, len(sizes)], [*sizes[used].tolist(), 0], strict=True):
-        gap = s - at
-        while gap:
-            run = min(gap, 138) if gap >= 3 else 1
-            said.append((18, run - 11, 7) if run >= 11 else (17, run - 3, 3) if run >= 3 else (0, 0, 0))
-            gap -= run
-        if n:
-            said.append((n, 0, 0))
-        at = s + 1
-    of_lengths = _lengths(np.bincount([x[0] for x in said], minlength=19), 7)
-    codes, widths = _codes(of_lengths).tolist(), of_lengths.tolist()
-    last = max(i for i, s in enumerate(CODE_LENGTH_ORDER) if widths[s] or i == 3)
-    out = [(0, 1), (last - 3, 4), *((widths[s], 3) for s in CODE_LENGTH_ORDER[: last + 1]), (0, 1)]
-    if sum(map(bool, widths)) == 1:
-        widths = [0] * 19
-    return out + [(codes[s] | more << widths[s], widths[s] + n) for s, more, n in said]
+            taken.append(at)
+            sizes.append(length)
+    taken = np.array(taken, np.intp)
+    return places[taken], np.array(sizes, np.int64), places[taken] - before[taken]
+
+
+def _cached(argb: np.ndarray, of: np.ndarray, cache_bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each pixel its key, and whether the cache of its image holds it then."""
+    keys = ((argb * np.uint32(HASH)) >> (32 - np.maximum(cache_bits, 1)).astype(np.uint32)[of]).astype(np.int64)
+    both = of << CACHE | keys
+    both = both.astype(np.uint16) if len(cache_bits) <= 1 << 16 - CACHE else both
+    by = np.argsort(both, kind="stable")
+    held, both, colours = np.zeros(len(argb), bool), both[by], argb[by]
+    held[by[1:]] = (both[1:] == both[:-1]) & (colours[1:] == colours[:-1])
+    if not cache_bits.all():
+        held &= cache_bits[of] > 0
+    return keys, held
+
+
+def _said(sizes: np.ndarray, alphabets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The codes of rows, given by lengths, as values, their bits, and how many a row has."""
+    rows, used = len(sizes), np.flatnonzero(sizes)
+    row, symbol = np.divmod(used, sizes.shape[1])
+    kinds, each = np.bincount(row, minlength=rows), np.arange(rows)
+    ends = np.cumsum(kinds)
+    first, last = symbol[np.minimum(ends - kinds, len(used) - 1)], symbol[ends - 1]
+    plain = (kinds < 3) & ((kinds == 0) | (last < 256))
+    # Of every symbol, and the end of the alphabet, the gap before it and its length.
+    upto, size = np.zeros((2, len(used) + rows), np.int64)
+    upto[np.arange(len(used)) + row], upto[ends + each] = symbol, alphabets
+    size[np.arange(len(used)) + row] = sizes.ravel()[used]
+    gap = np.diff(upto, prepend=0) - 1
+    gap[ends - kinds + each] = upto[ends - kinds + each]
+    of = np.repeat(each, kinds + 1)
+    keep = ~plain[of]
+    of, size, (many, rest) = of[keep], size[keep], np.divmod(gap[keep], 138)
+    took = many + np.where(rest >= 3, 1, rest) + (size > 0)
+    after = np.cumsum(took)
+    said, more, extra = np.zeros((3, int(took.sum())), np.int64)
+    said[after[size > 0] - 1] = size[size > 0]
+    for t in range(int(many.max(initial=0))):
+        at = (after - took)[many > t] + t
+        said[at], more[at], extra[at] = 18, 127, 7
+    runs = rest >= 3
+    at, long = (after - took + many)[runs], rest[runs] >= 11
+    said[at], more[at], extra[at] = 17 + long, rest[runs] - np.where(long, 11, 3), np.where(long, 7, 3)
+    of = np.repeat(of, took)
+    widths = _lengths(np.bincount(of * 19 + said, minlength=rows * 19).reshape(rows, 19), 7)
+    codes, ordered = _codes(widths), widths[:, CODE_LENGTH_ORDER]
+    told = np.maximum(19 - np.argmax(ordered[:, ::-1] > 0, 1), 4)
+    head = np.where(plain, 5 | (kinds == 2) << 1 | np.where(kinds > 0, first, 0) << 3 | np.where(kinds == 2, last, 0) << 11, (told - 4) << 1 | (ordered << (5 + 3 * np.arange(19))).sum(1))
+    widths[np.count_nonzero(widths, 1) == 1] = 0
+    times = np.bincount(of, minlength=rows)
+    values, bits = np.zeros((2, len(of) + rows), np.int64)
+    at, heads, n = np.arange(len(of)) + of + 1, np.cumsum(times) - times + each, widths[of, said]
+    values[at], bits[at] = codes[of, said] | more << n, n + extra
+    values[heads], bits[heads] = head, np.where(plain, 3 + 8 * np.maximum(kinds, 1), 6 + 3 * told)
+    return values, bits, times + 1
+
+
+Parts = list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # values, their bits, how many an image has
+
+
+def _packed(parts: Parts) -> list[bytes]:
+    """The bits of images, each of which has its part of the first values, then of the next."""
+    ends = [np.append(0, np.cumsum(bits)) for _, bits, _ in parts]
+    upto = [e[np.append(0, np.cumsum(many))] for e, (_, _, many) in zip(ends, parts, strict=True)]
+    sizes = sum(np.diff(u) for u in upto)
+    first = np.append(0, np.cumsum((sizes + 31) >> 5))  # words
+    words, at, low, half = np.zeros(int(first[-1]) + 4, np.uint64), 32 * first[:-1], np.uint64(0xFFFFFFFF), np.uint64(32)
+    for (values, _, many), end, u in zip(parts, ends, upto, strict=True):
+        start, values = end[:-1] + np.repeat(at - u[:-1], many), values.astype(np.uint64)
+        wide = np.flatnonzero(values > low)
+        for i, part, s in ((0, values & low, start), (1, values[wide] >> half, start[wide])):  # no two share a bit, so sums are unions
+            moved, word = part << (s & 31).astype(np.uint64), (s >> 5) + i
+            np.add.at(words, word, moved & low)
+            np.add.at(words, word + 1, moved >> half)
+        at = at + np.diff(u)
+    data = words.astype("<u4").tobytes()
+    return [data[4 * f : 4 * f + (n + 7 >> 3)] for f, n in zip(first.tolist(), sizes.tolist(), strict=False)]
+
+
+def _coded(argb: np.ndarray, sizes: np.ndarray, widths: np.ndarray, main: bool) -> Parts:
+    """Images, of so many pixels and so wide, one after another: pixels with the references,
+    and the colour cache, that save bits. Every image has its own codes; what is done for
+    all at once depends on no other image."""
+    n, images = len(argb), len(sizes)
+    of, px = np.repeat(np.arange(images), sizes), argb.view(np.uint8).reshape(-1, 4)
+    at, length, back = _repeats(argb, sizes)
+    kind = np.zeros(n, np.int8)  # 0 literal, 1 start of a copy, 2 in a copy, 3 cache hit
+    kind[_ranges(at, length)] = 2
+    kind[at] = 1
+    value = back + 120
+    for w in set(widths.tolist()):
+        near = _near_values(w)
+        there = np.minimum(back, len(near) - 1)
+        value = np.where((widths[of[at]] == w) & (back < len(near)) & (near[there] > 0), near[there], value)
+    length_prefix, length_more, length_bits = _prefixes(length)
+    far_prefix, far_more, far_bits = _prefixes(value)
+    # Four codes of an image, each of WIDE places: green, lengths and keys; red and blue, as
+    # samples of a text are alike in all channels; alpha; distances.
+    base = of * (4 * WIDE)
+    planes = [base + px[:, 1], base + WIDE + px[:, 2], base + WIDE + px[:, 0]]
+    opaque = int(argb.min()) >= 0xFF000000
+    if not opaque:
+        planes.append(base + 2 * WIDE + px[:, 3])
+    cache_bits = np.where(sizes > 32, np.clip(_width(sizes) - 2, 1, CACHE), 0)
+    keys, held = _cached(argb, of, cache_bits)
+    hit, miss = np.flatnonzero((kind == 0) & held), np.flatnonzero((kind == 0) & ~held)
+    keys = base[hit] + 280 + keys[hit]
+    copied = [base[at] + 256 + length_prefix, base[at] + 3 * WIDE + far_prefix]
+    count = lambda *places: np.bincount(np.concatenate(places), minlength=images * 4 * WIDE).reshape(images, 4, WIDE)
+    both = count(*(p[miss] for p in planes), *copied)
+    counts, with_cache = both + count(*(p[hit] for p in planes)), both + count(keys)
+    least = [_bits(c[:, :2].reshape(-1, WIDE)).reshape(-1, 2).sum(1) for c in (with_cache, counts)]
+    cached = least[0] < least[1]
+    counts[cached] = with_cache[cached]
+    if opaque:
+        counts[:, 2, 255] = 1
+    real = cached[of[hit]]
+    hit, keys = hit[real], keys[real]
+    kind[hit] = 3
+    lengths = _lengths(counts.reshape(-1, WIDE))
+    alphabets = np.tile([280, 256, 256, 40], (images, 1))
+    alphabets[:, 0] += np.where(cached, 1 << cache_bits, 0)
+    values, bits, times = _said(lengths, alphabets.ravel())
+    five = (4 * np.arange(images)[:, None] + [0, 1, 1, 2, 3]).ravel()
+    place = _ranges((np.cumsum(times) - times)[five], times[five])
+    said = values[place], bits[place], times[five].reshape(-1, 5).sum(1)
+    table = _codes(lengths) << 8 | np.where(np.count_nonzero(lengths, 1) > 1, 1, 0)[:, None] * lengths
+    table = table.ravel()
+    values, bits = np.zeros((2, n), np.int64)
+    literal = np.flatnonzero(kind == 0)
+    v, k = table[planes[0][literal]] >> 8, table[planes[0][literal]] & 255
+    for plane in planes[1:]:
+        entry = table[plane[literal]]
+        v |= (entry >> 8) << k
+        k += entry & 255
+    values[literal], bits[literal] = v, k
+    values[hit], bits[hit] = table[keys] >> 8, table[keys] & 255
+    v, k = table[copied[0]] >> 8, table[copied[0]] & 255
+    for x, size in ((length_more, length_bits), (table[copied[1]] >> 8, table[copied[1]] & 255), (far_more, far_bits)):
+        v |= x << k
+        k += size
+    values[at], bits[at] = v, k
+    told = np.flatnonzero(kind != 2)
+    first = np.where(cached, 1 | cache_bits << 1, 0), 1 + 4 * cached + int(main), np.ones(images, np.int64)
+    return [first, said, (values[told], bits[told], np.bincount(of[told], minlength=images))]
+
+
+def _side_by_side(images: Sequence[np.ndarray], main: bool) -> Parts:
+    return _coded(np.concatenate([a.ravel() for a in images]).astype(np.uint32, copy=False), np.array([a.size for a in images]), np.array([a.shape[1] for a in images]), main)
 
 
 class Writer:
@@ -775,91 +911,25 @@ class Writer:
         self.sizes.append(n)
 
     def array(self, values: np.ndarray, sizes: np.ndarray) -> None:
-        self.parts += [(np.array(self.values, np.uint64), np.array(self.sizes, np.int64)), (values.astype(np.uint64), sizes)]
+        self.parts += [(np.array(self.values, np.int64), np.array(self.sizes, np.int64)), (values.astype(np.int64), sizes)]
         self.values, self.sizes = [], []
 
-    def bytes(self) -> bytes:
-        self.array(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        """All values and their bits."""
+        if not self.parts:
+            return np.array(self.values, np.int64), np.array(self.sizes, np.int64)
+        self.array(np.zeros(0, np.int64), np.zeros(0, np.int64))
         values, sizes = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        ends = np.cumsum(sizes)
-        start, whole, half = ends - sizes, int(ends[-1]), np.uint64(32)
-        words, shift, low = np.zeros((whole >> 5) + 4, np.uint64), (start & 31).astype(np.uint64), np.uint64(0xFFFFFFFF)
-        for i, part in enumerate((values & low, values >> half)):  # no two share a bit, so sums are unions
-            moved = part << shift
-            np.add.at(words, (start >> 5) + i, moved & low)
-            np.add.at(words, (start >> 5) + i + 1, moved >> half)
-        return words.astype("<u4").tobytes()[: (whole + 7) >> 3]
-
-    def code(self, sizes: np.ndarray) -> None:
-        """Writes a code by its lengths."""
-        for value, n in _said(sizes):
-            self.put(value, n)
+        return values, sizes
+
+    def bytes(self) -> bytes:
+        values, sizes = self.all()
+        return _packed([(values, sizes, np.array([len(values)]))])[0]
 
     def image(self, argb: np.ndarray, main: bool = False) -> None:
         """Writes pixels with the references, and the colour cache, that save bits."""
-        w, argb = argb.shape[-1], np.ascontiguousarray(argb, "<u4").ravel()
-        n = len(argb)
-        px = argb.view(np.uint8).reshape(-1, 4)
-        copies = _repeats(argb)
-        kind = np.zeros(n, np.int8)  # 0 literal, 1 start of a copy, 2 in a copy, 3 cache hit
-        if copies:
-            at, length, back = np.array(copies).T
-            kind[np.repeat(at + length - np.cumsum(length), length) + np.arange(length.sum())] = 2
-            kind[at] = 1
-            near = _near_values(w)
-            value = np.array([near.get(b, b + 120) for b in back.tolist()])
-            length_prefix, length_more, length_bits = _prefixes(length)
-            far_prefix, far_more, far_bits = _prefixes(value)
-        blue, left, red, opacity = px.T.astype(np.intp)  # left: green
-        plain = kind == 0
-        lengths = _count(length_prefix, 24) if copies else np.zeros(24, np.int64)
-        greens, rest = np.concatenate([_count(left[plain]), lengths]), _count(blue[plain]) + _count(red[plain])
-        cache_bits = min(CACHE, max(1, int(n).bit_length() - 2)) if n > 32 else 0
-        if cache_bits:
-            keys, held = _cached(argb, cache_bits)
-            hit, miss = plain & held, plain & ~held
-            greens_ = np.concatenate([_count(left[miss]), lengths, _count(keys[hit], 1 << cache_bits)])
-            rest_ = _count(blue[miss]) + _count(red[miss])
-            sizes = _bits(greens_, rest_, greens, rest)
-            if hit.any() and sizes[0] + sizes[1] < sizes[2] + sizes[3]:
-                greens, rest, plain = greens_, rest_, miss
-                kind[hit] = 3
-            else:
-                cache_bits = 0
-        blue, left, red, opacity = blue[plain], left[plain], red[plain], opacity[plain]
-        self.put(int(cache_bits > 0), 1)
-        if cache_bits:
-            self.put(cache_bits, 4)
-        if main:
-            self.put(0, 1)
-        # Red and blue have one code for both: samples of a text are alike in all channels.
-        green, other = _lengths(greens), _lengths(rest)
-        of_alpha = _count(opacity)
-        alpha = _lengths(of_alpha) if np.count_nonzero(of_alpha) > 1 else (of_alpha > 0).astype(np.int64)
-        far = _lengths(np.bincount(far_prefix, minlength=40) if copies else np.zeros(40, np.int64))
-        said = _said(other)
-        for part in (_said(green), said, said, _said(alpha), _said(far)):
-            self.values += [x[0] for x in part]
-            self.sizes += [x[1] for x in part]
-        green_code, other_code, alpha_code, far_code = (_codes(x) for x in (green, other, alpha, far))
-        green, other, alpha, far = (x if np.count_nonzero(x) > 1 else np.zeros_like(x) for x in (green, other, alpha, far))
-        values, sizes = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        v, k = green_code[left], green[left]
-        for code, size, plane in ((other_code, other, red), (other_code, other, blue), (alpha_code, alpha, opacity)):
-            if size.any():
-                v |= code[plane] << k
-                k += size[plane]
-        values[plain], sizes[plain] = v, k
-        if cache_bits:
-            values[kind == 3], sizes[kind == 3] = green_code[280 + keys[kind == 3]], green[280 + keys[kind == 3]]
-        if copies:
-            v, k = green_code[256 + length_prefix], green[256 + length_prefix]
-            for x, size in ((length_more, length_bits), (far_code[far_prefix], far[far_prefix]), (far_more, far_bits)):
-                v |= x << k
-                k += size
-            values[at], sizes[at] = v, k
-        told = kind != 2
-        self.array(values[told], sizes[told])
+        for values, sizes, _ in _side_by_side([np.atleast_2d(argb)], main):
+            self.array(values, sizes)
 
 
 def container(stream: bytes) -> bytes:
@@ -876,7 +946,7 @@ def _argb(px: np.ndarray) -> np.ndarray:
 
 def _samples(px: np.ndarray) -> float:
     """About the size of the three channels of px (h, w, 3), in bits, without references."""
-    return sum(_bits(_count(px[..., 1]), _count(px[..., [0, 2]])))
+    return float(_bits(np.stack([_count(px[..., 1]), _count(px[..., [0, 2]])])).sum())
 
 
 def _residual(px: np.ndarray, mode: int) -> np.ndarray:
@@ -899,8 +969,9 @@ def _slopes(x: np.ndarray, ys: list[np.ndarray]) -> list[int]:
     return [max(-128, min(127, round(32 * float(x @ y.view(np.int8).ravel().astype(np.float32)) / spread))) if spread else 0 for y in ys]
 
 
-def _palette(out: Writer, argb: np.ndarray, colours: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """Writes the transform; gives packed indices as pixels."""
+def _palette(out: Writer, argb: np.ndarray, colours: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins the transform; gives the image of its colours, which follows, and packed
+    indices as pixels."""
     h, w = argb.shape
     n = len(colours)
     pack = 3 if n <= 2 else 2 if n <= 4 else 1
@@ -908,10 +979,9 @@ def _palette(out: Writer, argb: np.ndarray, colours: np.ndarray, index: np.ndarr
     out.put(3, 2)
     out.put(n - 1, 8)
     deltas = np.diff(np.ascontiguousarray(colours, "<u4").view(np.uint8).reshape(-1, 4), axis=0, prepend=np.zeros((1, 4), np.uint8))
-    out.image(np.ascontiguousarray(deltas).view("<u4").ravel())
     per = 1 << pack
     index = np.pad(index.reshape(h, w), ((0, 0), (0, -w % per))).reshape(h, -1, per)
-    return (index << (np.arange(per) * (8 >> pack))).sum(-1).astype(np.uint32) << np.uint32(8)
+    return np.ascontiguousarray(deltas).view("<u4").ravel(), (index << (np.arange(per) * (8 >> pack))).sum(-1).astype(np.uint32) << np.uint32(8)
 
 
 _FOUR = np.array([[0], [256], [256], [512], [512], [768]], np.uint16)
@@ -930,7 +1000,7 @@ def _decorrelated(out: Writer, px: np.ndarray, argb: np.ndarray) -> np.ndarray:
     kinds[3], kinds[4], kinds[5] = (blue - green).ravel(), (red - green).ravel(), 0
     kinds[5, 1:] = green.ravel()[1:] - green.ravel()[:-1]
     kinds += _FOUR
-    of_green, of_rest, of_less, of_next = _bits(*np.bincount(kinds.ravel(), minlength=1024).reshape(4, 256))
+    of_green, of_rest, of_less, of_next = _bits(np.bincount(kinds.ravel(), minlength=1024).reshape(4, 256)).tolist()
     best = of_green + of_rest
     if (size := of_green + of_less) < best:
         best, px = size, np.stack([blue - green, green, red - green], -1)
@@ -957,18 +1027,64 @@ def _decorrelated(out: Writer, px: np.ndarray, argb: np.ndarray) -> np.ndarray:
     return argb if px is whole else _argb(px) | alpha
 
 
+def _may_change(argb: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which images, of so many pixels, one after another, _decorrelated() may change: the
+    same estimates, but for the predictor, from sums over all images."""
+    images, starts = len(sizes), np.cumsum(sizes) - sizes
+    of, px = np.repeat(np.arange(images), sizes), argb.view(np.uint8).reshape(-1, 4)
+    blue, green, red = (np.ascontiguousarray(px[:, i]) for i in range(3))
+    after = np.diff(green, prepend=green[:1])
+    after[starts] = 0
+    base = of << 10
+    places = [base + green, (base | 256) + blue, (base | 256) + red, (base | 512) + (blue - green), (base | 512) + (red - green), (base | 768) + after]
+    of_green, of_rest, of_less, of_next = _bits(np.bincount(np.concatenate(places), minlength=images << 10).reshape(-1, 256)).reshape(-1, 4).T
+    out = (of_less < of_rest) | (of_next < of_green)
+    signed = [x.view(np.int8).astype(np.int64) for x in (green, red, blue)]
+    total = [np.add.reduceat(x, starts) for x in signed]
+    spread = np.add.reduceat(signed[0] * signed[0], starts) * sizes - total[0] * total[0]
+    slopes = []
+    for x, t in zip(signed[1:], total[1:], strict=True):
+        both = np.add.reduceat(signed[0] * x, starts) * sizes - total[0] * t
+        slopes.append(np.clip(np.rint(32 * both / np.maximum(spread, 1)), -128, 127).astype(np.int64))
+    steep = ~out & (abs(slopes[0]) + abs(slopes[1]) > 4)
+    if steep.any():
+        at = np.flatnonzero(steep[of])
+        own = of[at]
+        less = [(x[at] - ((t[own] * signed[0][at]) >> 5)) & 255 for x, t in zip(signed[1:], slopes, strict=True)]
+        crossed = np.bincount(np.concatenate([own << 8 | x for x in less]), minlength=images << 8).reshape(-1, 256)
+        out |= steep & (_bits(crossed) + 120 < of_rest)
+    return out
+
+
 def encode(rgb: np.ndarray) -> bytes:
     """An image file of (height, width, 3) samples."""
-    h, w, _ = rgb.shape
-    px = np.ascontiguousarray(rgb[..., ::-1])  # blue, green, red, as in a pixel's bytes
-    out = Writer()
-    out.put(w - 1, 14)
-    out.put(h - 1, 14)
-    out.put(0, 4)
-    argb = _argb(px) | np.uint32(0xFF000000)
-    few = len(set(argb[:2].ravel().tolist())) <= 16
-    colours, index = np.unique(argb, return_inverse=True) if few else (None, None)
-    argb = _palette(out, argb, colours, index) if few and len(colours) <= 16 else _decorrelated(out, px, argb)
-    out.put(0, 1)
-    out.image(argb, True)
-    return container(out.bytes())
+    return encode_all([rgb])[0]
+
+
+def encode_all(images: list[np.ndarray]) -> list[bytes]:
+    """encode() of several images, of 2^21 pixels at most together, side by side. Files do
+    not depend on the images that they are written with."""
+    sizes = np.array([p.shape[0] * p.shape[1] for p in images])
+    whole = _argb(np.concatenate([p.reshape(-1, 3)[:, ::-1] for p in images])) | np.uint32(0xFF000000)
+    files, groups = [b""] * len(images), ([], [], [])  # left as they are, with a palette, and with other transforms
+    for i, (rgb, end, changes) in enumerate(zip(images, np.cumsum(sizes).tolist(), _may_change(whole, sizes).tolist(), strict=True)):
+        h, w, _ = rgb.shape
+        out, argb, table = Writer(), whole[end - h * w : end].reshape(h, w), None
+        out.put(w - 1 | (h - 1) << 14, 32)
+        few = len(set(argb[:2].ravel().tolist())) <= 16
+        colours, index = np.unique(argb, return_inverse=True) if few else (None, None)
+        if few and len(colours) <= 16:
+            table, argb = _palette(out, argb, colours, index)
+        elif changes:
+            argb = _decorrelated(out, np.ascontiguousarray(rgb[..., ::-1]), argb)
+        groups[1 if table is not None else 2 if changes else 0].append((i, out, table, argb))
+    for group in groups:
+        if group:
+            place, outs, tables, left = zip(*group, strict=True)
+            first, one = [o.all() for o in outs], np.ones(len(group), np.int64)
+            parts = [(*(np.concatenate(x) for x in zip(*first, strict=True)), np.array([len(v) for v, _ in first]))]
+            if tables[0] is not None:
+                parts += _side_by_side([t[None] for t in tables], False)
+            for i, stream in zip(place, _packed([*parts, (0 * one, one, one), *_side_by_side(left, True)]), strict=True):
+                files[i] = container(stream)
+    return files

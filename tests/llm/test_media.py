@@ -267,3 +267,58 @@ def test_rows_read_together_are_bounded(monkeypatch):
     rows = [[b"a"], [b"b" * 9, b"c"], [b"d"], [b"e"], [b"f"], [b"g"]]
     assert list(media.together(pa.array(rows, pa.list_(pa.binary())))) == [(0, 2), (2, 5), (5, 6)]
     assert list(media.together(pa.array([], pa.list_(pa.binary())))) == []
+
+
+def mixed_images(seed):
+    """Texts, palettes, smooth images and noise, of several widths."""
+    rng = np.random.default_rng(seed)
+    y, x = np.mgrid[0:20, 0:64]
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9)).astype(np.uint8)) for _ in range(150)]
+    texts = [media.payload(b" ".join(words[i] for i in rng.integers(0, 150, n)).decode())[1] for n in (0, 1, 9, 40, 300, 1200, 40)]
+    made = [np.frombuffer(t, np.uint8).reshape(-1, 64, 3) for t in texts] + [((x * 3 + y * 2)[..., None] + rng.integers(0, 3, (20, 64, 3))) % 256]
+    for _ in range(8):
+        k, h, w = rng.integers(1, 400), rng.integers(1, 30), rng.integers(1, 90)
+        made.append(rng.integers(0, 256, (k, 3))[rng.integers(0, k, (h, w))])
+    return [m.astype(np.uint8) for m in made]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_images_written_side_by_side(seed):
+    """Every image comes back, and its file is the one that it has alone or in any order."""
+    images = mixed_images(seed)
+    files = webp.encode_all(images)
+    assert all((webp.decode(f)[..., :3] == m).all() for f, m in zip(files, images, strict=True))
+    assert files == [webp.encode(m) for m in images] and files[::-1] == webp.encode_all(images[::-1])
+
+
+def test_codes_are_made_for_a_group_at_once(monkeypatch):
+    """Writing more texts makes groups larger, and takes no more steps."""
+    made, times = webp._lengths, []
+    monkeypatch.setattr(webp, "_lengths", lambda counts, *limit: times.append(len(counts)) or made(counts, *limit))
+    loads = [media.payload(f"text {i} of some length, " * (i % 7 + 1))[1] for i in range(400)]
+    stored = media.store_all(loads)
+    assert len(times) <= 8 and len(stored) == 400
+    assert all(media.load(f).tobytes() == p for f, p in zip(stored[::25], loads[::25], strict=True))
+
+
+def test_codes_are_complete():
+    rng = np.random.default_rng(9)
+    counts = np.where(rng.random((40, 344)) < rng.random((40, 1)), rng.integers(1, 5, (40, 344)) ** rng.integers(1, 9, (40, 1)), 0)
+    counts[:4] = 0
+    counts[1, 7], counts[2, [3, 200]], counts[3, [0, 1, 343]] = 5, [1, 900], [1, 1, 1 << 20]
+    for limit in (7, 11):
+        some = counts if limit == 11 else counts[:, :19]
+        lengths = webp._lengths(some, limit)
+        assert ((lengths > 0) == (some > 0)).all() and lengths.max() <= limit
+        many = (some > 0).sum(1) > 1
+        assert (np.where(lengths > 0, 2.0**-lengths, 0).sum(1)[many] == 1).all()
+        assert all((a[None] == b).all() for a, b in ((webp._lengths(some[i : i + 1], limit)[0], lengths[i : i + 1]) for i in range(40)))
+
+
+def test_long_and_many_rows_are_written_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(media, "WRITTEN_BYTES", 1000)
+    assert list(media.spans([400, 700, 5000, 1, 2], 1000)) == [(0, 2), (2, 3), (3, 5)]
+    texts = ["a b" * n for n in (0, 5, 900, 1, 0, 3000, 20)] + [None]
+    assert media.store_all([media.payload(t)[1] for t in texts]) == [media.store(media.payload(t)[1]) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    assert {r["doc_id"]: r["media"] for r in media.write(df).collect()} == {i: media.store(media.payload(t)[1]) for i, t in enumerate(texts)}
