@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from meshweave import config
 from meshweave.graph import Graph
-from meshweave.operators import bits, paths
+from meshweave.operators import bits, dealt, paths
 from meshweave.session import bucketed, scratch, stash
 
 #: Rows of pairs that a batch of sources may make: what lies on disk at once follows it.
@@ -92,9 +92,11 @@ def accumulate(steps: DataFrame) -> DataFrame:
     return every.groupBy("src", "dst").agg(F.sum("delta").alias("delta"))
 
 
-def betweenness(g: Graph, c: config.Betweenness = config.Betweenness(), p: DataFrame | None = None, most_pairs: int = MOST_PAIRS) -> DataFrame:
+def betweenness(g: Graph, c: config.Betweenness = config.Betweenness(), p: DataFrame | None = None, most_pairs: int | None = None) -> DataFrame:
     """Over all pairs (each once if undirected), the share of shortest paths that pass. p:
-    pairs of a weighted graph. Without weights sources go in batches of most_pairs rows."""
+    pairs of a weighted graph. Without weights tasks search from a share of the sources
+    each; by joins, if most_pairs is given or the graph doesn't fit a task, sources go in
+    batches of most_pairs rows."""
     n = g.size()
     if n < 3:
         return _values(g, g.nodes.select("id", F.lit(0.0).alias("value")))
@@ -103,9 +105,12 @@ def betweenness(g: Graph, c: config.Betweenness = config.Betweenness(), p: DataF
     if g.weighted:
         p = stash(paths.pairs(g) if p is None else p)
         total = accumulate(dependencies(g, p)).where("src <> dst").groupBy("dst").agg(passed)
+    elif most_pairs is None and dealt.fits(g):
+        rows, ids = dealt.dealt(g, dealt.nodes_task, "at int, x double")
+        total = stash(rows.groupBy("at").agg(F.sum("x").alias("x")).join(ids, "at").select(F.col("id").alias("dst"), "x"))
     else:
         total = None
-        for some in batches(g, most_pairs):
+        for some in batches(g, most_pairs or MOST_PAIRS):
             with scratch() as keep:
                 # The last level passes on nothing, the first are the sources themselves.
                 parts = [here for here, _ in shares(g, paths.levels(g, some))][:-1]
