@@ -121,18 +121,22 @@ def betweenness(g: Graph, c: config.Betweenness = config.Betweenness(), p: DataF
     return _values(g, total.select(F.col("dst").alias("id"), (F.col("x") * scale).alias("value")))
 
 
-def edge_betweenness(g: Graph, c: config.EdgeBetweenness = config.EdgeBetweenness(), scale: str = "nodes", most_pairs: int = MOST_PAIRS) -> DataFrame:
+def edge_betweenness(g: Graph, c: config.EdgeBetweenness = config.EdgeBetweenness(), scale: str = "nodes", most_pairs: int | None = None) -> DataFrame:
     """Over all pairs, the share of shortest paths by arcs, weights aside, that use an
     edge. Undirected edges once, src < dst. Normalized by the factor of nodes, or, with
-    scale="pairs", by the number of pairs."""
+    scale="pairs", by the number of pairs. most_pairs: as of betweenness()."""
     n = g.size()
     name = lambda a, b: [F.col(a).alias("src"), F.col(b).alias("dst")] if g.directed else [F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")]
     factor = 1.0 if g.directed else 0.5
     if c.normalized and n > 2:
         factor *= (1.0 if g.directed else 2.0) / ((n - 1) * (n - 2) if scale == "nodes" else n * (n - 1))
     arcs = stash(g.arcs.where("src <> dst").select(F.col("src").alias("u"), F.col("dst").alias("v")))
-    total = None
-    for some in batches(g, most_pairs):
+    total, whole = None, most_pairs is None and dealt.fits(g)
+    if whole:
+        rows, ids = dealt.dealt(g, dealt.edges_task, "u int, v int, x double")
+        summed = rows.groupBy("u", "v").agg(F.sum("x").alias("x")).withColumnsRenamed({"u": "i", "v": "j"})
+        total = stash(summed.join(ids.select(F.col("at").alias("i"), F.col("id").alias("u")), "i").join(ids.select(F.col("at").alias("j"), F.col("id").alias("v")), "j").select("u", "v", "x"))
+    for some in [] if whole else batches(g, most_pairs or MOST_PAIRS):
         with scratch() as keep:
             parts = [] if total is None else [total]
             for here, ahead in shares(g, paths.levels(g, some)):

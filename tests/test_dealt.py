@@ -46,6 +46,22 @@ def test_betweenness_takes_no_job_a_level(path, spark):
     assert got == {f"{i:02d}": round(i * (79 - i) / (79 * 78), 9) for i in range(80)}
 
 
+def rows(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_betweenness_of_edges_is_that_of_joins(mixed, directed):
+    got, want = ([(u, v, round(x, 9)) for u, v, x in rows(centrality.edge_betweenness(mixed[2][directed], most_pairs=m))] for m in (None, 1 << 20))
+    assert got == want
+
+
+def test_betweenness_of_edges_takes_no_job_a_level(path, spark):
+    got = {}
+    assert jobs(spark, lambda: got.update({r["src"]: round(r["value"], 9) for r in centrality.edge_betweenness(path).collect()})) < 80
+    assert got == {f"{i:02d}": round((i + 1) * (79 - i) / (79 * 78), 9) for i in range(79)}
+
+
 def plain_levels(edges, n, source):
     """Distances and numbers of shortest paths from a source."""
     dist, sigma, front = {source: 0}, {source: 1.0}, [source]
