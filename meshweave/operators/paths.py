@@ -3,7 +3,9 @@
 pairs(src, dst, dist, hops, sigma): distance, least number of arcs of a shortest path, and
 number of shortest paths; reachable pairs only, each node with itself included. Searches
 run from all sources at once, a level a round; a round's result is stashed, so plans stay
-short and lost executors cost one round.
+short and lost executors cost one round. Pairs of an unweighted graph whose arcs fit a task
+stream from tasks that each search from a share of the sources (`dealt`): they are searched
+for when they are read, and lie on no disk.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshweave.graph import Graph, GraphError
-from meshweave.operators import bits
+from meshweave.operators import bits, dealt
 from meshweave.session import observed, stash
 
 EPS = 1e-9  # distances closer than this tie
@@ -120,7 +122,14 @@ def steps_of(g: Graph, pairs: DataFrame) -> DataFrame:
     return met.where(F.abs(F.col("du") + F.col("weight") - F.col("dv")) <= EPS).select("src", "u", "v")
 
 
+def streams(g: Graph) -> bool:
+    """Whether pairs(g) are searched for as they are read."""
+    return not g.weighted and dealt.fits(g)
+
+
 def pairs(g: Graph, sources: DataFrame | None = None) -> DataFrame:
+    if streams(g):
+        return dealt.dealt(g, dealt.pairs_task, dealt.PAIRS, sources, names=True)[0]
     return weighted(g, sources) if g.weighted else breadth_first(g, sources)
 
 

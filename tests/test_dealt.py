@@ -1,12 +1,14 @@
 """Searches dealt by source, against searches by joins and plain ones."""
 
+import os
 import random
 import uuid
 
 import numpy as np
 import pytest
 
-from meshweave.operators import centrality, dealt
+from meshweave import session
+from meshweave.operators import centrality, dealt, paths
 from tests.test_metrics import graph, values
 
 
@@ -62,6 +64,19 @@ def test_betweenness_of_edges_takes_no_job_a_level(path, spark):
     assert got == {f"{i:02d}": round((i + 1) * (79 - i) / (79 * 78), 9) for i in range(79)}
 
 
+@pytest.mark.parametrize("directed", [False, True])
+def test_pairs_are_those_of_joins_and_lie_on_no_disk(mixed, spark, directed):
+    g, folder = mixed[2][directed], session.shared_dir(spark)
+    want = rows(paths.breadth_first(g))
+    before = set(os.listdir(folder))
+    got = paths.pairs(g)
+    assert rows(got) == want and got.dtypes == paths.breadth_first(g, g.nodes.where("false")).dtypes
+    stashes = [spark.read.parquet(f"{folder}/{x}") for x in set(os.listdir(folder)) - before]
+    assert all("sigma" not in x.columns for x in stashes)
+    some = g.nodes.where("id < '03'")
+    assert rows(paths.pairs(g, some)) == [r for r in want if r[0] < "03"] and rows(paths.pairs(g, g.nodes.where("false"))) == []
+
+
 def plain_levels(edges, n, source):
     """Distances and numbers of shortest paths from a source."""
     dist, sigma, front = {source: 0}, {source: 1.0}, [source]
