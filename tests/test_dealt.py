@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 
 from meshweave import session
-from meshweave.operators import centrality, dealt, paths
+from meshweave.operators import bits, centrality, dealt, paths
 from tests.test_metrics import graph, values
+from tests.test_searches import plain
 
 
 @pytest.fixture(scope="module")
@@ -77,6 +78,26 @@ def test_pairs_are_those_of_joins_and_lie_on_no_disk(mixed, spark, directed):
     assert rows(paths.pairs(g, some)) == [r for r in want if r[0] < "03"] and rows(paths.pairs(g, g.nodes.where("false"))) == []
 
 
+def test_closeness_takes_no_job_a_level(path, spark):
+    got = {}
+    assert jobs(spark, lambda: got.update(values(centrality.closeness(path)))) < 80
+    assert got == {f"{i:02d}": round(i / 79 * 2 / (i + 1), 9) if i else 0 for i in range(80)}
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_sums_and_lengths_without_joins(mixed, directed):
+    names, edges, g = mixed
+    far = plain(edges, directed, names)
+    assert {(r["src"], r["dst"]): r["dist"] for r in bits.lengths(g[directed]).collect()} == far
+    for backwards in (False, True):
+        found, longest = bits.sums(g[directed], backwards)
+        sums = {r["id"]: (r["reached"], r["far"]) for r in found.collect()}
+        for n in names:
+            d = [x for (s, t), x in far.items() if (s if backwards else t) == n and s != t]
+            assert sums.get(n, (0, 0)) == (len(d), sum(d))
+        assert longest == max(far.values())
+
+
 def plain_levels(edges, n, source):
     """Distances and numbers of shortest paths from a source."""
     dist, sigma, front = {source: 0}, {source: 1.0}, [source]
