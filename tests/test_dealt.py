@@ -98,6 +98,10 @@ def test_sums_and_lengths_without_joins(mixed, directed):
         assert longest == max(far.values())
 
 
+def test_lengths_take_no_job_a_level(path, spark):
+    assert jobs(spark, lambda: bits.lengths(path).count()) < 80 and bits.lengths(path).count() == 80 * 81 // 2
+
+
 def plain_levels(edges, n, source):
     """Distances and numbers of shortest paths from a source."""
     dist, sigma, front = {source: 0}, {source: 1.0}, [source]
