@@ -102,6 +102,12 @@ def test_lengths_take_no_job_a_level(path, spark):
     assert jobs(spark, lambda: bits.lengths(path).count()) < 80 and bits.lengths(path).count() == 80 * 81 // 2
 
 
+def test_a_diameter_takes_no_job_a_level(spark):
+    names = [f"{i:02d}" for i in range(80)]
+    g = graph(spark, list(zip(names, names[1:])))
+    assert jobs(spark, lambda: bits.diameter(g)) < 80 and bits.diameter(g) == (79, 80)
+
+
 def plain_levels(edges, n, source):
     """Distances and numbers of shortest paths from a source."""
     dist, sigma, front = {source: 0}, {source: 1.0}, [source]
