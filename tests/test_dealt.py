@@ -68,10 +68,10 @@ def test_betweenness_of_edges_takes_no_job_a_level(path, spark):
 @pytest.mark.parametrize("directed", [False, True])
 def test_pairs_are_those_of_joins_and_lie_on_no_disk(mixed, spark, directed):
     g, folder = mixed[2][directed], session.shared_dir(spark)
-    want = rows(paths.breadth_first(g))
-    before = set(os.listdir(folder))
+    joined = paths.breadth_first(g)
+    want, before = rows(joined), set(os.listdir(folder))
     got = paths.pairs(g)
-    assert rows(got) == want and got.dtypes == paths.breadth_first(g, g.nodes.where("false")).dtypes
+    assert rows(got) == want and got.dtypes == joined.dtypes
     stashes = [spark.read.parquet(f"{folder}/{x}") for x in set(os.listdir(folder)) - before]
     assert all("sigma" not in x.columns for x in stashes)
     some = g.nodes.where("id < '03'")
