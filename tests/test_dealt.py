@@ -7,7 +7,7 @@ import uuid
 import numpy as np
 import pytest
 
-from meshweave import session
+from meshweave import analyzer, session
 from meshweave.operators import bits, centrality, dealt, paths
 from tests.test_metrics import graph, values
 from tests.test_searches import plain
@@ -140,3 +140,15 @@ def test_hubs_and_batches_in_a_task():
         d, k = plain_levels(edges, n, s)
         assert dict(enumerate(dist[:, j].tolist())) == {i: d.get(i, -1) for i in range(n)}
         assert {i: x for i, x in enumerate(sigma[:, j].tolist()) if x} == k
+
+
+def test_large_pair_tables_after_changes_lie_on_no_disk(mixed, spark, monkeypatch):
+    g, folder = mixed[2][False], session.shared_dir(spark)
+    after = g.remove_edge(*mixed[1][0])
+    want = rows(paths.pairs(after))
+    monkeypatch.setattr(analyzer, "MOST_KEPT", 100)
+    before = set(os.listdir(folder))
+    a = analyzer.Analyzer(g)
+    a.pairs()
+    assert rows(a.after(after).pairs()) == want
+    assert all("sigma" not in spark.read.parquet(f"{folder}/{x}").columns for x in set(os.listdir(folder)) - before)
