@@ -216,3 +216,13 @@ def test_delta_stepping(spark):
     want = {f"p{i}": float(i) for i in range(n + 1)} | {f"q{i}": i + 0.5 for i in range(n + 1)}
     assert all(f == want for f in found.values())
     assert sum(followed[1.5]) < sum(followed[float("inf")])
+
+
+def test_one_window_holds_the_links_of_a_small_graph(spark, monkeypatch):
+    draw, names = random.Random(5), [f"{i:03d}" for i in range(500)]
+    g = graph(spark, sorted({tuple(sorted(draw.sample(names, 2))) for _ in range(800)}), nodes=names)
+    calls, merges = [], community.merges
+    monkeypatch.setattr(community, "merges", lambda *x: calls.append(1) or merges(*x))
+    got = {r["id"]: r["community"] for r in community.greedy(g).collect()}
+    assert len(calls) <= 2
+    assert got == {r["id"]: r["community"] for r in community.greedy(g, window=300).collect()} and len(calls) > 4
