@@ -7,7 +7,7 @@ import uuid
 import numpy as np
 import pytest
 
-from meshweave import analyzer, session
+from meshweave import analyzer, config, session
 from meshweave.operators import bits, centrality, dealt, paths
 from tests.test_metrics import graph, values
 from tests.test_searches import plain
@@ -152,3 +152,14 @@ def test_large_pair_tables_after_changes_lie_on_no_disk(mixed, spark, monkeypatc
     a.pairs()
     assert rows(a.after(after).pairs()) == want
     assert all("sigma" not in spark.read.parquet(f"{folder}/{x}").columns for x in set(os.listdir(folder)) - before)
+
+
+def test_metrics_keep_no_large_pair_table(mixed, spark, monkeypatch):
+    g, folder = mixed[2][True], session.shared_dir(spark)
+    settings = config.Config(page_rank=config.PageRank(max_iter=1), eigenvector=config.Eigenvector(max_iter=1), modularity=config.Modularity(g.nodes.selectExpr("id", "0 community")))
+    monkeypatch.setattr(analyzer, "MOST_KEPT", 100)
+    before = set(os.listdir(folder))
+    found = analyzer.Analyzer(g, settings).metrics()
+    new = [x for x in set(os.listdir(folder)) - before if x.startswith("stash-")]
+    assert all("sigma" not in spark.read.parquet(f"{folder}/{x}").columns for x in new)
+    assert rows(found.where("metric = 'shortest_paths'").select("id", "other", "value")) == rows(paths.pairs(g).select("src", "dst", "dist"))

@@ -2,8 +2,11 @@
 
 import json
 import math
+import os
 import random
 
+from pyspark.sql import functions as F
+
 from meshweave.analyzer import Analyzer
 from meshweave.graph import Graph
 from meshweave.operators import paths
@@ -94,3 +97,22 @@ def test_the_document_of_metrics_in_files(spark, tmp_path):
     assert whole == json.loads(files.metrics_document(df).first()["json"])
     assert whole["m1"] == 2.5 and whole["m2"] == {"global": None, "average": None, "local": {"a": 1e-7}} and whole["m0"] == {"": 3.0, "é": None}
     assert whole["m9"] == {a: {b: float(5 * i + j) for j, b in enumerate(ids)} for i, a in enumerate(ids[:3])} and math.isclose(len(whole), 4)
+
+
+def test_metrics_are_written_apart(spark, tmp_path):
+    """Rows of one metric are made without those of others, and are not sorted by metric."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted_rows(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    kind = "metric string, id string, other string, value double"
+    part = lambda name: spark.createDataFrame([(None, "a", "b", 1.0), (None, "c", None, 2.5)], kind).mapInArrow(counted_rows, kind).withColumn("metric", F.lit(name))
+    names = ["shortest_paths", "page_rank", "other one"]
+    df = part(names[0]).unionByName(part(names[1])).unionByName(part(names[2]))
+    files.write_metrics(df, f"{tmp_path}/m")
+    assert made.value == 6
+    got = sorted(tuple(x or "" for x in r) for r in files.read_metrics(spark, f"{tmp_path}/m").select("metric", "id", "other", "value").collect())
+    assert got == sorted((n, *x) for n in names for x in (("a", "b", 1.0), ("c", "", 2.5)))
